@@ -1,0 +1,42 @@
+"""Intermediate tables in the folder that the whole cluster shares.
+
+A written table cuts the lineage and survives lost executors. The folder is
+`spark.checkpoint.dir`; where a session has none (tests on one machine), a
+temporary folder of this process is used.
+"""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder for this application's intermediate tables."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="scratch-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """Write df once under a fresh path and return the written table."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results not yet consumed become unreadable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
