@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgraph.llm import bpe, gif, licenses, mixing, topk
+from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
+def minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(table(spark, sf_dir, "documents"))
+
+
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -38,6 +46,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
         "op2_media_columns": media_columns,
+        "op4_line_dedup": line_dedup,
+        "op5_minhash_near_dup": minhash_near_dup,
         "op7_exact_topk": exact_topk,
         "op8_bpe_codec": bpe_codec,
         "op10_license_scan": license_scan,

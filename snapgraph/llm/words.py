@@ -68,7 +68,7 @@ class Words:
     begin: np.ndarray  # the byte where each text begins
 
 
-def groups(texts: list, size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def groups(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive texts as lower-case UTF-8, about `size` bytes at a time; null counts as empty."""
     first, had, group = 0, 0, []
     for i, text in enumerate(texts):
