@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, topk
+from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, spans, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(table(spark, sf_dir, "documents"))
 
 
+def span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.report(table(spark, sf_dir, "documents"))
+
+
 def exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": media_columns,
         "op4_line_dedup": line_dedup,
         "op5_minhash_near_dup": minhash_near_dup,
+        "op6_span_dedup": span_dedup,
         "op7_exact_topk": exact_topk,
         "op8_bpe_codec": bpe_codec,
         "op10_license_scan": license_scan,

@@ -72,7 +72,10 @@ def groups(texts: list, size: int = 1 << 18) -> Iterator[tuple[int, list[bytes]]
     """Consecutive texts as lower-case UTF-8, about `size` bytes at a time; null counts as empty."""
     first, had, group = 0, 0, []
     for i, text in enumerate(texts):
+        own = (text or "").encode("utf-8", "replace")
         raw = (text or "").lower().encode("utf-8", "replace")
+        if len(raw) != len(own):  # offsets are those of the text as it came
+            raw = own.lower()
         if group and had + len(raw) > size:
             yield first, group
             first, had, group = i, 0, []
