@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: floa
     )
     cap = F.col("source_size") * F.lit(float(most))
     level = (F.col("total") - F.col("capped")) / F.col("rest")
-    by = by.withColumn("level", F.when(level * F.col("w") < cap, level)).withColumn("level", F.min("level").over(everything))
+    by = by.withColumn("level", F.when(level * F.col("w") < cap, level)).withColumn("level", F.max("level").over(everything))
     share = F.least(cap, F.coalesce(F.col("level") * F.col("w"), cap))
     return by.select("source", "source_size", share.alias("target"))
 
@@ -112,7 +112,7 @@ o AS (
     sum(source_size) OVER ()::DOUBLE AS total,
     sum(w) OVER (ORDER BY source_size / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
 l AS (
-  SELECT min(CASE WHEN (total - capped) / rest * w < source_size * 3.0::DOUBLE THEN (total - capped) / rest END) AS level FROM o),
+  SELECT max(CASE WHEN (total - capped) / rest * w < source_size * 3.0::DOUBLE THEN (total - capped) / rest END) AS level FROM o),
 t AS (
   SELECT source, source_size, least(source_size * 3.0::DOUBLE, coalesce(level * w, source_size * 3.0::DOUBLE)) AS target FROM o, l),
 r AS (
