@@ -27,6 +27,8 @@ from snapgraph.llm import scratch
 
 #: Queries in a block; candidates compared at once; segments of the levels, coarse to fine.
 BLOCK, CHUNK, LEVELS = 4096, 2048, (4, 16)
+#: The share of open pairs above which a product of whole matrices is cheaper than one for each pair.
+DENSE = 1 / 16
 
 
 def _statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -69,28 +71,42 @@ class Search:
         self.least[q[last]] = score[last]
 
     def show(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        bounds = [_statistics(vectors, n) for n in LEVELS]
-        slack = 1e-9 * self.norms[:, None] * np.sqrt((vectors**2).sum(1))[None, :] + 1e-6
-        upper = self.levels[0] @ bounds[0].T + slack
-        upper[self.ids[:, None] == ids[None, :]] = -np.inf
-        if np.isinf(self.least).any() and len(ids):  # first thresholds: the candidates of the largest bounds
-            n = min(len(ids), 4 * self.k)
-            c = np.argpartition(-upper, n - 1, axis=1)[:, :n]
-            q = np.repeat(np.arange(len(self.ids)), n)
-            c = c.reshape(-1)
-            seen = ~np.isinf(upper[q, c])
-            q, c = q[seen], c[seen]
+        if not len(ids):
+            return
+        slack = 1e-9 * self.norms.max(initial=0) * np.sqrt((vectors**2).sum(1).max()) + 1e-6
+        open_ = self.ids[:, None] != ids[None, :]
+        for level, n in zip(self.levels, LEVELS, strict=True):
+            self._narrow(open_, level, _statistics(vectors, n), slack)
+            if np.isinf(self.least).any():  # no thresholds yet: begin with the candidates of the largest bounds
+                upper = np.where(open_, level @ _statistics(vectors, n).T, -np.inf)
+                most = min(len(ids), 4 * self.k)
+                c = np.argpartition(-upper, most - 1, axis=1)[:, :most]
+                q, c = np.repeat(np.arange(len(self.ids)), most), c.reshape(-1)
+                seen = open_[q, c]
+                q, c = q[seen], c[seen]
+                self._take(q, self._scores(q, c, vectors), ids[c])
+                open_[q, c] = False
+                self._narrow(open_, level, _statistics(vectors, n), slack)
+        exact = np.abs(self.vectors).max(initial=0) * np.abs(vectors).max(initial=0) * vectors.shape[1] < 2**53
+        if exact and open_.mean() > DENSE:
+            scores = self.vectors @ vectors.T
+            open_ &= scores >= self.least[:, None]
+            q, c = np.nonzero(open_)
+            self._take(q, scores[q, c].astype(np.int64), ids[c])
+        else:
+            q, c = np.nonzero(open_)
             self._take(q, self._scores(q, c, vectors), ids[c])
-            upper[q, c] = -np.inf
-        q, c = np.nonzero((upper >= self.least[:, None]) & ~np.isinf(upper))
-        for level, bound in zip(self.levels[1:], bounds[1:], strict=True):
-            keep = np.empty(len(q), bool)
-            for i in range(0, len(q), 1 << 16):
-                a, b = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
-                keep[i : i + (1 << 16)] = (level[a] * bound[b]).sum(1) + slack[a, b] >= self.least[a]
-            q, c = q[keep], c[keep]
-        self._take(q, self._scores(q, c, vectors), ids[c])
 
+    def _narrow(self, open_: np.ndarray, level: np.ndarray, bound: np.ndarray, slack: float) -> None:
+        """Close the pairs whose upper bound lies below the query's k-th best score so far."""
+        least = self.least - slack
+        if open_.mean() > DENSE:
+            open_ &= level @ bound.T >= least[:, None]
+            return
+        q, c = np.nonzero(open_)
+        for i in range(0, len(q), 1 << 16):
+            a, b = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
+            open_[a, b] = (level[a] * bound[b]).sum(1) >= least[a]
 
 def _matrix(values: list, width: int) -> np.ndarray:
     if all(len(v) == width for v in values):
