@@ -25,8 +25,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapgraph.llm.words import small
+
 #: Bytes in a leaf of the tree; pieces remembered by a worker; tokens joined at once by a leaf of the decoder.
-LEAF, REMEMBERED, DECODED = 24, 1 << 19, 4096
+LEAF, REMEMBERED, DECODED = 24, 1 << 18, 4096
 #: The rank of two neighbours that don't merge.
 NONE = 1 << 40
 
@@ -138,7 +140,7 @@ def encode(docs: DataFrame, path: str, pattern: str, digests: bool = True, ids:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, pattern)
-        for batch in batches:
+        for batch in small(batches):
             counts, lists, hashes, decoded = [], [], [], []
             for text in batch.column(1):
                 joined = codec.encode_text(text.as_py() or "")
@@ -166,7 +168,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value, "")
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if x is None else codec.decode(x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapgraph.llm.words import small
+
 _LONGEST = 4096
 #: Fixed values of the format: start and step of the passes of an interlaced image.
 _PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
@@ -271,7 +273,7 @@ def frames(media: DataFrame, key: str = "media_id", data: str = "media") -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FRAMES.split(", ")]
-        for batch in batches:
+        for batch in small(batches):
             for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 m = m.as_py()
                 if not m:
@@ -325,7 +327,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in _STORED.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for text in batch.column(1):
                 raw = (text.as_py() or "").encode("utf-8", "replace")

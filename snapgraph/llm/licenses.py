@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from snapgraph.llm.words import small
+
 # Base notices and their labels.
 BASE = (
     ("under the mit license", "mit"),
@@ -140,7 +142,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             columns: list[list] = [[] for _ in kinds]
             for text in batch.column(1):
                 r = scan(text.as_py())

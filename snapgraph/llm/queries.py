@@ -7,10 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, spans, topk
+from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, quality, spans, topk, toxicity
+from snapgraph.session import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +24,15 @@ def media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.store_texts(table(spark, sf_dir, "documents"))
 
 
+def quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = quality.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", "log_weight", "key")
+
+
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.report(table(spark, sf_dir, "documents"))
 
@@ -50,11 +61,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
         "op2_media_columns": media_columns,
+        "op3_quality_resample": quality_resample,
         "op4_line_dedup": line_dedup,
         "op5_minhash_near_dup": minhash_near_dup,
         "op6_span_dedup": span_dedup,
         "op7_exact_topk": exact_topk,
         "op8_bpe_codec": bpe_codec,
+        "op9_toxicity": toxicity_scores,
         "op10_license_scan": license_scan,
     }
 

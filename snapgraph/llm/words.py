@@ -55,6 +55,13 @@ def part(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((prefix[end] - prefix[start]) * _power(_INVERSE, len(prefix))[start])
 
 
+def small(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices of few rows, so that a worker holds few texts as Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: text i has those from ptr[i] to ptr[i + 1]."""
