@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import lsh, scratch
-from snapgraph.llm.words import _BASE, _INVERSE, U, Words, _power, mix, words
+from snapgraph.llm import scratch
+from snapgraph.llm.words import _BASE, _INVERSE, U, Words, _power, mix, small, words
 
 SENTENCES, WORDS, LONG = 2, 12, 50
 _LAST = 2**63 - 1
@@ -65,7 +65,7 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         doc, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for found in words(batch.column(2).to_pylist()):
             text, hashes, begin, end, _ = spans(found)
@@ -80,7 +80,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     rows = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), "text")
     found = scratch.keep(rows.mapInArrow(_emit, "span long, doc long, text_hash long, begin int, end int"), "spans")
     many = found.groupBy("span").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).where("n > 1").select("span", "owner")
-    hits = scratch.keep(lsh.lookup(found, scratch.keep(many, "many"), "span", "inner"), "hits")
+    hits = scratch.keep(found.join(many, "span"), "hits")
     # in the document that keeps a span, its first place stays
     firsts = hits.where("doc = owner").groupBy("span", "text_hash").agg(F.min("begin").alias("at"))
     inner = hits.where("doc = owner").join(firsts, ["span", "text_hash"]).where("begin > at")
@@ -104,7 +104,7 @@ _CUT = "text string, n_removed int, removed array<struct<begin:int,end:int>>"
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns, text and cuts, to the text that stays, the number of stretches cut, and those, in bytes of UTF-8."""
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in small(batches):
         texts, counts, gone = [], [], []
         for text, cuts in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
             text, merged = text.as_py(), _merge(cuts)
@@ -127,5 +127,5 @@ def report(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     cuts = repeated(plain)
     keyed = plain.withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "text_hash": F.xxhash64("text")})
-    joined = lsh.lookup(keyed, cuts, ["doc", "text_hash"], "left").select("doc_id", "text", "cuts")
+    joined = keyed.join(cuts, ["doc", "text_hash"], "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(_cut, f"doc_id long, {_CUT}")
