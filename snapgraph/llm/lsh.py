@@ -1,14 +1,15 @@
 """Classes of similar items from banded signatures, exact for all candidates.
 
 A bucket is the set of items with an equal band. Its pivot, the smallest item,
-is compared with every other member; what is similar joins one component. Pairs
-of a bucket that are still in different components are compared too, unless the
-triangle inequality rules them out: distances to the pivot that differ by more
-than the allowed distance. So no candidate link between different components is
-lost, and a group of n copies costs n comparisons, not n * n.
-
-Hot buckets are dealt over tasks by range of (band, item); the pieces' pivots
-are linked afterwards. Items are longs.
+is compared with every other member; what is similar joins one component, so a
+group of n copies costs n comparisons, not n * n. Large groups whose members are
+then in different components get a second, more central pivot, the member most
+like the first. Where members are still apart, all similarities in the group are
+computed at once, in blocks, as products of matrices of members by shared
+elements; only what joins different components leaves the task.
+
+Hot buckets are dealt over tasks by range of (band, item), large groups by pairs
+of blocks. Items are longs.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph.llm import scratch, unionfind
+from snapgraph.llm.words import small
 
 #: Rows of a lookup table that may be broadcast, some 100 MB; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -64,15 +66,17 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (band, pivot, pivot)] + [pa.array([True])], names)
 
 
-def buckets(signatures: DataFrame) -> DataFrame:
-    """(band, pivot, node) for each member but the pivot of each bucket of two or more, from (node, bands array<long>)."""
+def stars(signatures: DataFrame) -> DataFrame:
+    """Distinct (a, b), written: a is the pivot of a bucket with b in it, from (node, bands array<long>)."""
     rows = signatures.select(F.explode("bands").alias("band"), "node")
     dealt = rows.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
     runs = scratch.keep(dealt.mapInArrow(_runs, "band long, pivot long, node long, piece boolean"), "runs")
+    # a bucket may go on in the next partitions; two rows a partition tell of that, so the table of heads is small
     pieces = runs.where("piece").select("band", "pivot").distinct()
-    heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.count("*").alias("n")).where("n > 1")
-    across = pieces.join(heads, "band").where("pivot <> head").select("band", F.col("head").alias("pivot"), F.col("pivot").alias("node"))
-    return runs.where("not piece").select("band", "pivot", "node").union(across)
+    heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    across = pieces.join(heads, "band").where("pivot <> head").select(F.col("head").alias("a"), F.col("pivot").alias("b"))
+    within = runs.where("not piece").join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
+    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars")
 
 
 def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -120,13 +124,118 @@ def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame
     return dealt.mapInArrow(rows, "a long, b long, weighted double, plain double")
 
 
+#: Members of a group in one block, and elements in one product; the size from which a group gets a second pivot.
+BLOCK, COLUMNS, CENTRAL = 1024, 2048, 1024
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pivot, node, plain, root) of the pivots whose members are in different components, written."""
+    placed = lookup(members.select("pivot", "node", "plain"), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = scratch.keep(placed, "placed")
+    apart = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
+    return scratch.keep(placed.join(apart, "pivot", "left_semi"), "apart")
+
+
+def _similar(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, threshold: float, either: bool) -> np.ndarray:
+    """Which pairs of left x right reach the threshold, by exact Jaccard similarity, weighted or (if either) plain.
+
+    The product of roots of weights bounds the shared weight from above and is
+    equal to it where an element weighs the same in both sets; pairs that only
+    the bound lets through are computed one by one.
+    """
+    size = np.array([len(h) for h, _ in sets])
+    total = np.array([w.sum() for _, w in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    distinct, column, n = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    weight = np.concatenate([w for _, w in sets])
+    shared = n > 1  # others meet nothing
+    column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
+    keep = column >= 0
+    owner, column, weight = owner[keep], column[keep], weight[keep]
+    order = np.argsort(column, kind="stable")
+    owner, column, weight = owner[order], column[order], weight[order]
+    uneven = bool(len(weight)) and bool((weight != 1).any())
+    common = np.zeros((len(left), len(right)), np.float32)
+    bound = np.zeros_like(common) if uneven else common
+    place = np.full(len(sets), -1)
+    rows = np.concatenate((left, right)) if left is not right else left
+    place[rows] = np.arange(len(rows))
+    a, b = (slice(0, len(left)), slice(len(left), None)) if left is not right else (slice(None), slice(None))
+    for begin in range(0, int(shared.sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
+        x = np.zeros((len(rows), COLUMNS), np.float32)
+        x[place[owner[some]], column[some] - begin] = 1
+        common += x[a] @ x[b].T
+        if uneven:
+            x[place[owner[some]], column[some] - begin] = np.sqrt(weight[some])
+            bound += x[a] @ x[b].T
+    union = size[left][:, None] + size[right][None, :] - common
+    plain = common >= threshold * union - 1e-6
+    plain |= union == 0
+    if not uneven:
+        return plain
+    most = total[left][:, None] + total[right][None, :] - bound
+    maybe = (bound >= threshold * most - 1e-3 * (1 + most)) & ~(plain if either else False)
+    out = plain if either else np.zeros_like(plain)
+    for i, j in zip(*np.nonzero(maybe), strict=True):
+        out[i, j] = _jaccard(sets[left[i]], sets[right[j]])[0] >= threshold
+    return out
+
+
+def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold: float, either: bool) -> DataFrame:
+    """(a, b): links that join components, from members (pivot, node, root) of groups; at most one a member and block."""
+    per = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(per, "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
+    rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
+    dealt = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "own", "node")
+
+    def links(own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list) -> tuple[np.ndarray, np.ndarray]:
+        first = own == own[0]
+        left = np.flatnonzero(first)
+        right = left if first.all() else np.flatnonzero(~first)
+        found = _similar(sets, left, right, threshold, either) & (root[left][:, None] != root[right][None, :])
+        r, c = np.nonzero(found)
+        return unionfind._forest(node[left[r]], node[right[c]])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        sets: list = []
+        last = None
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                own, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
+                if (root != root[0]).any():
+                    a, b = links(own, node, root, sets)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in small(batches, 512):
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+            own, node, root = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            found = elements(batch.column(6).to_pylist())
+            cuts = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, batch.num_rows)
+            at = 0
+            for cut in cuts.tolist():
+                key = tuple(keys[at].tolist())
+                if key != last:
+                    yield from out()
+                    held, sets, last = [], [], key
+                held.append((own[at:cut], node[at:cut], root[at:cut]))
+                sets += found[at:cut]
+                at = cut
+        yield from out()
+
+    return dealt.mapInArrow(match, "a long, b long")
+
+
 def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Elements, threshold: float, either: bool) -> DataFrame:
     """(node, root) for each node that is linked with another; links reach `threshold` in weighted (or, if either, plain) similarity.
 
     texts: from a written table of nodes to their (node, text).
     """
-    found = scratch.keep(buckets(signatures), "buckets")
-    pairs = scratch.keep(found.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    pairs = stars(signatures)
     nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
     known = scratch.keep(texts(nodes), "texts")
     near = F.col("weighted") >= threshold
@@ -136,22 +245,19 @@ def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elem
     links = scores.where(near).select("a", "b")
     labels = scratch.keep(unionfind.components(links), "labels")
 
-    members = found.join(scores, (F.col("pivot") == F.col("a")) & (F.col("node") == F.col("b"))).select("band", "pivot", "node", "weighted", "plain")
-    pivots = found.select("band", "pivot", F.col("pivot").alias("node"), F.lit(1.0).alias("weighted"), F.lit(1.0).alias("plain")).distinct()
-    placed = lookup(members.union(pivots), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = scratch.keep(placed, "placed")
-    open_ = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band")
-    rest = scratch.keep(placed.join(open_, "band", "left_semi"), "rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    slack = 1 - threshold + 1e-9
-    close = F.abs(F.col("x.weighted") - F.col("y.weighted")) <= slack
-    if either:
-        close = close | (F.abs(F.col("x.plain") - F.col("y.plain")) <= slack)
-    beside = (F.col("x.node") != F.col("x.pivot")) & (F.col("y.node") != F.col("y.pivot")) & close
-    more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & ((F.col("x.pivot") != F.col("y.pivot")) | beside))
-    more = scratch.keep(more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "more")
-    if more.isEmpty():
+    members = scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "plain")
+    members = members.union(pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node"), F.lit(-1.0).alias("plain")).distinct())
+    apart = _open(members, labels)
+    sizes = apart.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= CENTRAL)
+    if not sizes.isEmpty():
+        center = apart.join(sizes, "pivot").groupBy("pivot").agg(F.max_by(F.struct("node", "root"), F.struct("plain", "node")).alias("c"))
+        second = apart.join(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "pivot")
+        second = second.where("root <> center and node <> pivot").select("a", F.col("node").alias("b")).distinct()
+        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second")
+        links = links.union(scratch.keep(compare(second, known, elements), "scores").where(near).select("a", "b"))
+        labels = scratch.keep(unionfind.components(links), "labels")
+        apart = _open(apart, labels)
+    joins = scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold, either), "joins")
+    if joins.isEmpty():
         return labels
-    extra = compare(more, known, elements).where(near).select("a", "b")
-    stars = labels.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return scratch.keep(unionfind.components(stars.union(extra)), "labels")
+    return scratch.keep(unionfind.components(links.union(joins)), "labels")
