@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph.llm import lsh, scratch
-from snapgraph.llm.words import U, mix, shingles, words
+from snapgraph.llm.words import U, mix, shingles, small, words
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
-CELLS, TABLE = 1 << 18, 1 << 13
+CELLS, TABLE = 1 << 18, 1 << 12
 SEED = 20240
 
 
@@ -114,7 +114,7 @@ def levels(docs: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.int64), 0
-        for batch in batches:
+        for batch in small(batches):
             n += batch.num_rows
             for _, _, _, h, _ in _counted(batch.column(0).to_pylist()):
                 cells += np.bincount((h & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -152,11 +152,12 @@ def label(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(levels(docs.select(F.col("text").cast("string").alias("text"))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = _sampler(sent.value)
-        for batch in batches:
+        sampler, seen = _sampler(sent.value), set()
+        for batch in small(batches):
+            if len(seen) > 1 << 16:  # repeats are dropped again later; this only saves work
+                seen.clear()
             nodes = batch.column(0).to_numpy()
-            seen: dict[int, int] = {}
-            own = [i for i, k in enumerate(nodes.tolist()) if seen.setdefault(k, i) == i]
+            own = [i for i, k in enumerate(nodes.tolist()) if not (k in seen or seen.add(k))]
             texts = [batch.column(1)[i].as_py() for i in own]
             for first, n, ptr, h, counts in _counted(texts):
                 some = [i for i in range(n) if ptr[i + 1] > ptr[i]]
