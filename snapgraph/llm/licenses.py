@@ -67,7 +67,7 @@ class Notice:
 def notice(phrase: str, label: str, base: bool) -> Notice:
     edits = len(phrase) // EDITS_PER
     cuts = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
-    parts = tuple((a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)) if edits else ((0, f" {phrase} ".encode()),)
+    parts = tuple((a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)) if edits else ((-1, f" {phrase} ".encode()),)
     pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(phrase, literal_spaces=True).encode() + rb"){e<=%d}(?= )" % edits)
     return Notice(phrase.encode(), label, base, edits, parts, pattern)
 
