@@ -5,8 +5,8 @@ of one to four symbols of its outline (capital, letter, digit or the mark
 itself, repeats written once), hashed into 4,096; words that repeat one of the
 eight before them add n-grams of their own. The raw model counts all documents,
 the target model those labelled as good. A document's log weight is the sum over
-its n-grams of log(target / raw), with the target smoothed by a million n-grams
-of the raw model.
+its n-grams of log(target / raw), with the target smoothed by n-grams of the raw
+model, fewer for outlines and repeats than for words.
 
 A level is chosen between the labelled good and bad documents, k is how many of
 all documents reach it, and the sample are the k largest of log weight plus
@@ -30,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph.llm import lsh, scratch
-from snapgraph.llm.words import mix, small, U, Words, words
+from snapgraph.llm.words import U, Words, mix, small, words
 
 WORD_CELLS, OUTLINE_CELLS, REPEAT_CELLS = 1 << 13, 1 << 12, 1 << 8
 CELLS = WORD_CELLS + OUTLINE_CELLS + REPEAT_CELLS
-SMOOTH = 1e6
+#: N-grams of the raw model that smooth the target's words, outlines and repeats: fewer where there are fewer cells.
+SMOOTH, SMOOTH_OUTLINES, SMOOTH_REPEATS = 1e6, 1e5, 1e4
 BACK = 8
 
 # the symbol of each byte: capitals, letters and non-ASCII bytes, digits, white space; marks stand for themselves
@@ -105,14 +106,14 @@ def counts(docs: DataFrame) -> np.ndarray:
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log(target / raw) of each cell; words, outlines and repeats are models of their own."""
     out = np.zeros(CELLS)
-    for a, b in ((0, WORD_CELLS), (WORD_CELLS, WORD_CELLS + OUTLINE_CELLS)):
+    for a, b, smooth in ((0, WORD_CELLS, SMOOTH), (WORD_CELLS, WORD_CELLS + OUTLINE_CELLS, SMOOTH_OUTLINES)):
         q = (raw[a:b] + 0.5) / (raw[a:b] + 0.5).sum()
-        p = (target[a:b] + SMOOTH * q) / (target[a:b].sum() + SMOOTH)
+        p = (target[a:b] + smooth * q) / (target[a:b].sum() + smooth)
         out[a:b] = np.log(p / q)
     # repeats: their rate a word, in target and raw text
     a = WORD_CELLS + OUTLINE_CELLS
     q = (raw[a:] + 0.5) / (raw[:WORD_CELLS].sum() + 1)
-    p = (target[a:] + SMOOTH * q) / (target[:WORD_CELLS].sum() + SMOOTH)
+    p = (target[a:] + SMOOTH_REPEATS * q) / (target[:WORD_CELLS].sum() + SMOOTH_REPEATS)
     out[a:] = np.log(p / q)
     return out
 
@@ -152,7 +153,7 @@ def score(docs: DataFrame, labels: DataFrame, seed: str = "quality") -> tuple[Da
 
 
 def level(scored: DataFrame) -> float:
-    """The log weight that best parts good from bad labelled documents, each side by its share; the lowest of equals.
+    """The log weight that best parts good from bad labelled documents, each side by its share; in the middle of where it may lie.
 
     From counts in cells of width 1 between -500 and 500. Without both sides: minus infinity.
     """
@@ -161,13 +162,13 @@ def level(scored: DataFrame) -> float:
     good, bad = sum(r["good"] for r in found), sum(r["bad"] for r in found)
     if not good or not bad:
         return float("-inf")
-    best, at, lost, caught = -1.0, float("-inf"), 0, 0
+    best, at, lost, caught, before = -1.0, float("-inf"), 0, 0, None
     for r in sorted(found, key=lambda r: r["cell"]):
-        # the level at this cell's lower edge: below it are the cells seen so far
+        # the level lies above the cells seen so far, at this cell's lower edge at most
         value = 1 - lost / good + caught / bad
         if value > best + 1e-12:
-            best, at = value, float(r["cell"])
-        lost, caught = lost + r["good"], caught + r["bad"]
+            best, at = value, float("-inf") if before is None else (before + 1 + r["cell"]) / 2
+        lost, caught, before = lost + r["good"], caught + r["bad"], r["cell"]
     return at
 
 
