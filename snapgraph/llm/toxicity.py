@@ -19,7 +19,7 @@ results; a null doc_id is not held out.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph.llm import lsh, scratch
-from snapgraph.llm.words import mix, part, shingles, small, sums, U, Words, words
+from snapgraph.llm.words import U, Words, mix, part, shingles, small, sums, words
 
 #: Labelled documents that are used at most, elements of the classifier at most, and lexicons of each kind.
 TRAIN, ELEMENTS, LEXICONS = 20_000, 4096, 4
@@ -79,54 +79,82 @@ def _distinct(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
             yield hashes[some], kinds[some], count[some], marks
 
 
-def training(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, element, kind, count) of the training documents, and their labels; of near copies one is taken."""
+def _levels(h: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, element, kind, level) of a text's elements, each once for every level that it reaches."""
+    reached = [np.flatnonzero(counts >= least) for least in LEVELS]
+    level = np.repeat(np.arange(len(LEVELS)), list(map(len, reached)))
+    at = np.concatenate(reached)
+    return mix(h[at] + level.astype(U) * U(0xA24BAED4963EE407)), h[at], kinds[at], level
+
+
+def _tally(ids: list[np.ndarray], rest: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, how often each, and one value of the rest for each."""
+    every = np.concatenate([np.zeros(0, U), *ids])
+    distinct, at, n = np.unique(every, return_index=True, return_counts=True)
+    return distinct, n, np.concatenate([np.zeros((0, 3), U), *rest])[at]
+
+
+def training(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFrame:
+    """(doc_id, text, toxic), written: up to `train` labelled documents that are not held out, of near copies one."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train), "train")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    chosen = scratch.keep(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "chosen")
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            found = list(_distinct(batch.column(1).to_pylist()))
-            columns = [
-                batch.column(0),
-                batch.column(2),
-                pa.array([x[0].view(np.int64).tobytes() for x in found], pa.binary()),
-                pa.array([x[1].tobytes() for x in found], pa.binary()),
-                pa.array([x[2].tobytes() for x in found], pa.binary()),
-                pa.array([x[3].view(np.int64).tobytes() for x in found], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "elements", "kinds", "counts", "marks"])
-
-    told = chosen.select("doc_id", "text", "toxic").mapInArrow(describe, "doc_id long, toxic int, elements binary, kinds binary, counts binary, marks binary")
-    one = told.groupBy("doc_id").agg(F.min(F.struct("toxic", "elements", "kinds", "counts", "marks")).alias("x")).select("doc_id", "x.*")
-    rows = one.orderBy("doc_id").toArrow()
-    return gather(zip(*(rows.column(c).to_pylist() for c in ("toxic", "elements", "kinds", "counts", "marks")), strict=True))
-
-
-def gather(rows: Iterable[tuple[int, bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            marks = np.array([m for *_, m in _distinct(batch.column(1).to_pylist())]).reshape(batch.num_rows, 3).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(marks[:, k]) for k in range(3))], ["doc_id", "a", "b", "c"])
+
     met: set[int] = set()
-    hashes, kinds, counts, which, y = [np.zeros(0, U)], [np.zeros(0, np.int8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], []
-    for toxic, h, k, c, m in rows:
-        marks = set(np.frombuffer(m, np.int64).tolist()) - {0}
-        if marks & met:
-            continue
-        met |= marks
-        hashes.append(np.frombuffer(h, U))
-        kinds.append(np.frombuffer(k, np.int8))
-        counts.append(np.frombuffer(c, np.uint8))
-        which.append(np.full(len(hashes[-1]), len(y)))
-        y.append(toxic == 1)
-    return *(np.concatenate(x) for x in (which, hashes, kinds, counts)), np.array(y, bool)
-
-
-def mine(row: np.ndarray, element: np.ndarray, kind: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(elements, kinds) that stand in toxic documents beyond chance, by a likelihood-ratio test against all that were tried."""
-    distinct, at, where = np.unique(element, return_index=True, return_inverse=True)
-    n1 = np.bincount(where, toxic[row].astype(float), len(distinct))
-    n = np.bincount(where, minlength=len(distinct)).astype(float)
-    total, base = float(len(toxic)), float(toxic.sum())
+    kept = []
+    for doc_id, *marks in zip(*(c.to_pylist() for c in chosen.select("doc_id", "text").mapInArrow(mark, "doc_id long, a long, b long, c long").orderBy("doc_id").toArrow().columns), strict=True):
+        new = set(marks) - {0}
+        if not new & met:
+            met |= new
+            kept.append((doc_id,))
+    one = docs.sparkSession.createDataFrame(kept, "doc_id long")  # at most `train` ids
+    return scratch.keep(chosen.join(F.broadcast(one), "doc_id"), "training")
+
+
+_COUNTED = "id long, element long, kind int, level int, n long"
+
+
+def _count(rows: DataFrame, among: np.ndarray | None) -> DataFrame:
+    """(id, element, kind, level, n): texts that hold each element, of those in `among` if given."""
+    sent = rows.sparkSession.sparkContext.broadcast(among)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1024):
+            ids, rest = [], []
+            for h, kinds, counts, _ in _distinct(batch.column(0).to_pylist()):
+                i, e, k, level = _levels(h, kinds, counts)
+                if sent.value is not None:
+                    some = sent.value[np.minimum(np.searchsorted(sent.value, i), len(sent.value) - 1)] == i
+                    i, e, k, level = i[some], e[some], k[some], level[some]
+                ids.append(i)
+                rest.append(np.stack((e, k.astype(U), level.astype(U)), 1))
+            distinct, n, one = _tally(ids, rest)
+            columns = (distinct.view(np.int64), one[:, 0].view(np.int64), one[:, 1].astype(np.int32), one[:, 2].astype(np.int32), n.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["id", "element", "kind", "level", "n"])
+
+    found = rows.select("text").mapInArrow(count, _COUNTED)
+    return found.groupBy("id").agg(F.min("element").alias("element"), F.min("kind").alias("kind"), F.min("level").alias("level"), F.sum("n").alias("n"))
+
+
+def mine(train: DataFrame, total: int, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(id, element, kind, level), sorted by id, of what stands in toxic documents beyond chance, by a likelihood-ratio test."""
+    seen = _count(train.where("toxic = 1"), None).where("n >= 3").toArrow()  # of a bounded number of documents
+    ids = seen.column("id").to_numpy().view(U)
+    order = np.argsort(ids)
+    ids, n1 = ids[order], seen.column("n").to_numpy()[order].astype(float)
+    element, kind, level = (seen.column(c).to_numpy()[order] for c in ("element", "kind", "level"))
+    if not len(ids):
+        return ids, element.view(U), kind, level
+    every = _count(train, ids).select("id", "n").toArrow()
+    n = np.zeros(len(ids))
+    n[np.searchsorted(ids, every.column("id").to_numpy().view(U))] = every.column("n").to_numpy()
     p, rest = base / total, np.maximum(total - n, 1e-9)
 
     def term(k: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -134,10 +162,27 @@ def mine(row: np.ndarray, element: np.ndarray, kind: np.ndarray, toxic: np.ndarr
         return k * np.log(share) + (m - k) * np.log1p(-share)
 
     gain = 2 * (term(n1, n) + term(base - n1, rest) - (base * np.log(p) + (total - base) * np.log1p(-p)))
-    tried = max(2, int((n >= 3).sum()))
-    good = (n1 >= 3) & (n1 / n > max(0.5, 3 * p)) & (gain > 2 * np.log(tried))
-    best = np.argsort(-np.where(good, gain, -1), kind="stable")[: min(ELEMENTS, int(good.sum()))]
-    return distinct[best], kind[at[best]]
+    good = (n1 / np.maximum(n, 1) > max(0.5, 3 * p)) & (gain > 2 * np.log(max(2, len(ids))) + 4)
+    best = np.sort(np.argsort(-np.where(good, gain, -1), kind="stable")[: min(ELEMENTS, int(good.sum()))])
+    return ids[best], element[best].view(U), kind[best], level[best]
+
+
+def hits(train: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place) of each chosen element in each training document, and the documents' labels."""
+    sent = train.sparkSession.sparkContext.broadcast(ids)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            lists = []
+            for h, kinds, counts, _ in _distinct(batch.column(2).to_pylist()):
+                i = _levels(h, kinds, counts)[0]
+                place = np.minimum(np.searchsorted(sent.value, i), len(sent.value) - 1)
+                lists.append(place[sent.value[place] == i].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "toxic", "places"])
+
+    rows = train.select("doc_id", "toxic", "text").mapInArrow(find, "doc_id long, toxic int, places array<int>").orderBy("doc_id").toArrow()
+    lists = rows.column("places").to_pylist()
+    return np.repeat(np.arange(len(lists)), list(map(len, lists))), np.array([x for y in lists for x in y], np.int64), rows.column("toxic").to_numpy() == 1
 
 
 class LabelModel:
@@ -203,30 +248,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(row: np.ndarray, element: np.ndarray, kind: np.ndarray, count: np.ndarray, toxic: np.ndarray) -> tuple[Model, LabelModel | None]:
+def fit(train: DataFrame) -> tuple[Model, LabelModel | None]:
     """Mine, vote, fit the label model, and train the classifier on its posterior labels."""
     nothing = Model(np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0), float(np.log(NONE / (1 - NONE))))
-    if not toxic.any() or toxic.all():
+    total, base = train.agg(F.count("*"), F.count_if(F.col("toxic") == 1)).first()
+    if not 0 < base < total:
         return nothing, None
-    # an element at each level that a text reaches is an element of its own
-    reached = [np.flatnonzero(count >= least) for least in LEVELS]
-    level = np.repeat(np.arange(len(LEVELS)), list(map(len, reached)))
-    reached = np.concatenate(reached)
-    row, base, kind = row[reached], element[reached], kind[reached]
-    element = mix(base + level.astype(U) * U(0xA24BAED4963EE407))
-    chosen, kinds = mine(row, element, kind, toxic)
-    if not len(chosen):
+    ids, bases, kinds, levels = mine(train, total, base)
+    if not len(ids):
         return nothing, None
-    order = np.argsort(chosen)
-    chosen, kinds = chosen[order], kinds[order]
-    place = np.minimum(np.searchsorted(chosen, element), len(chosen) - 1)
-    hit = chosen[place] == element
-    row, place = row[hit], place[hit]
-    n, m = len(toxic), len(chosen)
-    bases, levels = np.zeros(m, U), np.zeros(m, np.int64)
-    bases[place], levels[place] = base[hit], level[hit]
+    row, place, toxic = hits(train, ids)
+    n, m = len(toxic), len(ids)
     votes = _ballots(row, place, kinds, n)
-    labels = LabelModel(votes, votes.any(1))
+    labels = LabelModel(votes, toxic)
     target = labels.posterior(votes)
     # logistic regression by gradient steps with momentum; weights may not be negative: no element speaks for clean
     weights, bias = np.full(m, 0.5), float(np.log(NONE / (1 - NONE)))
@@ -248,7 +282,7 @@ def held_out(doc_id: Column) -> Column:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    model, _ = fit(*training(docs, labels))
+    model, _ = fit(training(docs, labels))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
