@@ -52,3 +52,26 @@ def test_components_of_random_graphs(spark):
 def test_closure_ends_on_cycles(spark):
     got = graph.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "base string, derived string"))
     assert got.count() == 9
+
+
+def test_dead_classes_that_something_points_to(spark):
+    from snapgraph.plans import views
+
+    nodes = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", True)], "id string, fully_dead boolean")
+    edges = spark.createDataFrame(
+        [("c", "a", "type_reference", "2"), ("c", "a", "static_call", "3"), ("b", "a", "instance_call", "1"), ("a", "b", "static_call", "4"), ("c", "d", "extends", "5")],
+        "source string, target string, kind string, first_ord string",
+    )
+    assert {r.id for r in views.softened_dead(nodes, edges).collect()} == {"a", "d"}
+    assert {(r.target, r.source, r.kind) for r in views.why_alive(nodes, edges).collect()} == {("a", "b", "instance_call"), ("b", "a", "static_call")}
+
+
+def test_visible_nodes_and_focus(spark):
+    from snapgraph.plans import views
+
+    nodes = spark.createDataFrame([("a", "Alpha", "apex_class", 5, 1), ("b", "Beta", "apex_class", 0, 1), ("c", "Gamma", "lwc_component", 9, 9)], "id string, name string, type string, in_degree int, out_degree int")
+    assert {r.id for r in views.visible(nodes, 2).collect()} == {"a", "c"}
+    assert {r.id for r in views.visible(nodes, 2, ["apex_class"], "ALP").collect()} == {"a"}
+    around = nodes.where("id <> 'c'").select("id")
+    assert {r.id for r in views.visible(nodes, 99, search="zzz", focused=around, focus_id="b").collect()} == {"b"}
+    assert {r.id for r in views.visible(nodes, 99, focused=around, focus_id="b").collect()} == {"a", "b"}
