@@ -28,10 +28,15 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df once under a fresh path and return the written table."""
+def keep(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
+    """Write df once under a fresh path and return the written table.
+
+    fewer: in an eighth of the shuffle partitions, for tables much smaller than what they are made of.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if fewer:
+        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
