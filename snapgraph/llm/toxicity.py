@@ -3,7 +3,7 @@
 From labelled training documents, elements are mined that stand in toxic
 documents more often than chance allows: whole words and pieces at words'
 beginnings and ends, so that families of words are met too, each as standing in
-a text once, twice, three or five times at least. Elements of a kind are dealt
+a text at all, or as often as so many words in a hundred. Elements of a kind are dealt
 over lexicons; a lexicon votes for toxic where the text holds one of its elements. A generative label model of all votes, a mixture of toxic and clean
 documents fitted by expectation maximisation, estimates each voter's accuracy;
 voters that agree beyond what the label explains share their weight. A logistic
@@ -26,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import lsh, scratch
+from snapgraph import scratch
+from snapgraph.llm import lsh
 from snapgraph.llm.words import U, Words, mix, part, shingles, small, sums, words
 
 #: Labelled documents that are used at most, elements of the classifier at most, and lexicons of each kind.
 TRAIN, ELEMENTS, LEXICONS = 20_000, 4096, 4
 #: Kinds of elements: whole words, and the first or last so many bytes of longer words.
 KINDS = (("word", 0), ("begin", 4), ("begin", 5), ("begin", 6), ("begin", 7), ("end", 5), ("end", 6))
-#: Each element is also told apart by how often it stands in a text, at least.
-LEVELS = (1, 2, 3, 5)
+#: Each element is also told apart by how often it stands in a hundred words, at least, and twice or more; at first by standing there at all.
+LEVELS = (0.0, 0.5, 1.0, 2.0)
+#: The share of an element's texts that are toxic, at least; how strongly weights are held to what an element says alone.
+PRECISION, HOLD = 0.6, 0.1
 THRESHOLD = 0.3
 #: The score of a document without evidence.
 NONE = 0.01
@@ -68,7 +71,7 @@ def _distinct(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
         hashes, owners, kinds = hashes[order], owners[order], kinds[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-        count = np.minimum(np.diff(np.append(np.flatnonzero(new), len(new))), 255).astype(np.uint8)
+        count = np.diff(np.append(np.flatnonzero(new), len(new)))
         hashes, owners, kinds = hashes[new], owners[new], kinds[new]
         ptr = np.searchsorted(owners, np.arange(n + 1))
         runs, whose = shingles(found, 5)
@@ -79,9 +82,17 @@ def _distinct(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray,
             yield hashes[some], kinds[some], count[some], marks
 
 
+def _reached(counts: np.ndarray, n_words: np.ndarray | int) -> np.ndarray:
+    """The highest level of elements that stand so often in texts of so many words."""
+    rate = 100.0 * counts / np.maximum(n_words, 1)
+    return np.where(counts > 1, np.searchsorted(LEVELS, rate, "right") - 1, 0)
+
+
 def _levels(h: np.ndarray, kinds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(id, element, kind, level) of a text's elements, each once for every level that it reaches."""
-    reached = [np.flatnonzero(counts >= least) for least in LEVELS]
+    n_words = int(counts[kinds == 0].astype(np.int64).sum())
+    top = _reached(counts.astype(np.int64), n_words)
+    reached = [np.flatnonzero(top >= k) for k in range(len(LEVELS))]
     level = np.repeat(np.arange(len(LEVELS)), list(map(len, reached)))
     at = np.concatenate(reached)
     return mix(h[at] + level.astype(U) * U(0xA24BAED4963EE407)), h[at], kinds[at], level
@@ -98,7 +109,7 @@ def training(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> DataFram
     """(doc_id, text, toxic), written: up to `train` labelled documents that are not held out, of near copies one."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train), "train")
+    known = scratch.keep(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train), "train", fewer=True)
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     chosen = scratch.keep(chosen.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), "chosen")
 
@@ -162,7 +173,7 @@ def mine(train: DataFrame, total: int, base: int) -> tuple[np.ndarray, np.ndarra
         return k * np.log(share) + (m - k) * np.log1p(-share)
 
     gain = 2 * (term(n1, n) + term(base - n1, rest) - (base * np.log(p) + (total - base) * np.log1p(-p)))
-    good = (n1 / np.maximum(n, 1) > max(0.5, 3 * p)) & (gain > 2 * np.log(max(2, len(ids))) + 4)
+    good = (n1 / np.maximum(n, 1) > max(PRECISION, 3 * p)) & (gain > 2 * np.log(max(2, len(ids))) + 4)
     best = np.sort(np.argsort(-np.where(good, gain, -1), kind="stable")[: min(ELEMENTS, int(good.sum()))])
     return ids[best], element[best].view(U), kind[best], level[best]
 
@@ -243,7 +254,7 @@ class Model:
                     place = np.minimum(np.searchsorted(self.hashes, h[hit]), len(self.hashes) - 1)
                     same = self.hashes[place] == h[hit]
                     pairs, count = np.unique(owner[at[hit[same]]] * len(self.hashes) + place[same], return_counts=True)
-                    reached = np.searchsorted(LEVELS, count, "right") - 1
+                    reached = _reached(count, np.diff(found.ptr)[pairs // len(self.hashes)])
                     np.add.at(out, pairs // len(self.hashes) + found.first, self.weights[pairs % len(self.hashes), reached])
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
@@ -262,17 +273,18 @@ def fit(train: DataFrame) -> tuple[Model, LabelModel | None]:
     votes = _ballots(row, place, kinds, n)
     labels = LabelModel(votes, toxic)
     target = labels.posterior(votes)
-    # logistic regression by gradient steps with momentum; weights may not be negative: no element speaks for clean
-    weights, bias = np.full(m, 0.5), float(np.log(NONE / (1 - NONE)))
-    speed, push = np.zeros(m), 0.0
+    # logistic regression by gradient steps with momentum, its bias that of no evidence; weights are held to what the elements
+    # say alone and may not be negative: no element speaks for clean
+    bias = float(np.log(NONE / (1 - NONE)))
+    yes, no = np.bincount(place, target[row], m), np.bincount(place, 1 - target[row], m)
+    alone = np.clip(np.log((yes + 0.5) / (no + 0.5)) - bias - 1, 0, 6)
+    weights, speed = alone.copy(), np.zeros(m)
     scale = 1 / np.sqrt(np.bincount(place, minlength=m) + 1.0)
     for _ in range(400):
         margin = bias + np.bincount(row, weights[place], n)
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
-        speed = 0.9 * speed - 0.3 * scale * (np.bincount(place, error[row], m) + 0.02 * weights)
+        speed = 0.9 * speed - 0.3 * scale * (np.bincount(place, error[row], m) + HOLD * (weights - alone))
         weights = np.maximum(weights + speed, 0)
-        push = 0.9 * push - 0.1 * error.sum() / np.sqrt(n)
-        bias = min(bias + push, float(np.log(0.05 / 0.95)))
     return Model(bases, levels, weights, bias), labels
 
 
