@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgraph.llm import lsh, scratch
+from snapgraph import scratch
+from snapgraph.llm import lsh
 from snapgraph.llm.words import U, groups, mix, part, small, sums
 
 CHARS, THRESHOLD = 8, 0.8
@@ -156,14 +157,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = signed.select("doc", "text_hash", "line_no", "node")
     per = places.groupBy("node").agg(F.min("doc").alias("owner"), F.count("*").alias("n"))
     rooted = lsh.lookup(per, labels, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
-    rooted = scratch.keep(rooted, "rooted")
-    owners = scratch.keep(rooted.groupBy("root").agg(F.min("owner").alias("owner")), "owners")
-    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), owners, "root", "inner"), "special")
+    rooted = scratch.keep(rooted, "rooted", fewer=True)
+    owners = scratch.keep(rooted.groupBy("root").agg(F.min("owner").alias("owner")), "owners", fewer=True)
+    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), owners, "root", "inner"), "special", fewer=True)
     touched = lsh.lookup(places, special, "node", "inner")
     first = F.rank().over(Window.partitionBy("doc", "text_hash", "root").orderBy("line_no"))
     spare = touched.where("doc = owner").withColumn("nth", first).where("nth > 1").select("doc", "text_hash", "line_no")
     spare = spare.union(touched.where("doc <> owner").select("doc", "text_hash", "line_no"))
-    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed")
+    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed", fewer=True)
 
 
 def _without(docs: DataFrame) -> DataFrame:

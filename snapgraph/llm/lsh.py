@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import scratch, unionfind
+from snapgraph import scratch
+from snapgraph.llm import unionfind
 from snapgraph.llm.words import small
 
 #: Rows of a lookup table that may be broadcast, some 100 MB; larger ones are joined by shuffle.
@@ -76,7 +77,7 @@ def stars(signatures: DataFrame) -> DataFrame:
     heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = pieces.join(heads, "band").where("pivot <> head").select(F.col("head").alias("a"), F.col("pivot").alias("b"))
     within = runs.where("not piece").join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
-    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars")
+    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars", fewer=True)
 
 
 def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
@@ -97,7 +98,7 @@ def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame
     The rows of an item a that is compared often are split over tasks; each task
     reads a's text once, then streams the others'.
     """
-    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per")
+    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per", fewer=True)
     named = texts.select(F.col("node"), "text")
     left = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     left = left.join(named, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -131,9 +132,9 @@ BLOCK, COLUMNS, CENTRAL = 1024, 2048, 1024
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """(pivot, node, plain, root) of the pivots whose members are in different components, written."""
     placed = lookup(members.select("pivot", "node", "plain"), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = scratch.keep(placed, "placed")
+    placed = scratch.keep(placed, "placed", fewer=True)
     apart = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-    return scratch.keep(placed.join(apart, "pivot", "left_semi"), "apart")
+    return scratch.keep(placed.join(apart, "pivot", "left_semi"), "apart", fewer=True)
 
 
 def _similar(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, threshold: float, either: bool) -> np.ndarray:
@@ -236,14 +237,14 @@ def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elem
     texts: from a written table of nodes to their (node, text).
     """
     pairs = stars(signatures)
-    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    known = scratch.keep(texts(nodes), "texts")
+    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes", fewer=True)
+    known = scratch.keep(texts(nodes), "texts", fewer=True)
     near = F.col("weighted") >= threshold
     if either:
         near = near | (F.col("plain") >= threshold)
     scores = scratch.keep(compare(pairs, known, elements), "scores")
     links = scores.where(near).select("a", "b")
-    labels = scratch.keep(unionfind.components(links), "labels")
+    labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
 
     members = scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "plain")
     members = members.union(pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node"), F.lit(-1.0).alias("plain")).distinct())
@@ -253,11 +254,11 @@ def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elem
         center = apart.join(sizes, "pivot").groupBy("pivot").agg(F.max_by(F.struct("node", "root"), F.struct("plain", "node")).alias("c"))
         second = apart.join(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "pivot")
         second = second.where("root <> center and node <> pivot").select("a", F.col("node").alias("b")).distinct()
-        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second")
+        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second", fewer=True)
         links = links.union(scratch.keep(compare(second, known, elements), "scores").where(near).select("a", "b"))
-        labels = scratch.keep(unionfind.components(links), "labels")
+        labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
         apart = _open(apart, labels)
     joins = scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold, either), "joins")
     if joins.isEmpty():
         return labels
-    return scratch.keep(unionfind.components(links.union(joins)), "labels")
+    return scratch.keep(unionfind.components(links.union(joins)), "labels", fewer=True)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapgraph.llm import scratch
+from snapgraph import scratch
 
 #: Up to so many sources, their targets are broadcast (some 50 bytes each); above, documents are joined over salted keys.
 BROADCAST_SOURCES = 20_000
@@ -65,7 +65,7 @@ def chance(doc_id: Column, seed: str) -> Column:
 
 def with_copies(docs: DataFrame, seed: str = "mix", weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0) -> DataFrame:
     """docs(doc_id, source, _size, ...) with _source_size, _target and _copies added."""
-    plan = scratch.keep(targets(docs.select("source", F.col("_size").alias("size")), weights, most), "targets")
+    plan = scratch.keep(targets(docs.select("source", F.col("_size").alias("size")), weights, most), "targets", fewer=True)
     plan = plan.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     if plan.count() <= BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_source")), "left")

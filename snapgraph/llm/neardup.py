@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import lsh, scratch
+from snapgraph import scratch
+from snapgraph.llm import lsh
 from snapgraph.llm.words import U, mix, shingles, small, words
 
 WORDS, THRESHOLD = 5, 0.8
@@ -176,7 +177,7 @@ def label(docs: DataFrame) -> DataFrame:
 
     def texts(nodes: DataFrame) -> DataFrame:
         """One document of each node; documents are found by id, so a text's many copies don't meet in a task."""
-        wanted = scratch.keep(lsh.lookup(first, nodes, "node", "left_semi").withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))), "wanted")
+        wanted = scratch.keep(lsh.lookup(first, nodes, "node", "left_semi").withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))), "wanted", fewer=True)
         named = plain.withColumn("doc", F.coalesce("doc", F.lit(-(2**63))))
         return lsh.lookup(named, wanted, ["node", "doc"], "left_semi").select("node", "text").dropDuplicates(["node"])
 
@@ -188,7 +189,7 @@ def label(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the class's smallest doc_id), class_size (rows), and whether it stands for its class."""
     labelled = scratch.keep(label(docs.select("doc_id", "text")).select("_doc", "_class"), "labelled")
-    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("class_id"), F.count("*").alias("class_size")), "by")
+    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("class_id"), F.count("*").alias("class_size")), "by", fewer=True)
     out = lsh.lookup(labelled, by, "_class", "left")
     return out.select(F.col("_doc").alias("doc_id"), "class_id", "class_size", F.col("_doc").eqNullSafe(F.col("class_id")).alias("representative"))
 
@@ -196,6 +197,6 @@ def report(docs: DataFrame) -> DataFrame:
 def dedupe(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the smallest doc_id, with all its columns."""
     labelled = label(docs)
-    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("_least")), "by")
+    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("_least")), "by", fewer=True)
     kept = lsh.lookup(labelled, by, "_class", "left").where(F.col("_doc").eqNullSafe(F.col("_least")))
     return kept.dropDuplicates(["_class"]).select("_row.*")

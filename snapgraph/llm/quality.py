@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import lsh, scratch
+from snapgraph import scratch
+from snapgraph.llm import lsh
 from snapgraph.llm.words import U, Words, mix, small, words
 
 WORD_CELLS, OUTLINE_CELLS, REPEAT_CELLS = 1 << 13, 1 << 12, 1 << 8
@@ -132,7 +133,7 @@ def _bits(key: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, labels: DataFrame, seed: str = "quality") -> tuple[DataFrame, np.ndarray]:
     """(doc_id, text_hash, label, log_weight, key, bits) of every document, written; and the log ratios."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("label"))
-    known = scratch.keep(known, "known")
+    known = scratch.keep(known, "known", fewer=True)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = lsh.lookup(plain, known, "doc_id", "left")
     raw, target = counts(joined.select("text", F.coalesce(F.col("label") == 1, F.lit(False)).alias("good")))
@@ -199,7 +200,7 @@ def sample(docs: DataFrame, labels: DataFrame, seed: str = "quality") -> DataFra
 
 def keep(docs: DataFrame, labels: DataFrame, seed: str = "quality") -> DataFrame:
     """The documents that are kept, with all their columns."""
-    kept = scratch.keep(sample(docs, labels, seed).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "kept")
+    kept = scratch.keep(sample(docs, labels, seed).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "kept", fewer=True)
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_own"), F.xxhash64(F.col("text").cast("string")).alias("_own_hash"))
     on = F.col("_own").eqNullSafe(F.col("_doc")) & (F.col("_own_hash") == F.col("_hash"))
     few = kept.count() <= lsh.BROADCAST_ROWS

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapgraph.llm import scratch
+from snapgraph import scratch
 
 #: Edges a task holds at once in its local union-find.
 HELD = 1 << 20
@@ -68,10 +68,10 @@ def components(edges: DataFrame) -> DataFrame:
     down = down.mapInArrow(_local, "a long, b long")
     while True:
         # all edges from a node down to smaller ones meet in a task, which leaves each node there one edge, to the smallest
-        parents = scratch.keep(down.repartition("a").mapInArrow(_local, "a long, b long").distinct(), "parents")
+        parents = scratch.keep(down.repartition("a").mapInArrow(_local, "a long, b long").distinct(), "parents", fewer=True)
         least = parents.groupBy("a").agg(F.min("b").alias("up"), F.count("*").alias("n"))
         jumped = parents.join(least.select(F.col("a").alias("b"), "up"), "b", "left")
-        jumped = scratch.keep(jumped.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), "jumped")
+        jumped = scratch.keep(jumped.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), "jumped", fewer=True)
         if jumped.where("moved").isEmpty() and least.where("n > 1").isEmpty():
             break
         down = jumped.select("a", "b")
