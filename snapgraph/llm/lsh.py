@@ -125,8 +125,8 @@ def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame
     return dealt.mapInArrow(rows, "a long, b long, weighted double, plain double")
 
 
-#: Members of a group in one block, and elements in one product; the size from which a group gets a second pivot.
-BLOCK, COLUMNS, CENTRAL = 1024, 2048, 1024
+#: Members of a group in one block, their bytes of text, and elements in one product; the size from which a group gets a second pivot.
+BLOCK, BYTES, COLUMNS, CENTRAL = 1024, 16 << 20, 2048, 1024
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -185,7 +185,8 @@ def _similar(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right:
 
 def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold: float, either: bool) -> DataFrame:
     """(a, b): links that join components, from members (pivot, node, root) of groups; at most one a member and block."""
-    per = members.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
+    per = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks"))
     rows = members.join(per, "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
     rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
