@@ -1,12 +1,19 @@
 """Substring deduplication by sliding spans of sentences.
 
 A sentence is a longest run of words without a full stop, exclamation or
-question mark or line break between them. A span begins at any sentence and
-takes the fewest sentences, two at least, that hold 12 words, or one sentence of
-50 words or more. Spans are equal if their words are (lower-cased, without
-punctuation). Of each span found more than once, the first place stays, that of
-the smallest doc_id and in it the first; sentences that any other place covers
-are removed, with the punctuation that follows them.
+question mark or line break between them. A span is any run of two sentences or
+more that hold 12 words, or one sentence of 50 words or more. Spans are equal if
+their words are (lower-cased, without punctuation). Of each span found more than
+once, the first place stays, that of the smallest doc_id and in it the first;
+sentences that any other place covers are removed, with the punctuation that
+follows them.
+
+Hashed are, from every sentence, the shortest span that begins and the shortest
+that ends with it, and each long sentence alone. Within any span these lie one
+over the other from its first sentence to its last, and what repeats a span
+repeats them, so all sentences of longer repeats are covered too. Spans of equal
+words that are cut into sentences in different ways are found as far as a hashed
+span has both its ends in common.
 
 Defined cases: a null text stays null, an empty one empty; a text without words
 has no spans; rows that share a doc_id count as one document, equal rows get
@@ -49,9 +56,15 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     last = ptr[text + 1]  # behind the text's last sentence
     # the sentence behind the span: enough words, at least two sentences
     stop = np.maximum(np.searchsorted(ends, first + WORDS, "left") + 1, np.arange(len(first)) + SENTENCES)
-    stop = np.where(ends - first >= LONG, np.arange(len(first)) + 1, stop)
-    good = np.flatnonzero(stop <= last)
-    begin, behind = first[good], ends[stop[good] - 1]
+    every = np.arange(len(first))
+    # the same backwards from each sentence; what begins and ends with the same sentences is hashed once
+    back = np.minimum(np.searchsorted(first, ends - WORDS, "right") - 1, every - SENTENCES + 1)
+    ahead, behind = np.flatnonzero(stop <= last), np.flatnonzero(back >= ptr[text])
+    behind = behind[stop[back[behind]] != behind + 1]
+    alone = np.flatnonzero(ends - first >= LONG)
+    good = np.concatenate((ahead, back[behind], alone))
+    stop = np.concatenate((stop[ahead], behind + 1, alone + 1))
+    begin, behind = first[good], ends[stop - 1]
     prefix = np.zeros(len(owner) + 1, U)
     np.cumsum(found.hashes * _power(_BASE, len(owner)), out=prefix[1:])
     hashes = mix((prefix[behind] - prefix[begin]) * _power(_INVERSE, len(owner))[begin])
@@ -61,7 +74,7 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     size = np.diff(found.begin) - 1
     upto = np.append(at[1:], 0)
     upto[last - 1] = size[text[last - 1]]
-    return text[good], hashes.view(np.int64), at[good], upto[stop[good] - 1], np.diff(ptr)
+    return text[good], hashes.view(np.int64), at[good], upto[stop - 1], np.diff(ptr)
 
 
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -238,3 +238,50 @@ def test_span_edge_cases(spark):
     got = spans.report(spark.createDataFrame([(None, text), (1, text), (2, None), (3, ""), (1, text)], schema)).collect()
     assert sorted((r.doc_id or 9, r.text) for r in got if r.text is not None) == [(1, text), (1, text), (3, ""), (9, "")]
     assert spans.report(spark.createDataFrame([(1, "x. " * 50_000)], schema)).select(F.length("text")).first()[0] < 150_000
+
+
+def all_runs_by_force(rows):
+    """Every run of sentences, of any length, instead of the spans that are hashed."""
+    first, every = {}, []
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        sentences, end = [], None
+        for m in WORD.finditer(t or ""):
+            if end is None or re.search(r"[.!?\n]", t[end : m.start()]):
+                sentences.append([m.start(), []])
+            sentences[-1][1].append(m[0].lower())
+            end = m.end()
+        at = [0] + [s[0] for s in sentences[1:]] + [len(t or "")]
+        for i in range(len(sentences)):
+            own = []
+            for j in range(i, len(sentences)):
+                own += sentences[j][1]
+                if len(own) >= (spans.WORDS if j > i else spans.LONG):
+                    key = " ".join(own)
+                    first.setdefault(key, (d, i))
+                    every.append((key, d, i, at[i], at[j + 1]))
+    gone = defaultdict(set)
+    for key, d, i, a, b in every:
+        if first[key] != (d, i):
+            gone[d].update(range(a, b))
+    return {d: None if t is None else "".join(c for k, c in enumerate(t) if k not in gone[d]) for d, t in rows}
+
+
+def test_all_runs_of_sentences(spark):
+    """The last sentences of a repeated passage go too, behind a long sentence as well as behind short ones."""
+    long, ten = " ".join(f"q{i}" for i in range(60)), [" ".join(f"t{k}{i}" for i in range(10)) for k in range(2)]
+    rows = [(1, f"Own begin. {long}. The last one. Own end."), (2, f"Other begin. {long}. The last one. Other end."), (3, f"{long}. The last one.")]
+    rows += [(4, f"{ten[0]}. {ten[1]}. Tail. Rest here."), (5, f"Before. {ten[0]}. {ten[1]}. Tail. Others follow.")]
+    rows += [(6, f"One. {long}. Two"), (7, f"Three. {long}! Four")]
+    random.seed(9)
+    lengths = (1, 1, 2, 5, 9, 11, 12, 48, 49, 50, 51, 70)
+    pool = [" ".join(f"r{k}x{i}" for i in range(random.choice(lengths))) for k in range(40)]
+    for d in range(100, 160):
+        at = random.randrange(30)
+        rows.append((d, ". ".join([f"own{d}", *pool[at : at + random.randrange(1, 9)], *random.choices(pool, k=3)]) + "."))
+    got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == all_runs_by_force(rows)
+    assert got[2] == "Other begin. Other end." and got[3] == "" and got[5] == "Before. Others follow."
+    for seed in (5, 6):
+        rows = corpus(seed)
+        got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == all_runs_by_force(rows)
