@@ -8,9 +8,12 @@ every corpus size. Consistent weighted samples, as many as bands times rows, are
 banded; candidates are verified by exact weighted Jaccard similarity. A pair is
 linked from 0.8 in weighted similarity, and also from 0.8 in plain similarity of
 the shingle sets: in a large group of copies the shared shingles are frequent
-and weigh less than each copy's own edits. Classes are the components of links.
+and weigh less than each copy's own edits. Each rule has candidates of its own:
+samples of the plain sets are banded beside the weighted ones. Classes are the
+components of links.
 
-Bands: 28 of 5 rows; a pair at 0.8 is missed with probability 2e-5.
+Bands: 28 of 5 rows for either similarity; a pair at 0.8 in one of them is missed
+with probability 2e-5.
 
 Defined cases: equal texts are always in one class, whatever they hold; texts
 without words are similar to equal texts only; null texts count as one class of
@@ -110,6 +113,21 @@ class Sampler:
         return mix(total).astype(np.int64)
 
 
+_PLAIN = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), U, False)
+
+
+def plain_bands(h: np.ndarray) -> np.ndarray:
+    """Bands of samples of the set alone, whatever its elements weigh: the least element under each of many hash functions."""
+    least = np.full(BANDS * ROWS, U(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(h), 4096):
+        np.minimum(least, ((h[at : at + 4096] ^ _PLAIN[0]) * (_PLAIN[1] | U(1))).min(1), out=least)
+    parts = least.reshape(BANDS, ROWS)
+    total = np.arange(BANDS, 2 * BANDS, dtype=U)
+    for i in range(ROWS):
+        total = total * U(0x9E3779B97F4A7C15) + parts[:, i]
+    return mix(total).astype(np.int64)
+
+
 def levels(docs: DataFrame) -> np.ndarray:
     """log2(1 + N / df), rounded, for each hashed cell, counted over all documents; CELLS bytes on the driver."""
 
@@ -162,9 +180,9 @@ def label(docs: DataFrame) -> DataFrame:
             texts = [batch.column(1)[i].as_py() for i in own]
             for first, n, ptr, h, counts in _counted(texts):
                 some = [i for i in range(n) if ptr[i + 1] > ptr[i]]
-                rows = [sampler.bands(h[ptr[i] : ptr[i + 1]], counts[ptr[i] : ptr[i + 1]]) for i in some]
+                rows = [b for i in some for b in (sampler.bands(h[ptr[i] : ptr[i + 1]], counts[ptr[i] : ptr[i + 1]]), plain_bands(h[ptr[i] : ptr[i + 1]]))]
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32()), pa.array(flat))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * 2 * BANDS, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[[own[first + i] for i in some]].astype(np.int64)), bands], ["node", "bands"])
 
     signed = scratch.keep(plain.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bands array<long>"), "signed")

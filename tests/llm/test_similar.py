@@ -285,3 +285,28 @@ def test_all_runs_of_sentences(spark):
         rows = corpus(seed)
         got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
         assert got == all_runs_by_force(rows)
+
+
+def test_plain_bands_follow_plain_similarity():
+    random.seed(10)
+    met = 0
+    for _ in range(200):
+        every = np.array([random.getrandbits(64) for _ in range(120)], np.uint64)
+        a, b = np.sort(every[:90]), np.sort(every[30:])  # 60 of 120 shared
+        met += int((neardup.plain_bands(a) == neardup.plain_bands(b)).sum())
+    assert 0.7 < met / (200 * neardup.BANDS * 0.5**neardup.ROWS) < 1.3
+
+
+def test_near_duplicates_by_plain_similarity_alone(spark):
+    """Lines repeated many times part two texts in weighted similarity, not in plain similarity."""
+    rows = []
+    for k in range(12):
+        words = [f"a{k}w{i}" for i in range(104)]
+        line = " ".join(f"b{k}l{i}" for i in range(12))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *[line] * 100]))]
+    random.seed(11)
+    rows += [(100 + d, t) for d, t in corpus(11, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_force(spark, rows)
+    assert all(want[2 * k + 1] == 2 * k for k in range(12))
+    assert {r.doc_id: r.class_id for r in neardup.report(df).collect()} == want
