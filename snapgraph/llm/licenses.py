@@ -5,7 +5,8 @@ A-Z lower-cased; they are compared joined by one space. A notice of n characters
 may differ in n // 10 edits. By the pigeonhole principle one of edits + 1 parts
 of a notice then stands unchanged in the text: exact searches for the parts
 locate candidates, and the regex library's bounded-error matching verifies them
-and reports spans and edits. Base notices also count every exact place.
+and reports spans and edits: the best match first, then those in what is left
+before and behind it. Base notices also count every exact place.
 
 Defined cases: a null text is empty: no words, no places, null first_word and
 last_word, empty labels, score 0; repeated rows get equal results.
@@ -98,10 +99,13 @@ def fuzzy(text: bytes, n: Notice) -> list[tuple[int, int, int]]:
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    for a, b in merged:
-        for m in n.pattern.finditer(text, a, b):
+    while merged:
+        a, b = merged.pop()
+        m = n.pattern.search(text, a, b) if b - a > len(n.phrase) - n.edits else None
+        if m:
             out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return out
+            merged += [[a, m.start()], [m.end(), b]]
+    return sorted(out)
 
 
 def scan(text: str | None) -> dict:

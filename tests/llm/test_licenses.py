@@ -61,3 +61,45 @@ def test_seeds_lose_nothing():
         joined = f" some words {' '.join(''.join(text).split())} and more ".encode()
         whole = [(m.start(), m.end()) for m in n.pattern.finditer(joined)]
         assert bool(licenses.fuzzy(joined, n)) == bool(whole)
+
+
+def best_first(joined, n):
+    """(start, end, edits) by edit distances of all runs of words: of what overlaps, the fewest edits stay, then the first."""
+    starts = [i + 1 for i, c in enumerate(joined[:-1]) if c == 32]
+    ends = [i for i, c in enumerate(joined) if c == 32 and i]
+    found = []
+    for a in starts:
+        row = list(range(len(n.phrase) + 1))
+        for at in range(a, min(len(joined), a + len(n.phrase) + n.edits + 1)):
+            if at in ends and row[-1] <= n.edits:
+                found.append((row[-1], a, at))
+            new = [row[0] + 1]
+            for k, c in enumerate(n.phrase):
+                new.append(min(row[k] + (c != joined[at]), row[k + 1] + 1, new[-1] + 1))
+            row = new
+    out = []
+    for edits, a, b in sorted(found):
+        if all(b <= x or a >= y for x, y, _ in out):
+            out.append((a, b, edits))
+    return sorted(out)
+
+
+def test_adjacent_places_are_all_found():
+    """Inexact places before a better one stay, whatever stands between them."""
+    import random
+
+    assert [s[::3] for s in licenses.scan("mozilla public licence mozilla public license")["spans"]] == [(0, 1), (3, 0)]
+    assert [s[::3] for s in licenses.scan("under the mit licence under the mit license")["spans"]] == [(0, 1), (4, 0)]
+    random.seed(2)
+    fuzzy = [n for n in licenses.NOTICES if n.edits]
+    for _ in range(300):
+        n, parts = random.choice(fuzzy), []
+        for _ in range(random.randrange(2, 6)):
+            text = list(n.phrase.decode())
+            for _ in range(random.randrange(n.edits + 2)):
+                at = random.randrange(len(text))
+                if text[at] != " ":
+                    text[at] = random.choice("xqz")
+            parts += ["".join(text), *random.choices(["license", "public", "other", "under the"], k=random.randrange(3))]
+        joined = f" {' '.join(parts)} ".encode()
+        assert licenses.fuzzy(joined, n) == best_first(joined, n), (joined, n.label)
