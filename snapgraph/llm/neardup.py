@@ -1,10 +1,11 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words, a shorter text is one shingle. A shingle's
-weight is its count in the text times 1 + b / 8, where b is log2(1 + N / df)
-rounded to a whole number; df is counted over all documents in 2^18 hashed
-cells, a table of fixed size that tells frequent shingles from the rest alike at
-every corpus size. Consistent weighted samples, as many as bands times rows, are
+weight is its count in the text times its IDF, log2(1 + N / df) rounded to a
+whole number, 1 at least. df is counted over all documents in 2^18 hashed cells,
+a table of fixed size: at m distinct shingles a text a cell holds N * m / 2^18
+others, so shingles in fewer documents than that share one weight, of about
+log2(2^18 / m), and only more frequent ones are told apart. Consistent weighted samples, as many as bands times rows, are
 banded; candidates are verified by exact weighted Jaccard similarity. A pair is
 linked from 0.8 in weighted similarity, and also from 0.8 in plain similarity of
 the shingle sets: in a large group of copies the shared shingles are frequent
@@ -68,7 +69,7 @@ class Sampler:
         self._slot = np.arange(samples, dtype=U) * U(0x9E3779B97F4A7C15)
 
     def weights(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * (1.0 + self.levels[(h & U(CELLS - 1)).astype(np.int64)] / 8.0)
+        return counts * self.levels[(h & U(CELLS - 1)).astype(np.int64)].astype(np.float64)
 
     def _logs(self, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
         r = self.r[row]
@@ -78,7 +79,7 @@ class Sampler:
     def _level(self, level: int) -> np.ndarray:
         """The values of all table rows for a count of 1 at a level."""
         if level not in self._once:
-            self._once[level] = self._logs(np.arange(TABLE), np.full(TABLE, 1.0 + level / 8.0))
+            self._once[level] = self._logs(np.arange(TABLE), np.full(TABLE, float(level)))
         return self._once[level]
 
     def samples_of(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -129,7 +130,7 @@ def plain_bands(h: np.ndarray) -> np.ndarray:
 
 
 def levels(docs: DataFrame) -> np.ndarray:
-    """log2(1 + N / df), rounded, for each hashed cell, counted over all documents; CELLS bytes on the driver."""
+    """log2(1 + N / df), rounded, 1 at least, for each hashed cell, counted over all documents; CELLS bytes on the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, n = np.zeros(CELLS, np.int64), 0
@@ -145,7 +146,7 @@ def levels(docs: DataFrame) -> np.ndarray:
     total = int(n[cell < 0].sum()) or 1
     df = np.zeros(CELLS)
     df[cell[cell >= 0]] = n[cell >= 0]
-    return np.rint(np.log2(1 + total / np.maximum(df, 1))).astype(np.uint8)
+    return np.maximum(np.rint(np.log2(1 + total / np.maximum(df, 1))), 1).astype(np.uint8)
 
 
 _samplers: dict[int, Sampler] = {}

@@ -310,3 +310,12 @@ def test_near_duplicates_by_plain_similarity_alone(spark):
     want = classes_by_force(spark, rows)
     assert all(want[2 * k + 1] == 2 * k for k in range(12))
     assert {r.doc_id: r.class_id for r in neardup.report(df).collect()} == want
+
+
+def test_frequent_boilerplate_weighs_little(spark):
+    """Equal bodies below different frequent passages, 0.6 of all shingles, are near-duplicates by TF-IDF; equal passages alone are not."""
+    passages = [" ".join(f"p{k}w{i}" for i in range(52)) for k in range(3)]
+    bodies = [" ".join(f"b{k}w{i}" for i in range(160)) for k in range(300)]
+    rows = [(2 * k + side, f"{passages[(k + side) % 3]} {body}") for k, body in enumerate(bodies) for side in range(2)]
+    got = {r.doc_id: r.class_id for r in neardup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
