@@ -1,8 +1,8 @@
 """Intermediate tables in the folder that the whole cluster shares.
 
 A written table cuts the lineage and survives lost executors. The folder is
-`spark.checkpoint.dir`; where a session has none (tests on one machine), a
-temporary folder of this process is used.
+`spark.checkpoint.dir`; where a local session has none (tests on one machine), a
+temporary folder of this process is used. On a cluster it must be set.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="scratch-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -31,12 +33,13 @@ def folder(spark: SparkSession) -> str:
 def keep(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
     """Write df once under a fresh path and return the written table.
 
-    fewer: in an eighth of the shuffle partitions, for tables much smaller than what they are made of.
+    fewer: dealt anew after it is computed, into as many files as its size asks for; for
+    narrow tables much smaller than what they are made of, unless a shuffle ends their plan anyway.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if fewer:
-        df = df.coalesce(max(8, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.hint("rebalance")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
