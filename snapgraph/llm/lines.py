@@ -5,14 +5,16 @@ characters (a shorter line is one shingle). A one-permutation MinHash of 30 bins
 empty ones filled from others, is cut into 10 bands of 3; candidates are
 verified by exact Jaccard similarity of 0.8 or more, and a distributed
 union-find joins what is similar. Of each component one line stays: the first
-one of the smallest doc_id that holds any.
+one of the smallest document that holds any, in the order of (doc_id, hash of
+the text).
 
 Bands miss a pair at 0.8 with probability 8e-4, at 0.85 with 7e-5.
 
 Defined cases: blank lines are never compared and stay; a null text stays null,
 an empty one empty; a text whose lines all go becomes empty, the document stays;
-rows that share a doc_id count as one document, equal rows get equal results; a
-null doc_id comes after all others; extra columns pass through.
+different texts under one doc_id, or under none, are documents of their own,
+equal rows get equal results; a null doc_id comes after all others; an empty
+table gives an empty result; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,18 +23,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph import scratch
 from snapgraph.llm import lsh
-from snapgraph.llm.words import U, groups, mix, part, small, sums
+from snapgraph.llm.words import U, mix, part, small, sums
 
 CHARS, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
 _LAST = 2**63 - 1
 _EMPTY = np.uint32(0xFFFFFFFF)
+#: Bytes of text that are hashed at once.
+GROUP = 1 << 17
 #: For each bin the bins from which it is filled when empty, in the order they are tried.
 _PROBES = (mix(np.arange(BINS * 64, dtype=U) + U(77)) % U(BINS)).astype(np.int64).reshape(BINS, 64)
 
@@ -42,29 +47,36 @@ def _blend(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def _hashed(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first text, texts, shingle hashes, owners) for groups of texts; shingles repeat as they stand, an empty text has none.
+def _hashed(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(texts, shingle hashes, owners) for groups of texts; shingles repeat as they stand, an empty text has none.
 
     Eight one-byte characters are their own number, before blending; others are
     hashed by the group's prefix sums.
     """
-    for first, group in groups(texts, 1 << 17):
-        data = np.frombuffer(b"".join([*group, bytes(CHARS)]), np.uint8)
-        length = np.fromiter(map(len, group), np.int64, len(group))
-        begin = np.concatenate(([0], np.cumsum(length)))
+    if not len(texts):
+        return
+    offset = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    whole_data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    cuts = [0]
+    while cuts[-1] < len(texts):
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offset, offset[cuts[-1]] + GROUP, "right")) - 1))
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        n, begin = j - i, offset[i : j + 1] - offset[i]
+        length = np.diff(begin)
+        data = np.concatenate((whole_data[offset[i] : offset[j]], np.zeros(CHARS, np.uint8)))
         text = data[: begin[-1]]
         eight = np.ndarray(len(text) + 1, "<u8", data, 0, (1,))
         if length.min() >= CHARS and not (text & 0x80).any():
             whole = np.ones(len(text), bool)
             for k in range(1, CHARS):  # no shingle reaches over a text's end
                 whole[begin[1:] - k] = False
-            yield first, len(group), _blend(eight[:-1][whole]), np.repeat(np.arange(len(group)), length - CHARS + 1)
+            yield n, _blend(eight[:-1][whole]), np.repeat(np.arange(n), length - CHARS + 1)
             continue
         starts = np.flatnonzero((text & 0xC0) != 0x80)
         chars = np.searchsorted(starts, begin)
         count = np.diff(chars)
         shingles = np.where(count >= CHARS, count - CHARS + 1, np.minimum(count, 1))
-        owner = np.repeat(np.arange(len(group)), shingles)
+        owner = np.repeat(np.arange(n), shingles)
         at = np.arange(len(owner)) + np.repeat(chars[:-1] - np.cumsum(shingles) + shingles, shingles)
         start, ends = starts[at], np.append(starts, len(text))
         stop = ends[np.minimum(at + CHARS, chars[owner + 1])]
@@ -72,33 +84,35 @@ def _hashed(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         h = _blend(eight[start])
         if len(odd):
             h[odd] = part(sums(text), start[odd], stop[odd])
-        yield first, len(group), h, owner
+        yield n, h, owner
 
 
-def elements(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+def elements(texts: pa.Array) -> lsh.Sets:
     """Each text's distinct shingles, sorted, with equal weights."""
-    out = []
-    for _, n, h, owner in _hashed(texts):
-        ptr = np.searchsorted(owner, np.arange(n + 1)).tolist()
-        for a, b in zip(ptr, ptr[1:], strict=False):
-            own = np.sort(h[a:b])
-            own = own[np.concatenate((own[:1] == own[:1], own[1:] != own[:-1]))]
-            out.append((own, np.ones(len(own))))
-    return out
-
-
-def bands(texts: list) -> np.ndarray:
+    hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for n, h, owner in _hashed(texts):
+        order = np.lexsort((h, owner))
+        h = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        hashes.append(h[new])
+        counts.append(np.bincount(owner[new], minlength=n))
+    h = np.concatenate(hashes)
+    return h, np.ones(len(h)), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+
+
+def bands(texts: pa.Array) -> np.ndarray:
     """The band hashes of each non-empty text, texts x BANDS."""
     out = np.zeros((len(texts), BANDS), np.int64)
-    plain = np.fromiter((len(t) >= CHARS and t.isascii() for t in texts), bool, len(texts))
+    plain = pc.and_(pc.string_is_ascii(texts), pc.greater_equal(pc.binary_length(texts), CHARS)).to_numpy(zero_copy_only=False)
     for some in (np.flatnonzero(plain), np.flatnonzero(~plain)):  # long texts of one-byte characters take a shorter way
-        out[some] = _bands([texts[i] for i in some.tolist()])
+        out[some] = _bands(texts.take(pa.array(some)))
     return out
 
 
-def _bands(texts: list) -> np.ndarray:
+def _bands(texts: pa.Array) -> np.ndarray:
     out = []
-    for _, n, h, owner in _hashed(texts):
+    for n, h, owner in _hashed(texts):
         flat = np.full(n * BINS, _EMPTY, np.uint32)
         place = ((h >> U(32)) * U(BINS) >> U(32)).view(np.int64)
         place += owner * BINS
@@ -123,19 +137,20 @@ def _bands(texts: list) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text_hash, line_no, node, line) to the same without line, with bands where a node is new to the task."""
+    """(doc, text_hash, line_no, node, line) to the same with bands; line and bands only where a node is new to the task."""
     seen: set[int] = set()
     for batch in small(batches, 2048):
         if len(seen) > 1 << 18:  # repeats are dropped again later; this only saves work
             seen.clear()
-        nodes = batch.column(3).to_pylist()
+        nodes, line = batch.column(3).to_pylist(), batch.column(4)
         own = [i for i, k in enumerate(nodes) if not (k in seen or seen.add(k))]
-        found = bands(batch.column(4).take(pa.array(own, pa.int64())).to_pylist())
+        found = bands(line.take(pa.array(own, pa.int64())))
         new = np.zeros(len(nodes), np.int64)
         new[own] = BANDS
         offsets = pa.array(np.concatenate(([0], np.cumsum(new))), pa.int32())
         lists = pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), lists], ["doc", "text_hash", "line_no", "node", "bands"])
+        line = pc.if_else(pa.array(new > 0), line, pa.scalar(None, line.type))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), line, lists], ["doc", "text_hash", "line_no", "node", "line", "bands"])
 
 
 def _split(text: Column) -> Column:
@@ -145,26 +160,24 @@ def _split(text: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, removed array<int>): the places of the lines to go, for (doc_id, text) rows that have any."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    rows = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
-    rows = rows.withColumn("line", F.lower(F.trim("line"))).where("line <> ''").withColumn("node", F.xxhash64("line"))
-    signed = rows.select("doc", "text_hash", "line_no", "node", "line").mapInArrow(_sign, "doc long, text_hash long, line_no int, node long, bands array<long>")
-    signed = scratch.keep(signed, "signed")
+    rows = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), F.posexplode(_split(F.lower("text"))).alias("line_no", "line"))
+    rows = rows.withColumn("line", F.trim("line")).where("line <> ''").select("doc", "text_hash", "line_no", F.xxhash64("line").alias("node"), "line")
+    # each task signs a line once and keeps its text there, so no later step splits texts again
+    signed = scratch.keep(rows.mapInArrow(_sign, "doc long, text_hash long, line_no int, node long, line string, bands array<long>"), "signed")
 
     def texts(nodes: DataFrame) -> DataFrame:
-        return lsh.lookup(rows.select("node", F.col("line").alias("text")), nodes, "node", "left_semi").dropDuplicates(["node"])
+        return lsh.lookup(signed.where("line is not null").select("node", F.col("line").alias("text")), nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = lsh.classes(signed.where(F.size("bands") > 0), texts, elements, THRESHOLD, either=False)
-    places = signed.select("doc", "text_hash", "line_no", "node")
-    per = places.groupBy("node").agg(F.min("doc").alias("owner"), F.count("*").alias("n"))
-    rooted = lsh.lookup(per, labels, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    labels = lsh.classes(signed.where(F.size("bands") > 0).select("node", "bands"), texts, elements, THRESHOLD)
+    place = F.struct("doc", "text_hash", "line_no")
+    places = signed.select("node", place.alias("place"))
+    per = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    rooted = lsh.lookup(per, labels, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
     rooted = scratch.keep(rooted, "rooted", fewer=True)
-    owners = scratch.keep(rooted.groupBy("root").agg(F.min("owner").alias("owner")), "owners", fewer=True)
-    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), owners, "root", "inner"), "special", fewer=True)
-    touched = lsh.lookup(places, special, "node", "inner")
-    first = F.rank().over(Window.partitionBy("doc", "text_hash", "root").orderBy("line_no"))
-    spare = touched.where("doc = owner").withColumn("nth", first).where("nth > 1").select("doc", "text_hash", "line_no")
-    spare = spare.union(touched.where("doc <> owner").select("doc", "text_hash", "line_no"))
-    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed", fewer=True)
+    stays = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("stays")), "stays")
+    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), stays, "root", "inner").select("node", "stays"), "special", fewer=True)
+    spare = lsh.lookup(places, special, "node", "inner").where("place <> stays").select("place.*")
+    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed")
 
 
 def _without(docs: DataFrame) -> DataFrame:

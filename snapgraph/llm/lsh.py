@@ -4,12 +4,15 @@ A bucket is the set of items with an equal band. Its pivot, the smallest item,
 is compared with every other member; what is similar joins one component, so a
 group of n copies costs n comparisons, not n * n. Large groups whose members are
 then in different components get a second, more central pivot, the member most
-like the first. Where members are still apart, all similarities in the group are
-computed at once, in blocks, as products of matrices of members by shared
-elements; only what joins different components leaves the task.
+like the first. Where members are still apart, all similarities in the group,
+but for the pivot's, are computed at once, in blocks, as products of matrices of
+members by shared elements; only what joins different components leaves the task.
 
 Hot buckets are dealt over tasks by range of (band, item), large groups by pairs
 of blocks. Items are longs.
+
+Defined cases: no signatures or none that meet give no classes; repeated rows of
+an item count once; items without elements are similar to each other only.
 """
 
 from __future__ import annotations
@@ -23,15 +26,16 @@ from pyspark.sql import functions as F
 
 from snapgraph import scratch
 from snapgraph.llm import unionfind
-from snapgraph.llm.words import small
+from snapgraph.llm.words import U, small
 
-#: Rows of a lookup table that may be broadcast, some 100 MB; larger ones are joined by shuffle.
+#: Rows of a lookup table of a few longs that may be broadcast, some 50 MB; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Comparisons with one item that a task makes before another task takes over.
 SPLIT = 512
 
-#: From texts to sorted distinct elements and their weights, for each.
-Elements = Callable[[list], list[tuple[np.ndarray, np.ndarray]]]
+#: From texts to (elements, weights, ptr): text i has the distinct elements ptr[i] to ptr[i + 1], sorted.
+Sets = tuple[np.ndarray, np.ndarray, np.ndarray]
+Elements = Callable[[pa.Array], Sets]
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> DataFrame:
@@ -39,6 +43,24 @@ def lookup(df: DataFrame, table: DataFrame, on: str | list[str], how: str) -> Da
     return df.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on, how)
 
 
+#: A key that stands in this share of a table's rows, or more, is never joined by shuffle.
+HOT = 10_000
+
+
+def sized_join(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFrame:
+    """Inner join with a written table that tells how many rows each key has.
+
+    Keys of 1 / HOT of all these rows or more, HOT of them at most, are sent to
+    every task, so no task gets a hot key's rows; the others are shuffled.
+    """
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on)
+    total = table.agg(F.sum(size)).first()[0]
+    hot = F.col(size) >= total / HOT
+    heavy = F.broadcast(table.where(hot))
+    return rows.join(heavy, on).union(rows.join(heavy, on, "left_anti").join(table.where(~hot), on))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (band, node) to (band, pivot, node, piece); the partition's first and last run are told as pieces."""
     names = ["band", "pivot", "node", "piece"]
@@ -77,52 +99,78 @@ def stars(signatures: DataFrame) -> DataFrame:
     heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     across = pieces.join(heads, "band").where("pivot <> head").select(F.col("head").alias("a"), F.col("pivot").alias("b"))
     within = runs.where("not piece").join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
-    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars", fewer=True)
+    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars")
+
 
+def _keyed(h: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Elements told apart by group."""
+    return h + group.astype(U) * U(0x9E3779B97F4A7C15)
 
-def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two sets of sorted elements."""
-    (x, w), (y, v) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
-    if not len(y):
-        return (1.0, 1.0) if not len(x) else (0.0, 0.0)
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    hit = x[at] == y
-    both = np.minimum(w[at[hit]], v[hit]).sum()
-    n = int(hit.sum())
-    return float(both / (w.sum() + v.sum() - both)), n / (len(x) + len(y) - n)
+
+def _owners(ptr: np.ndarray) -> np.ndarray:
+    return np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+
+
+def jaccard(left: Sets, right: Sets, partner: np.ndarray) -> np.ndarray:
+    """The weighted Jaccard similarity of each of `right` to its partner in `left`; 1 if both are empty."""
+    h, w, ptr = left
+    key = _keyed(h, _owners(ptr))
+    order = np.argsort(key, kind="stable")
+    key, weight = key[order], w[order]
+    n = len(right[2]) - 1
+    owner = _owners(right[2])
+    mine = _keyed(right[0], partner[owner])
+    shared = np.zeros(n)
+    if len(key) and len(mine):
+        at = np.minimum(np.searchsorted(key, mine), len(key) - 1)
+        hit = np.flatnonzero(key[at] == mine)
+        shared = np.bincount(owner[hit], np.minimum(weight[at[hit]], right[1][hit]), n)
+    total = np.bincount(owner, right[1], n) + np.bincount(_owners(ptr), w, len(ptr) - 1)[partner]
+    union = total - shared
+    return np.where(union > 0, shared / np.where(union > 0, union, 1), 1.0)
+
+
+def select(sets: Sets, rows: np.ndarray) -> Sets:
+    """The sets of some rows."""
+    h, w, ptr = sets
+    n = ptr[rows + 1] - ptr[rows]
+    new = np.concatenate(([0], np.cumsum(n)))
+    at = np.arange(new[-1]) + np.repeat(ptr[rows] - new[:-1], n)
+    return h[at], w[at], new
+
+
+def join(parts: list[Sets]) -> Sets:
+    """Several sets of sets behind each other."""
+    sizes = [np.diff(ptr) for _, _, ptr in parts]
+    return np.concatenate([h for h, _, _ in parts]), np.concatenate([w for _, w, _ in parts]), np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
 
 
 def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame:
-    """(a, b, weighted, plain): the similarities of each pair (a, b), from texts (node, text).
+    """(a, b, similarity) of each pair (a, b), from texts (node, text).
 
     The rows of an item a that is compared often are split over tasks; each task
     reads a's text once, then streams the others'.
     """
-    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per", fewer=True)
+    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per")
     named = texts.select(F.col("node"), "text")
     left = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     left = left.join(named, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    right = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    right = lookup(pairs, per, "a", "inner").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     right = right.join(named, F.col("b") == F.col("node")).select("a", "salt", "b", "text")
     dealt = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                out: list[tuple] = []
-                sets = elements(part.column(3).to_pylist())
-                for a, b, found in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), sets, strict=True):
-                    if b is None:
-                        own = found
-                    else:
-                        out.append((a, b, *_jaccard(own, found)))
-                columns = list(zip(*out, strict=True)) if out else [[]] * 4
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "weighted", "plain"])
-
-    return dealt.mapInArrow(rows, "a long, b long, weighted double, plain double")
+        held = (np.zeros(0, U), np.zeros(0), np.zeros(2, np.int64))  # the a at the end of the rows before
+        for part in small(batches):
+            sets = elements(part.column(3))
+            first = part.column(2).is_null().to_numpy(zero_copy_only=False)
+            own, others = np.flatnonzero(first), np.flatnonzero(~first)
+            left = join([held, select(sets, own)])
+            found = jaccard(left, select(sets, others), np.cumsum(first)[others])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(others)), part.column(2).take(pa.array(others)), pa.array(found)], ["a", "b", "similarity"])
+            held = select(left, np.array([len(own)]))
+
+    return dealt.mapInArrow(rows, "a long, b long, similarity double")
 
 
 #: Members of a group in one block, their bytes of text, and elements in one product; the size from which a group gets a second pivot.
@@ -130,93 +178,86 @@ BLOCK, BYTES, COLUMNS, CENTRAL = 1024, 16 << 20, 2048, 1024
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(pivot, node, plain, root) of the pivots whose members are in different components, written."""
-    placed = lookup(members.select("pivot", "node", "plain"), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    """(pivot, node, similarity, root) of the pivots whose other members are in different components, written."""
+    placed = lookup(members.select("pivot", "node", "similarity"), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = scratch.keep(placed, "placed", fewer=True)
     apart = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-    return scratch.keep(placed.join(apart, "pivot", "left_semi"), "apart", fewer=True)
+    return scratch.keep(lookup(placed, scratch.keep(apart, "apart"), "pivot", "left_semi"), "open", fewer=True)
 
 
-def _similar(sets: list[tuple[np.ndarray, np.ndarray]], left: np.ndarray, right: np.ndarray, threshold: float, either: bool) -> np.ndarray:
-    """Which pairs of left x right reach the threshold, by exact Jaccard similarity, weighted or (if either) plain.
+def _similar(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of left x right reach the threshold, by exact weighted Jaccard similarity.
 
     The product of roots of weights bounds the shared weight from above and is
     equal to it where an element weighs the same in both sets; pairs that only
     the bound lets through are computed one by one.
     """
-    size = np.array([len(h) for h, _ in sets])
-    total = np.array([w.sum() for _, w in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    distinct, column, n = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
-    weight = np.concatenate([w for _, w in sets])
+    h, weight, ptr = sets
+    owner = _owners(ptr)
+    total = np.bincount(owner, weight, len(ptr) - 1)
+    _, column, n = np.unique(h, return_inverse=True, return_counts=True)
     shared = n > 1  # others meet nothing
     column = np.where(shared, np.cumsum(shared) - 1, -1)[column]
     keep = column >= 0
     owner, column, weight = owner[keep], column[keep], weight[keep]
     order = np.argsort(column, kind="stable")
     owner, column, weight = owner[order], column[order], weight[order]
-    uneven = bool(len(weight)) and bool((weight != 1).any())
-    common = np.zeros((len(left), len(right)), np.float32)
-    bound = np.zeros_like(common) if uneven else common
-    place = np.full(len(sets), -1)
+    even = not len(weight) or bool((weight == 1).all())
+    bound = np.zeros((len(left), len(right)), np.float32)
+    place = np.full(len(ptr) - 1, -1)
     rows = np.concatenate((left, right)) if left is not right else left
     place[rows] = np.arange(len(rows))
     a, b = (slice(0, len(left)), slice(len(left), None)) if left is not right else (slice(None), slice(None))
     for begin in range(0, int(shared.sum()), COLUMNS):
         some = slice(*np.searchsorted(column, (begin, begin + COLUMNS)))
         x = np.zeros((len(rows), COLUMNS), np.float32)
-        x[place[owner[some]], column[some] - begin] = 1
-        common += x[a] @ x[b].T
-        if uneven:
-            x[place[owner[some]], column[some] - begin] = np.sqrt(weight[some])
-            bound += x[a] @ x[b].T
-    union = size[left][:, None] + size[right][None, :] - common
-    plain = common >= threshold * union - 1e-6
-    plain |= union == 0
-    if not uneven:
-        return plain
+        x[place[owner[some]], column[some] - begin] = np.sqrt(weight[some])
+        bound += x[a] @ x[b].T
     most = total[left][:, None] + total[right][None, :] - bound
-    maybe = (bound >= threshold * most - 1e-3 * (1 + most)) & ~(plain if either else False)
-    out = plain if either else np.zeros_like(plain)
-    for i, j in zip(*np.nonzero(maybe), strict=True):
-        out[i, j] = _jaccard(sets[left[i]], sets[right[j]])[0] >= threshold
+    if even:  # whole numbers, so the product is exact
+        return (bound >= threshold * most - 1e-6) | (most == 0)
+    out = np.zeros(bound.shape, bool)
+    i, j = np.nonzero(bound >= threshold * most - 1e-3 * (1 + most))
+    for at in range(0, len(i), 4096):
+        u, v = i[at : at + 4096], j[at : at + 4096]
+        out[u, v] = jaccard(select(sets, left[u]), select(sets, right[v]), np.arange(len(u))) >= threshold
     return out
 
 
-def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold: float, either: bool) -> DataFrame:
+def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold: float) -> DataFrame:
     """(a, b): links that join components, from members (pivot, node, root) of groups; at most one a member and block."""
     sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    per = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks"))
-    rows = members.join(per, "pivot").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    per = scratch.keep(sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks")), "per")
+    rows = lookup(members, per, "pivot", "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
     rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
     dealt = rows.repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j", "own", "node")
 
-    def links(own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: list) -> tuple[np.ndarray, np.ndarray]:
+    def links(own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
         first = own == own[0]
         left = np.flatnonzero(first)
         right = left if first.all() else np.flatnonzero(~first)
-        found = _similar(sets, left, right, threshold, either) & (root[left][:, None] != root[right][None, :])
+        found = _similar(sets, left, right, threshold) & (root[left][:, None] != root[right][None, :])
         r, c = np.nonzero(found)
         return unionfind._forest(node[left[r]], node[right[c]])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        sets: list = []
+        sets: list[Sets] = []
         last = None
 
         def out() -> Iterator[pa.RecordBatch]:
-            if len(sets) > 1:
+            if held:
                 own, node, root = (np.concatenate(x) for x in zip(*held, strict=True))
                 if (root != root[0]).any():
-                    a, b = links(own, node, root, sets)
+                    a, b = links(own, node, root, join(sets))
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in small(batches, 512):
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
             own, node, root = (batch.column(c).to_numpy() for c in (3, 4, 5))
-            found = elements(batch.column(6).to_pylist())
+            found = elements(batch.column(6))
             cuts = np.append(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, batch.num_rows)
             at = 0
             for cut in cuts.tolist():
@@ -225,41 +266,36 @@ def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold:
                     yield from out()
                     held, sets, last = [], [], key
                 held.append((own[at:cut], node[at:cut], root[at:cut]))
-                sets += found[at:cut]
+                sets.append(select(found, np.arange(at, cut)))
                 at = cut
         yield from out()
 
     return dealt.mapInArrow(match, "a long, b long")
 
 
-def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Elements, threshold: float, either: bool) -> DataFrame:
-    """(node, root) for each node that is linked with another; links reach `threshold` in weighted (or, if either, plain) similarity.
+def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Elements, threshold: float) -> DataFrame:
+    """(node, root) for each node that is linked with another; links reach `threshold` in weighted Jaccard similarity.
 
     texts: from a written table of nodes to their (node, text).
     """
     pairs = stars(signatures)
-    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes", fewer=True)
-    known = scratch.keep(texts(nodes), "texts", fewer=True)
-    near = F.col("weighted") >= threshold
-    if either:
-        near = near | (F.col("plain") >= threshold)
+    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    known = scratch.keep(texts(nodes), "texts")
     scores = scratch.keep(compare(pairs, known, elements), "scores")
-    links = scores.where(near).select("a", "b")
+    links = scores.where(F.col("similarity") >= threshold).select("a", "b")
     labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
 
-    members = scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "plain")
-    members = members.union(pairs.select(F.col("a").alias("pivot"), F.col("a").alias("node"), F.lit(-1.0).alias("plain")).distinct())
-    apart = _open(members, labels)
-    sizes = apart.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= CENTRAL)
+    apart = _open(scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), labels)
+    sizes = scratch.keep(apart.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= CENTRAL).select("pivot"), "sizes")
     if not sizes.isEmpty():
-        center = apart.join(sizes, "pivot").groupBy("pivot").agg(F.max_by(F.struct("node", "root"), F.struct("plain", "node")).alias("c"))
-        second = apart.join(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "pivot")
-        second = second.where("root <> center and node <> pivot").select("a", F.col("node").alias("b")).distinct()
+        center = lookup(apart, sizes, "pivot", "inner").groupBy("pivot").agg(F.max_by(F.struct("node", "root"), F.struct("similarity", "node")).alias("c"))
+        center = scratch.keep(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "center")
+        second = lookup(apart, center, "pivot", "inner").where("root <> center").select("a", F.col("node").alias("b")).distinct()
         second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second", fewer=True)
-        links = links.union(scratch.keep(compare(second, known, elements), "scores").where(near).select("a", "b"))
+        links = links.union(scratch.keep(compare(second, known, elements), "scores").where(F.col("similarity") >= threshold).select("a", "b"))
         labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
         apart = _open(apart, labels)
-    joins = scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold, either), "joins")
+    joins = scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold), "joins")
     if joins.isEmpty():
         return labels
     return scratch.keep(unionfind.components(links.union(joins)), "labels", fewer=True)

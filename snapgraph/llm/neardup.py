@@ -2,24 +2,29 @@
 
 Shingles are runs of five words, a shorter text is one shingle. A shingle's
 weight is its count in the text times its IDF, log2(1 + N / df) rounded to a
-whole number, 1 at least. df is counted over all documents in 2^18 hashed cells,
-a table of fixed size: at m distinct shingles a text a cell holds N * m / 2^18
-others, so shingles in fewer documents than that share one weight, of about
-log2(2^18 / m), and only more frequent ones are told apart. Consistent weighted samples, as many as bands times rows, are
-banded; candidates are verified by exact weighted Jaccard similarity. A pair is
-linked from 0.8 in weighted similarity, and also from 0.8 in plain similarity of
-the shingle sets: in a large group of copies the shared shingles are frequent
-and weigh less than each copy's own edits. Each rule has candidates of its own:
-samples of the plain sets are banded beside the weighted ones. Classes are the
-components of links.
-
-Bands: 28 of 5 rows for either similarity; a pair at 0.8 in one of them is missed
-with probability 2e-5.
+whole number, 1 at least. Consistent weighted samples, as many as bands times
+rows, are banded; candidates are verified by exact weighted Jaccard similarity
+of 0.8 or more. Classes are the components of links.
+
+df counts documents, but a large group of likely copies only about once: else
+what thousands of copies share would weigh less than each copy's own edits, and
+the group would fall apart. Likely copies are texts that share one of three
+keys, each made of two least hashes of their shingles; groups that hold 1 / 4096
+of all documents or more are folded, smaller ones would not change a weight.
+Passages that many different texts share are not folded and weigh little.
+
+df is counted in 2^18 hashed cells, a table of fixed size: at m distinct
+shingles a text a cell holds N * m / 2^18 others. So shingles in fewer documents
+than that share one weight, about log2(2^18 / m) at every N, and only more
+frequent ones are told apart, by N / df, at every N alike.
+
+Bands: 28 of 5 rows; a pair at 0.8 is missed with probability 2e-5.
 
 Defined cases: equal texts are always in one class, whatever they hold; texts
 without words are similar to equal texts only; null texts count as one class of
 their own; a class's id is its smallest doc_id, null if it has none; rows that
-repeat a doc_id keep rows of their own; an empty table gives an empty result.
+repeat a doc_id keep rows of their own; an empty table gives an empty result;
+extra columns pass through `dedupe`, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +43,10 @@ from snapgraph.llm.words import U, mix, shingles, small, words
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 CELLS, TABLE = 1 << 18, 1 << 12
+#: Keys of a text, the share of documents from which a group with a key is folded, and the unit of folded counts.
+KEYS, FOLD, UNIT = 3, 1 << 12, 1 << 24
 SEED = 20240
+_LAST = 2**63 - 1
 
 
 def _counted(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,39 +122,54 @@ class Sampler:
         return mix(total).astype(np.int64)
 
 
-_PLAIN = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (2, BANDS * ROWS, 1), U, False)
+_HASHES = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (2, 2 * KEYS), U, False)
+
+
+def keys(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that have shingles, and the keys of each: of texts at plain similarity s, each key is shared with probability s * s."""
+    some = np.flatnonzero(ptr[1:] > ptr[:-1])
+    if not len(some):
+        return some, np.zeros((0, KEYS), np.int64)
+    least = [np.minimum.reduceat((h ^ a) * (b | U(1)), ptr[some]) for a, b in _HASHES.T]
+    pairs = [mix(least[2 * k] * U(0x9E3779B97F4A7C15) + least[2 * k + 1] + U(k)) for k in range(KEYS)]
+    return some, np.stack(pairs, 1).view(np.int64)
+
 
+def large_groups(docs: DataFrame, total: int) -> dict[int, int]:
+    """The number of documents with each key that at least 1 / FOLD of all have; KEYS * FOLD keys at most."""
 
-def plain_bands(h: np.ndarray) -> np.ndarray:
-    """Bands of samples of the set alone, whatever its elements weigh: the least element under each of many hash functions."""
-    least = np.full(BANDS * ROWS, U(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(h), 4096):
-        np.minimum(least, ((h[at : at + 4096] ^ _PLAIN[0]) * (_PLAIN[1] | U(1))).min(1), out=least)
-    parts = least.reshape(BANDS, ROWS)
-    total = np.arange(BANDS, 2 * BANDS, dtype=U)
-    for i in range(ROWS):
-        total = total * U(0x9E3779B97F4A7C15) + parts[:, i]
-    return mix(total).astype(np.int64)
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            for found in words(batch.column(0).to_pylist()):
+                h, owner = shingles(found, WORDS)
+                _, every = keys(h, np.searchsorted(owner, np.arange(len(found.ptr))))
+                yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1))], ["key"])
+
+    found = docs.select("text").mapInArrow(rows, "key long").groupBy("key").agg(F.count("*").alias("n"))
+    return {r["key"]: r["n"] for r in found.where(F.col("n") >= max(2, -(-total // FOLD))).toArrow().to_pylist()}
 
 
 def levels(docs: DataFrame) -> np.ndarray:
     """log2(1 + N / df), rounded, 1 at least, for each hashed cell, counted over all documents; CELLS bytes on the driver."""
+    total = docs.count()
+    folded = large_groups(docs, total)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, n = np.zeros(CELLS, np.int64), 0
+        cells = np.zeros(CELLS, np.int64)
         for batch in small(batches):
-            n += batch.num_rows
-            for _, _, _, h, _ in _counted(batch.column(0).to_pylist()):
-                cells += np.bincount((h & U(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            for _, n, ptr, h, _ in _counted(batch.column(0).to_pylist()):
+                unit = np.full(n, UNIT, np.int64)
+                if folded:
+                    some, every = keys(h, ptr)
+                    unit[some] = [UNIT // max(folded.get(k, 1) for k in own) for own in every.tolist()]
+                np.add.at(cells, (h & U(CELLS - 1)).astype(np.int64), np.repeat(unit, np.diff(ptr)))
         at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(cells[at], n))], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
 
     found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = found.column(0).to_numpy(), found.column(1).to_numpy()
-    total = int(n[cell < 0].sum()) or 1
     df = np.zeros(CELLS)
-    df[cell[cell >= 0]] = n[cell >= 0]
-    return np.maximum(np.rint(np.log2(1 + total / np.maximum(df, 1))), 1).astype(np.uint8)
+    df[found.column(0).to_numpy()] = found.column(1).to_numpy() / UNIT
+    return np.maximum(np.rint(np.log2(1 + max(total, 1) / np.maximum(df, 1))), 1).astype(np.uint8)
 
 
 _samplers: dict[int, Sampler] = {}
@@ -166,8 +189,7 @@ def node(text: Column) -> Column:
 
 
 def label(docs: DataFrame) -> DataFrame:
-    """docs with columns _row (the row as it came), _doc, _node and _class (a node of the class)."""
-    keyed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), node(F.col("text")).alias("_node"))
+    """(doc, node, class), written: a row for each of docs' (doc_id, text), class being a node of the class."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), node(F.col("text")).alias("node"))
     sent = docs.sparkSession.sparkContext.broadcast(levels(docs.select(F.col("text").cast("string").alias("text"))))
 
@@ -181,41 +203,57 @@ def label(docs: DataFrame) -> DataFrame:
             texts = [batch.column(1)[i].as_py() for i in own]
             for first, n, ptr, h, counts in _counted(texts):
                 some = [i for i in range(n) if ptr[i + 1] > ptr[i]]
-                rows = [b for i in some for b in (sampler.bands(h[ptr[i] : ptr[i + 1]], counts[ptr[i] : ptr[i + 1]]), plain_bands(h[ptr[i] : ptr[i + 1]]))]
+                rows = [sampler.bands(h[ptr[i] : ptr[i + 1]], counts[ptr[i] : ptr[i + 1]]) for i in some]
                 flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * 2 * BANDS, pa.int32()), pa.array(flat))
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[[own[first + i] for i in some]].astype(np.int64)), bands], ["node", "bands"])
 
     signed = scratch.keep(plain.where("text is not null").select("node", "text").mapInArrow(sign, "node long, bands array<long>"), "signed")
 
-    def elements(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    def elements(texts: pa.Array) -> lsh.Sets:
         sampler = _sampler(sent.value)
-        return [(h[ptr[i] : ptr[i + 1]], sampler.weights(h[ptr[i] : ptr[i + 1]], counts[ptr[i] : ptr[i + 1]])) for _, n, ptr, h, counts in _counted(texts) for i in range(n)]
+        parts = [(h, sampler.weights(h, counts), ptr) for _, _, ptr, h, counts in _counted(texts.to_pylist())]
+        return lsh.join(parts) if parts else (np.zeros(0, U), np.zeros(0), np.zeros(1, np.int64))
 
-    first = plain.groupBy("node").agg(F.min("doc").alias("doc"))
+    narrow = plain.select(F.coalesce("doc", F.lit(_LAST)).alias("doc"), "node")
+    first = narrow.groupBy("node").agg(F.min("doc").alias("doc"))
 
     def texts(nodes: DataFrame) -> DataFrame:
         """One document of each node; documents are found by id, so a text's many copies don't meet in a task."""
-        wanted = scratch.keep(lsh.lookup(first, nodes, "node", "left_semi").withColumn("doc", F.coalesce("doc", F.lit(-(2**63)))), "wanted", fewer=True)
-        named = plain.withColumn("doc", F.coalesce("doc", F.lit(-(2**63))))
+        wanted = scratch.keep(lsh.lookup(first, nodes, "node", "left_semi"), "wanted", fewer=True)
+        named = plain.withColumn("doc", F.coalesce("doc", F.lit(_LAST)))
         return lsh.lookup(named, wanted, ["node", "doc"], "left_semi").select("node", "text").dropDuplicates(["node"])
 
-    labels = lsh.classes(signed, texts, elements, THRESHOLD, either=True)
-    joined = lsh.lookup(keyed, labels.select(F.col("node").alias("_node"), F.col("root").alias("_class")), "_node", "left")
-    return joined.withColumn("_class", F.coalesce("_class", "_node"))
+    labels = lsh.classes(signed, texts, elements, THRESHOLD)
+    joined = lsh.lookup(narrow, labels.withColumnRenamed("root", "class"), "node", "left")
+    return scratch.keep(joined.select("doc", "node", F.coalesce("class", "node").alias("class")), "labelled", fewer=True)
+
+
+def _doc(doc: Column) -> Column:
+    return F.when(doc != _LAST, doc)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, class_id (the class's smallest doc_id), class_size (rows), and whether it stands for its class."""
-    labelled = scratch.keep(label(docs.select("doc_id", "text")).select("_doc", "_class"), "labelled")
-    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("class_id"), F.count("*").alias("class_size")), "by", fewer=True)
-    out = lsh.lookup(labelled, by, "_class", "left")
-    return out.select(F.col("_doc").alias("doc_id"), "class_id", "class_size", F.col("_doc").eqNullSafe(F.col("class_id")).alias("representative"))
+    labelled = label(docs)
+    by = scratch.keep(labelled.groupBy("class").agg(F.min("doc").alias("least"), F.count("*").alias("class_size")), "by")
+    out = lsh.sized_join(labelled, by, "class", "class_size")
+    return out.select(_doc(F.col("doc")).alias("doc_id"), _doc(F.col("least")).alias("class_id"), "class_size", (F.col("doc") == F.col("least")).alias("representative"))
 
 
 def dedupe(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the smallest doc_id, with all its columns."""
-    labelled = label(docs)
-    by = scratch.keep(labelled.groupBy("_class").agg(F.min("_doc").alias("_least")), "by", fewer=True)
-    kept = lsh.lookup(labelled, by, "_class", "left").where(F.col("_doc").eqNullSafe(F.col("_least")))
-    return kept.dropDuplicates(["_class"]).select("_row.*")
+    """One document of each class, that of the smallest (doc_id, hash of the text), with all its columns.
+
+    What goes is decided on ids and hashes; whole rows are only filtered.
+    """
+    labelled = label(docs).groupBy("class", "doc", "node").agg(F.count("*").alias("n"))
+    labelled = scratch.keep(labelled, "counted")
+    by = labelled.groupBy("class").agg(F.min(F.struct("doc", "node")).alias("stays"), F.count("*").alias("size")).where("size > 1")
+    gone = lsh.sized_join(labelled, scratch.keep(by, "by"), "class", "size").where("struct(doc, node) <> stays").select("doc", "node")
+    gone, again = scratch.keep(gone, "gone", fewer=True), scratch.keep(labelled.where("n > 1").select("doc", "node"), "again", fewer=True)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), node(F.col("text").cast("string")).alias("node"))
+    kept = lsh.lookup(rows, gone, ["doc", "node"], "left_anti")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    once = lsh.lookup(kept, again, ["doc", "node"], "left_anti")
+    return once.union(lsh.lookup(kept, again, ["doc", "node"], "left_semi").dropDuplicates(["doc", "node"])).select("_row.*")

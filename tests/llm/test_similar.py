@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from snapgraph.llm import lines, lsh, neardup, spans, unionfind
@@ -54,24 +55,36 @@ def test_buckets_keep_all_candidates(spark):
     assert all(found.find(i) == want.find(i) for i, _ in rows)
 
 
-def test_block_similarities():
+def similarity(a, b):
+    """Weighted Jaccard similarity of two dicts of weights."""
+    if not a and not b:
+        return 1.0
+    both = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return both / (sum(a.values()) + sum(b.values()) - both)
+
+
+def as_dicts(sets):
+    h, w, ptr = sets
+    return [dict(zip(h[a:b].tolist(), w[a:b].tolist(), strict=True)) for a, b in zip(ptr, ptr[1:], strict=False)]
+
+
+def test_similarities():
     random.seed(3)
     base = sorted(random.sample(range(10_000), 60))
-    sets = []
-    for _ in range(40):
-        own = sorted(set(random.sample(base, random.randrange(40, 60)) + random.sample(range(10_000), random.randrange(12))))
-        sets.append((np.array(own, np.uint64), np.array([random.choice([1.0, 1.5, 3.0]) for _ in own])))
-    sets.append((np.zeros(0, np.uint64), np.zeros(0)))
-    every = np.arange(len(sets))
-    for weighted in (False, True):
-        use = sets if weighted else [(h, np.ones(len(h))) for h, _ in sets]
-        for either in (False, True):
-            got = lsh._similar(use, every[:20], every[20:], 0.7, either)
-            for i in range(20):
-                for j in range(20, len(sets)):
-                    w, p = lsh._jaccard(use[i], use[j])
-                    want = p >= 0.7 or (weighted and w >= 0.7) if either else (w >= 0.7 if weighted else p >= 0.7)
-                    assert got[i, j - 20] == want
+    for weights in ([1.0], [1.0, 1.5, 3.0]):
+        parts = []
+        for _ in range(40):
+            own = sorted(set(random.sample(base, random.randrange(40, 60)) + random.sample(range(10_000), random.randrange(12))))
+            parts.append((np.array(own, np.uint64), np.array([random.choice(weights) for _ in own]), np.array([0, len(own)])))
+        parts += [(np.zeros(0, np.uint64), np.zeros(0), np.zeros(2, int))] * 2
+        sets = lsh.join(parts)
+        plain, every = as_dicts(sets), np.arange(42)
+        want = np.array([[similarity(a, b) for b in plain] for a in plain])
+        left, right = np.append(every[:20], 41), every[20:41]
+        assert (lsh._similar(sets, left, right, 0.7) == (want[left][:, right] >= 0.7)).all()
+        assert ((lsh._similar(sets, every, every, 0.7) == (want >= 0.7)) | np.eye(42, dtype=bool)).all()  # no set is paired with itself
+        partner = np.array([random.randrange(42) for _ in every])
+        assert np.allclose(lsh.jaccard(sets, lsh.select(sets, every[::-1]), partner), want[partner, every[::-1]])
 
 
 def corpus(seed, n_groups=12):
@@ -101,12 +114,12 @@ def corpus(seed, n_groups=12):
 def classes_by_force(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     sampler = neardup.Sampler(neardup.levels(df.select("text")))
-    sets = [(h[p[i] : p[i + 1]], sampler.weights(h[p[i] : p[i + 1]], c[p[i] : p[i + 1]])) for _, n, p, h, c in neardup._counted([t for _, t in rows]) for i in range(n)]
+    sets = [d for _, _, ptr, h, c in neardup._counted([t for _, t in rows]) for d in as_dicts((h, sampler.weights(h, c), ptr))]
     s = Sets()
     for i, (d, t) in enumerate(rows):
         s.join(i, i)
         for j in range(i):
-            if t == rows[j][1] or (len(sets[i][0]) and len(sets[j][0]) and max(lsh._jaccard(sets[i], sets[j])) >= 0.8):
+            if t == rows[j][1] or (sets[i] and sets[j] and similarity(sets[i], sets[j]) >= 0.8):
                 s.join(i, j)
     return {d: min(rows[j][0] for j in range(len(rows)) if s.find(j) == s.find(i)) for i, (d, _) in enumerate(rows)}
 
@@ -153,12 +166,12 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
 def lines_by_force(rows):
     places = [(d, i, x.strip(" ").lower()) for d, t in sorted(rows, key=lambda r: r[0]) if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" ")]
     distinct = sorted({x for *_, x in places})
-    sets = lines.elements(distinct)
+    sets = as_dicts(lines.elements(pa.array(distinct)))
     s = Sets()
     for i, x in enumerate(distinct):
         s.join(x, x)
         for j in range(i):
-            if lsh._jaccard(sets[i], sets[j])[1] >= 0.8:
+            if similarity(sets[i], sets[j]) >= 0.8:
                 s.join(x, distinct[j])
     seen, gone = set(), defaultdict(set)
     for d, i, x in places:
@@ -287,31 +300,6 @@ def test_all_runs_of_sentences(spark):
         assert got == all_runs_by_force(rows)
 
 
-def test_plain_bands_follow_plain_similarity():
-    random.seed(10)
-    met = 0
-    for _ in range(200):
-        every = np.array([random.getrandbits(64) for _ in range(120)], np.uint64)
-        a, b = np.sort(every[:90]), np.sort(every[30:])  # 60 of 120 shared
-        met += int((neardup.plain_bands(a) == neardup.plain_bands(b)).sum())
-    assert 0.7 < met / (200 * neardup.BANDS * 0.5**neardup.ROWS) < 1.3
-
-
-def test_near_duplicates_by_plain_similarity_alone(spark):
-    """Lines repeated many times part two texts in weighted similarity, not in plain similarity."""
-    rows = []
-    for k in range(12):
-        words = [f"a{k}w{i}" for i in range(104)]
-        line = " ".join(f"b{k}l{i}" for i in range(12))
-        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words, *[line] * 100]))]
-    random.seed(11)
-    rows += [(100 + d, t) for d, t in corpus(11, 4)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = classes_by_force(spark, rows)
-    assert all(want[2 * k + 1] == 2 * k for k in range(12))
-    assert {r.doc_id: r.class_id for r in neardup.report(df).collect()} == want
-
-
 def test_frequent_boilerplate_weighs_little(spark):
     """Equal bodies below different frequent passages, 0.6 of all shingles, are near-duplicates by TF-IDF; equal passages alone are not."""
     passages = [" ".join(f"p{k}w{i}" for i in range(52)) for k in range(3)]
