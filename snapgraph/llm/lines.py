@@ -149,7 +149,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[own] = BANDS
         offsets = pa.array(np.concatenate(([0], np.cumsum(new))), pa.int32())
         lists = pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))
-        line = pc.if_else(pa.array(new > 0), line, pa.scalar(None, line.type))
+        line = line.take(pa.array(np.arange(len(new)), mask=new == 0))
         yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), line, lists], ["doc", "text_hash", "line_no", "node", "line", "bands"])
 
 

@@ -16,8 +16,10 @@ words that are cut into sentences in different ways are found as far as a hashed
 span has both its ends in common.
 
 Defined cases: a null text stays null, an empty one empty; a text without words
-has no spans; rows that share a doc_id count as one document, equal rows get
-equal results; a null doc_id comes after all others; extra columns pass through.
+has no spans; different texts under one doc_id, or under none, are documents of
+their own, equal rows get equal results; a null doc_id comes after all others; an
+empty table gives an empty result; extra columns pass through `dedupe`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph import scratch
+from snapgraph.llm import lsh
 from snapgraph.llm.words import _BASE, _INVERSE, U, Words, _power, mix, small, words
 
 SENTENCES, WORDS, LONG = 2, 12, 50
@@ -92,12 +95,14 @@ def repeated(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
     rows = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), "text")
     found = scratch.keep(rows.mapInArrow(_emit, "span long, doc long, text_hash long, begin int, end int"), "spans")
-    many = found.groupBy("span").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).where("n > 1").select("span", "owner")
-    hits = scratch.keep(found.join(many, "span"), "hits")
-    # in the document that keeps a span, its first place stays
-    firsts = hits.where("doc = owner").groupBy("span", "text_hash").agg(F.min("begin").alias("at"))
-    inner = hits.where("doc = owner").join(firsts, ["span", "text_hash"]).where("begin > at")
-    cuts = hits.where("doc <> owner").select("doc", "text_hash", "begin", "end").union(inner.select("doc", "text_hash", "begin", "end"))
+    many = found.groupBy("span").agg(F.min("doc").alias("owner"), F.count("*").alias("n")).where("n > 1")
+    many = scratch.keep(many, "many")
+    hits = scratch.keep(lsh.sized_join(found, many, "span", "n"), "hits")
+    # of the documents that have the smallest id, and of the places in them, the first stays
+    own, place = hits.where("doc = owner"), F.struct("text_hash", "begin")
+    firsts = scratch.keep(own.groupBy("span").agg(F.min(place).alias("first"), F.count("*").alias("own")).where("own > 1"), "firsts")
+    others = lsh.sized_join(own, firsts, "span", "own").where(place != F.col("first"))
+    cuts = hits.where("doc <> owner").select("doc", "text_hash", "begin", "end").union(others.select("doc", "text_hash", "begin", "end"))
     return scratch.keep(cuts.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("cuts")), "cuts")
 
 
@@ -135,10 +140,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(counts, pa.int32()), pa.array(gone, kind)], [*names, "text", "n_removed", "removed"])
 
 
+def _cut_rows(docs: DataFrame, row: Column) -> DataFrame:
+    """(_row, text, n_removed, removed) of every document."""
+    plain = docs.select(row.alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cuts = repeated(plain.select("doc_id", "text"))
+    keyed = plain.select("_row", "text", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), F.xxhash64("text").alias("text_hash"))
+    joined = keyed.join(cuts, ["doc", "text_hash"], "left").select("_row", "text", "cuts")
+    return joined.mapInArrow(_cut, f"_row {joined.schema['_row'].dataType.simpleString()}, {_CUT}")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, the text that stays, n_removed and removed (stretches cut, in bytes of the text's UTF-8)."""
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = repeated(plain)
-    keyed = plain.withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "text_hash": F.xxhash64("text")})
-    joined = keyed.join(cuts, ["doc", "text_hash"], "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(_cut, f"doc_id long, {_CUT}")
+    return _cut_rows(docs, F.col("doc_id").cast("long")).withColumnRenamed("_row", "doc_id")
+
+
+def dedupe(docs: DataFrame) -> DataFrame:
+    """docs with the text that stays; n_chars (if there is one) is its number of characters; other columns as they came."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = _cut_rows(docs, F.struct(*[F.col(f"`{c}`") for c in rest]))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import functions as F
 
 from snapgraph.llm import lines, lsh, neardup, spans, unionfind
@@ -164,7 +165,7 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
 
 
 def lines_by_force(rows):
-    places = [(d, i, x.strip(" ").lower()) for d, t in sorted(rows, key=lambda r: r[0]) if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+    places = [((d, t), i, x.strip(" ").lower()) for d, t in in_order(rows) for i, x in enumerate(t.split("\n")) if x.strip(" ")]
     distinct = sorted({x for *_, x in places})
     sets = as_dicts(lines.elements(pa.array(distinct)))
     s = Sets()
@@ -173,11 +174,10 @@ def lines_by_force(rows):
         for j in range(i):
             if similarity(sets[i], sets[j]) >= 0.8:
                 s.join(x, distinct[j])
-    seen, gone = set(), defaultdict(set)
+    seen, gone = {}, defaultdict(set)
     for d, i, x in places:
-        if s.find(x) in seen:
+        if seen.setdefault(s.find(x), (d, i)) != (d, i):
             gone[d].add(i)
-        seen.add(s.find(x))
     return gone
 
 
@@ -185,10 +185,10 @@ def test_line_dedup(spark):
     for seed in (3, 4):
         rows = [(d, t) for d, t in corpus(seed)]
         df = spark.createDataFrame([(d, t, 1, "y") for d, t in rows], "doc_id long, text string, n_chars long, removed string")
-        want = lines_by_force(rows)
-        texts = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]) for d, t in rows}
+        want = {d: gone for (d, _), gone in lines_by_force(rows).items()}
+        texts = {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want.get(d, ())) for d, t in rows}
         got = {r.doc_id: r for r in lines.report(df).collect()}
-        assert {d: set(r.removed) for d, r in got.items()} == {d: want[d] for d, _ in rows}
+        assert {d: set(r.removed) for d, r in got.items()} == {d: want.get(d, set()) for d, _ in rows}
         assert {d: r.text for d, r in got.items()} == texts
         out = lines.dedupe(df)
         assert out.columns == df.columns
@@ -205,9 +205,24 @@ def test_line_edge_cases(spark):
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
+def xxhash64(data, seed=42):
+    got = xxhash.xxh64(data, seed).intdigest()
+    return got - (1 << 64) if got >> 63 else got
+
+
+def in_order(rows):
+    """Rows in the order of documents: id, null last, then hash of the text."""
+    return sorted((r for r in rows if r[1] is not None), key=lambda r: (r[0] is None, r[0] or 0, xxhash64(r[1].encode())))
+
+
+def result(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or ""))
+
+
 def spans_by_force(rows):
+    """Every run of sentences, of any length, instead of the spans that are hashed."""
     first, every = {}, []
-    for d, t in sorted(rows, key=lambda r: r[0]):
+    for d, t in in_order(rows):
         sentences, end = [], None
         for m in WORD.finditer(t or ""):
             if end is None or re.search(r"[.!?\n]", t[end : m.start()]):
@@ -216,21 +231,18 @@ def spans_by_force(rows):
             end = m.end()
         at = [0] + [s[0] for s in sentences[1:]] + [len(t or "")]
         for i in range(len(sentences)):
-            own, j = list(sentences[i][1]), i + 1
-            if len(own) < spans.LONG:
-                while j < len(sentences) and (j < i + spans.SENTENCES or len(own) < spans.WORDS):
-                    own += sentences[j][1]
-                    j += 1
-                if j < i + spans.SENTENCES or len(own) < spans.WORDS:
-                    continue
-            key = " ".join(own)
-            first.setdefault(key, (d, i))
-            every.append((key, d, i, at[i], at[j]))
+            own = []
+            for j in range(i, len(sentences)):
+                own += sentences[j][1]
+                if len(own) >= (spans.WORDS if j > i else spans.LONG):
+                    key = " ".join(own)
+                    first.setdefault(key, (d, t, i))
+                    every.append((key, d, t, i, at[i], at[j + 1]))
     gone = defaultdict(set)
-    for key, d, i, a, b in every:
-        if first[key] != (d, i):
-            gone[d].update(range(a, b))
-    return {d: None if t is None else "".join(c for k, c in enumerate(t) if k not in gone[d]) for d, t in rows}
+    for key, d, t, i, a, b in every:
+        if first[key] != (d, t, i):
+            gone[d, t].update(range(a, b))
+    return [(d, None if t is None else "".join(c for k, c in enumerate(t) if k not in gone[d, t])) for d, t in rows]
 
 
 def test_span_dedup(spark):
@@ -240,7 +252,7 @@ def test_span_dedup(spark):
         rows += [(1000, "Own words here. " + passage + "More own words."), (1001, "x. " + passage), (1002, passage + passage), (1003, " ".join(f"q{i}" for i in range(60))), (1004, "Begin! " + " ".join(f"q{i}" for i in range(60)))]
         df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, removed int")
         got = {r.doc_id: r for r in spans.report(df).collect()}
-        assert {d: r.text for d, r in got.items()} == spans_by_force(rows)
+        assert result((d, r.text) for d, r in got.items()) == result(spans_by_force(rows))
         assert got[1000].n_removed == 0 and "p" not in got[1001].text.split(". ")[0] and got[1004].text.strip() == "Begin!"
 
 
@@ -253,32 +265,6 @@ def test_span_edge_cases(spark):
     assert spans.report(spark.createDataFrame([(1, "x. " * 50_000)], schema)).select(F.length("text")).first()[0] < 150_000
 
 
-def all_runs_by_force(rows):
-    """Every run of sentences, of any length, instead of the spans that are hashed."""
-    first, every = {}, []
-    for d, t in sorted(rows, key=lambda r: r[0]):
-        sentences, end = [], None
-        for m in WORD.finditer(t or ""):
-            if end is None or re.search(r"[.!?\n]", t[end : m.start()]):
-                sentences.append([m.start(), []])
-            sentences[-1][1].append(m[0].lower())
-            end = m.end()
-        at = [0] + [s[0] for s in sentences[1:]] + [len(t or "")]
-        for i in range(len(sentences)):
-            own = []
-            for j in range(i, len(sentences)):
-                own += sentences[j][1]
-                if len(own) >= (spans.WORDS if j > i else spans.LONG):
-                    key = " ".join(own)
-                    first.setdefault(key, (d, i))
-                    every.append((key, d, i, at[i], at[j + 1]))
-    gone = defaultdict(set)
-    for key, d, i, a, b in every:
-        if first[key] != (d, i):
-            gone[d].update(range(a, b))
-    return {d: None if t is None else "".join(c for k, c in enumerate(t) if k not in gone[d]) for d, t in rows}
-
-
 def test_all_runs_of_sentences(spark):
     """The last sentences of a repeated passage go too, behind a long sentence as well as behind short ones."""
     long, ten = " ".join(f"q{i}" for i in range(60)), [" ".join(f"t{k}{i}" for i in range(10)) for k in range(2)]
@@ -292,12 +278,12 @@ def test_all_runs_of_sentences(spark):
         at = random.randrange(30)
         rows.append((d, ". ".join([f"own{d}", *pool[at : at + random.randrange(1, 9)], *random.choices(pool, k=3)]) + "."))
     got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == all_runs_by_force(rows)
+    assert got == dict(spans_by_force(rows))
     assert got[2] == "Other begin. Other end." and got[3] == "" and got[5] == "Before. Others follow."
     for seed in (5, 6):
         rows = corpus(seed)
         got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-        assert got == all_runs_by_force(rows)
+        assert got == dict(spans_by_force(rows))
 
 
 def test_frequent_boilerplate_weighs_little(spark):
@@ -307,3 +293,42 @@ def test_frequent_boilerplate_weighs_little(spark):
     rows = [(2 * k + side, f"{passages[(k + side) % 3]} {body}") for k, body in enumerate(bodies) for side in range(2)]
     got = {r.doc_id: r.class_id for r in neardup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def repeated_ids(seed):
+    """Texts under ids that are null or shared, some rows twice."""
+    rows = [(random.choice([None, 1, 2, d]), t) for d, t in corpus(seed, 5)]
+    return rows + rows[:9]
+
+
+def test_lines_and_spans_under_null_and_shared_ids(spark):
+    rows = [(None, "same words here. and more of them to come in this. own"), (None, "same words here. and more of them to come in this. other"), (None, "line\nfirst own line"), (None, "line\nsecond own line")]
+    rows += [(7, "line\nthird own line"), (7, "line\nfourth own line")] + repeated_ids(12)
+    df = spark.createDataFrame([(d, t, 5, "s") for d, t in rows], "doc_id long, text string, n_chars long, span string")
+    want = lines_by_force(rows)
+    want = [(d, None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d, t])) for d, t in rows]
+    assert result((r.doc_id, r.text) for r in lines.report(df).collect()) == result(want)
+    assert sum(t == "line" or (t or "").startswith("line\n") for _, t in want) == 1
+    out = spans.dedupe(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert result((r.doc_id, r.text) for r in got) == result(spans_by_force(rows))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) and r.span == "s" for r in got)
+
+
+def test_shuffled_joins_give_the_same(spark, monkeypatch):
+    """Tables too large to send, hot keys apart, and short blocks."""
+    monkeypatch.setattr(lsh, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(lsh, "HOT", 20)
+    rows = corpus(13, 3)[:90]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in spans.report(df).collect()} == dict(spans_by_force(rows))
+    got = {r.doc_id: r for r in neardup.report(df).collect()}
+    assert {d: r.class_id for d, r in got.items()} == classes_by_force(spark, rows)
+
+
+def test_very_long_lines_and_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "x\n" * 100_000), (4, "\n".join(f"own line {i} of this text" for i in range(30_000)))]
+    got = {r.doc_id: r for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[3].n_removed, got[3].n_lines) == (0, 1, 99_999, 100_001)
