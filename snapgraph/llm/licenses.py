@@ -4,19 +4,23 @@ A text's words are the runs of ASCII letters, digits and non-ASCII characters,
 A-Z lower-cased; they are compared joined by one space. A notice of n characters
 may differ in n // 10 edits. By the pigeonhole principle one of edits + 1 parts
 of a notice then stands unchanged in the text: exact searches for the parts
-locate candidates, and the regex library's bounded-error matching verifies them
-and reports spans and edits: the best match first, then those in what is left
-before and behind it. Base notices also count every exact place.
+locate the words where a match may begin, and the regex library's bounded-error
+matching verifies each and reports its end and edits. Of matches that overlap the
+one of the fewest edits stays, then the first. Base notices also count every
+exact place. Work grows with the seeds of a text, whatever stands between them.
 
 Defined cases: a null text is empty: no words, no places, null first_word and
-last_word, empty labels, score 0; repeated rows get equal results.
+last_word, empty labels, score 0; repeated rows get equal results; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -69,7 +73,7 @@ def notice(phrase: str, label: str, base: bool) -> Notice:
     edits = len(phrase) // EDITS_PER
     cuts = [len(phrase) * i // (edits + 1) for i in range(edits + 2)]
     parts = tuple((a, phrase[a:b].encode()) for a, b in zip(cuts, cuts[1:], strict=False)) if edits else ((-1, f" {phrase} ".encode()),)
-    pattern = regex.compile(rb"(?b)(?<= )(?:" + regex.escape(phrase, literal_spaces=True).encode() + rb"){e<=%d}(?= )" % edits)
+    pattern = regex.compile(rb"(?b)(?:" + regex.escape(phrase, literal_spaces=True).encode() + rb"){e<=%d}(?= )" % edits)
     return Notice(phrase.encode(), label, base, edits, parts, pattern)
 
 
@@ -84,52 +88,58 @@ def places(text: bytes, what: bytes) -> list[int]:
     return out
 
 
-def fuzzy(text: bytes, n: Notice) -> list[tuple[int, int, int]]:
+def word_starts(text: bytes) -> list[int]:
+    """Where the words of normalised text begin."""
+    return (np.flatnonzero(np.frombuffer(text, np.uint8)[:-1] == 32) + 1).tolist()
+
+
+def fuzzy(text: bytes, n: Notice, starts: list[int]) -> list[tuple[int, int, int]]:
     """(start, end, edits) of the notice's matches in normalised text, by seeds and verification."""
-    spans = []
-    reach = len(n.phrase) + 2 * n.edits + 1
+    begins: set[int] = set()
     for offset, part in n.parts:
         for at in places(text, part):
-            spans.append((max(0, at - offset - n.edits - 1), min(len(text), at - offset + reach)))
+            begins.update(starts[bisect_left(starts, at - offset - n.edits) : bisect_right(starts, at - offset + n.edits)])
+    found: list[tuple[int, int, int]] = []
+    exact, size = n.phrase + b" ", len(n.phrase)
+    for start in begins:
+        if text.startswith(exact, start):
+            found.append((0, start, start + size))
+        elif n.edits:
+            m = n.pattern.match(text, start, min(len(text), start + size + n.edits + 1))
+            if m:
+                found.append((sum(m.fuzzy_counts), start, m.end()))
     out: list[tuple[int, int, int]] = []
-    spans.sort()
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    while merged:
-        a, b = merged.pop()
-        m = n.pattern.search(text, a, b) if b - a > len(n.phrase) - n.edits else None
-        if m:
-            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            merged += [[a, m.start()], [m.end(), b]]
-    return sorted(out)
+    for edits, start, end in sorted(found):
+        at = bisect_left(out, (start, 0, 0))
+        if (not at or out[at - 1][1] <= start) and (at == len(out) or end <= out[at][0]):
+            insort(out, (start, end, edits))
+    return out
 
 
 def scan(text: str | None) -> dict:
     """Everything found in one text; spans are (first word, words, label, edits)."""
     words = (text or "").encode("utf-8", "replace").translate(_TABLE).split()
     joined = b" %s " % b" ".join(words)
+    starts: list[int] = []
     base: list[int] = []
     base_labels, labels, spans, score = set(), set(), [], 0.0
     for n in NOTICES:
         if not any(part in joined for _, part in n.parts):
             continue
+        starts = starts or word_starts(joined)
         if n.base:
-            exact = places(joined, b" %s " % n.phrase)
-            base += [joined.count(b" ", 0, at) for at in exact]
+            exact = [bisect_left(starts, at + 1) for at in places(joined, b" %s " % n.phrase)]
+            base += exact
             if exact:
                 base_labels.add(n.label)
                 score = 1.0
-                spans += [(joined.count(b" ", 0, at), n.phrase.count(b" ") + 1, n.label, 0) for at in exact]
-        for start, end, edits in fuzzy(joined, n):
+                spans += [(word, n.phrase.count(b" ") + 1, n.label, 0) for word in exact]
+        for start, end, edits in fuzzy(joined, n, starts):
             if n.base and edits == 0:
                 continue
             labels.add(n.label)
             score = max(score, 1.0 - edits / len(n.phrase))
-            spans.append((joined.count(b" ", 0, start - 1), joined.count(b" ", start, end) + 1, n.label, edits))
+            spans.append((bisect_left(starts, start), joined.count(b" ", start, end) + 1, n.label, edits))
     return {"n_words": len(words), "base": base, "base_labels": base_labels, "labels": labels | base_labels, "spans": sorted(spans), "score": score}
 
 
