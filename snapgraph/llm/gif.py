@@ -7,8 +7,11 @@ indexes. `frames` is the DataFrame form, one row a frame, and `store_texts`
 keeps byte payloads losslessly as samples of a grey palette.
 
 Defined cases: null or empty media give no frames; media that end early give
-the frames and rows decoded so far, the rest transparent; media that are no GIF
-give no frames and an error text. A null text is stored as an empty one.
+the frames and rows decoded so far, the rest transparent; media that are no GIF,
+and those whose canvas or image has more than MOST_PIXELS pixels, as their
+headers say, give an error text behind the frames decoded before. A null text is
+stored as an empty one, a null key stays null, repeated rows give equal rows, an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +30,10 @@ from pyspark.sql import functions as F
 from snapgraph.llm.words import small
 
 _LONGEST = 4096
+#: The largest canvas or image that is decoded, 256 MB of RGBA; a header of ten bytes may ask for 17 GB.
+MOST_PIXELS = 1 << 26
+#: Bytes of frames in an Arrow batch, about.
+BATCH = 16 << 20
 #: Fixed values of the format: start and step of the passes of an interlaced image.
 _PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
@@ -118,7 +125,6 @@ def lzw_decode(data: bytes, size: int, most: int | None = None) -> bytes:
 def lzw_encode(samples: bytes, size: int = 8) -> bytes:
     """An LZW stream of samples below 2**size; the dictionary starts anew when it is full."""
     clear = 1 << size
-    room = _LONGEST - clear - 2
     width, _ = _schedules[size]
     runs: list[np.ndarray] = []
     widths: list[np.ndarray] = []
@@ -134,24 +140,23 @@ def lzw_encode(samples: bytes, size: int = 8) -> bytes:
     runs.append(np.array([clear], np.uint32))
     widths.append(np.array([now]))
     if samples:
+        # codes are held eight bits to the left, so that the key of code and sample is their union
         table: dict[int, int] = {}
-        get, put = table.get, codes.append
-        current, following = samples[0], clear + 2
+        get, put, following, full = table.get, codes.append, clear + 2 << 8, _LONGEST << 8
+        current = samples[0] << 8
         for b in samples[1:]:
-            key = current << 8 | b
-            found = get(key)
-            if found is not None:
-                current = found
-                continue
-            put(current)
-            current = b
-            table[key] = following
-            following += 1
-            if following == _LONGEST:
-                flush(clear)
-                table = {}
-                get, put, following = table.get, codes.append, clear + 2
-        put(current)
+            key = current | b
+            current = get(key)
+            if current is None:
+                put(key >> 8)
+                current = b << 8
+                table[key] = following
+                following += 256
+                if following == full:
+                    flush(clear)
+                    table = {}
+                    get, put, following = table.get, codes.append, clear + 2 << 8
+        put(current >> 8)
     flush(clear + 1)
     code, each = np.concatenate(runs), np.concatenate(widths)
     end = np.cumsum(each)
@@ -179,7 +184,7 @@ def encode(images: list[np.ndarray], palette: bytes, delay_ms: int = 100, dispos
 
 
 def decode(media: bytes) -> Iterator[Frame]:
-    """The composed frames of a GIF, in order. ValueError if it doesn't begin as one."""
+    """The composed frames of a GIF, in order. ValueError if it doesn't begin as one or is too large."""
     if media[:6] not in (b"GIF87a", b"GIF89a") or len(media) < 13:
         raise ValueError("not a GIF")
     width, height, flags = struct.unpack_from("<HHB", media, 6)
@@ -205,6 +210,8 @@ def decode(media: bytes) -> Iterator[Frame]:
         at += 1
         return b"".join(parts)
 
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height} pixels is too large")
     shared = colours(flags)
     canvas = np.zeros((height, width, 4), np.uint8)
     index, control = 0, (0, 0, None)
@@ -221,6 +228,8 @@ def decode(media: bytes) -> Iterator[Frame]:
         elif kind == 0x2C and at + 9 <= size:
             left, top, w, h, packed = struct.unpack_from("<HHHHB", media, at)
             at += 9
+            if w * h > MOST_PIXELS:
+                raise ValueError(f"an image of {w} x {h} pixels is too large")
             palette = colours(packed)
             palette = shared if palette is None else palette
             if palette is None:
@@ -273,21 +282,27 @@ def frames(media: DataFrame, key: str = "media_id", data: str = "media") -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _FRAMES.split(", ")]
+        held: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*held, strict=True), _TYPES, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
+
         for batch in small(batches):
             for k, m in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                m = m.as_py()
-                if not m:
-                    continue
                 start = 0
                 try:
-                    for f in decode(m):
+                    for f in decode(m.as_py()) if m.as_py() else ():
                         h, w, _ = f.pixels.shape
-                        row = (k, f.index, start, f.delay_ms, f.disposal, w, h, f.pixels.tobytes(), histogram(f.pixels), None)
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names)
+                        held.append((k, f.index, start, f.delay_ms, f.disposal, w, h, f.pixels.tobytes(), histogram(f.pixels), None))
                         start += f.delay_ms
+                        if len(held) >= 64 or sum(len(row[7] or b"") for row in held) >= BATCH:
+                            yield packed()
                 except ValueError as e:
-                    row = (k, None, None, None, None, None, None, None, None, str(e))
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _TYPES, strict=True)], names)
+                    held.append((k, None, None, None, None, None, None, None, None, str(e)))
+            if held:
+                yield packed()
 
     return media.select(F.col(f"`{key}`").cast("long"), F.col(f"`{data}`").cast("binary")).mapInArrow(rows, _FRAMES).withColumnRenamed("key", key)
 

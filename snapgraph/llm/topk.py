@@ -6,11 +6,12 @@ inner product: sum of len * (mean * mean' + dev * dev'). Bounds are taken on few
 then on more segments; exact scores are computed for survivors only.
 
 Queries go in blocks of bounded size against all rows, one written table a
-block, so a lost executor costs parts of one block. Defined cases: vectors that
-are null or hold a null or non-finite component take no part, as query or
-candidate; shorter vectors count as padded with zeros; rows that share a vec_id
-are candidates of their own, but one query, that of the smallest vector, and no
-candidates of it; an empty table gives an empty result.
+block, so a lost executor costs parts of one block; a task works through a block
+in batches. Defined cases: vectors that are null or hold a null or non-finite
+component take no part, as query or candidate; shorter vectors count as padded
+with zeros; every row is a query and a candidate of its own, also where rows
+share a vec_id or repeat, and only the query's own row is no candidate of it; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from snapgraph import scratch
 
-#: Queries in a block; candidates compared at once; segments of the levels, coarse to fine.
-BLOCK, CHUNK, LEVELS = 4096, 2048, (4, 16)
+#: Queries in a block, about; queries and candidates compared at once; segments of the levels, coarse to fine.
+BLOCK, BATCH, CHUNK, LEVELS = 32_768, 4096, 2048, (4, 16)
 #: The share of open pairs above which a product of whole matrices is cheaper than one for each pair.
 DENSE = 1 / 16
 
@@ -43,7 +44,7 @@ def _statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
 
 
 class Search:
-    """The k best candidates of each query among all that have been shown."""
+    """The k best candidates of each query among all that have been shown; rows equal to the query are left out."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
         self.ids, self.vectors, self.k = ids, vectors, k
@@ -74,7 +75,9 @@ class Search:
         if not len(ids):
             return
         slack = 1e-9 * self.norms.max(initial=0) * np.sqrt((vectors**2).sum(1).max()) + 1e-6
-        open_ = self.ids[:, None] != ids[None, :]
+        open_ = np.ones((len(self.ids), len(ids)), bool)
+        q, c = np.nonzero(self.ids[:, None] == ids[None, :])
+        open_[q, c] = (self.vectors[q] != vectors[c]).any(1)
         for level, n in zip(self.levels, LEVELS, strict=True):
             self._narrow(open_, level, _statistics(vectors, n), slack)
             if np.isinf(self.least).any():  # no thresholds yet: begin with the candidates of the largest bounds
@@ -108,6 +111,7 @@ class Search:
             a, b = q[i : i + (1 << 16)], c[i : i + (1 << 16)]
             open_[a, b] = (level[a] * bound[b]).sum(1) >= least[a]
 
+
 def _matrix(values: list, width: int) -> np.ndarray:
     if all(len(v) == width for v in values):
         return np.asarray(values, float).reshape(len(values), width)
@@ -124,56 +128,65 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256
     broken = F.exists(F.col("_v"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     vectors = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), wide.alias("_v"))
     vectors = vectors.where(~F.coalesce(broken, F.lit(True))).select("vec_id", F.transform("_v", lambda x: F.floor(x * scale).cast("double")).alias("_v"))
-    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("_v").alias("_v"))
-    paths, last = [], None
-    while True:
-        block = (asked if last is None else asked.where(F.col("vec_id") > last)).orderBy("vec_id").limit(BLOCK).toArrow()  # of bounded size
-        if not block.num_rows:
-            break
-        ids, values = block.column(0).to_numpy(), block.column(1).to_pylist()
-        last = int(ids[-1])
+    path = f"{scratch.folder(spark)}/topk-{uuid.uuid4().hex}"
+    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id", "_v").agg(F.count("*").alias("copies"))
+    asked = scratch.keep(asked, "asked")
+    blocks = -(-asked.count() // BLOCK)
+    block = F.pmod(F.xxhash64("vec_id", "_v"), F.lit(blocks or 1)).cast("int").alias("block")
+    asked.select("*", block).write.partitionBy("block").parquet(f"{path}/asked")
+    schema, paths = "query_id long, rank int, vec_id long, score long", []
+    for n in range(blocks):
+        own = spark.read.parquet(f"{path}/asked").where(F.col("block") == n).select("vec_id", "_v", "copies").toArrow()  # of bounded size
+        if not own.num_rows:
+            continue
+        ids, values = own.column(0).to_numpy(), own.column(1).to_pylist()
         width = max(1, *map(len, values))
         sent = spark.sparkContext.broadcast((ids, _matrix(values, width)))
 
         def rows(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             query, matrix = sent.value
-            search = None
+            searches: list[Search] = []
             for batch in batches:
                 for at in range(0, batch.num_rows, CHUNK):
                     part = batch.slice(at, CHUNK)
                     found = part.column(1).to_pylist()
                     wide = max(matrix.shape[1], *map(len, found))
-                    if search is None or wide > search.vectors.shape[1]:
-                        was = search
-                        search = Search(query, np.pad(matrix, ((0, 0), (0, wide - matrix.shape[1]))), k)
-                        if was is not None:
-                            search.best, search.least = was.best, was.least
-                    search.show(part.column(0).to_numpy(), _matrix(found, search.vectors.shape[1]))
-            if search is not None:
+                    if not searches or wide > searches[0].vectors.shape[1]:
+                        was, padded = searches, np.pad(matrix, ((0, 0), (0, wide - matrix.shape[1])))
+                        searches = [Search(query[i : i + BATCH], padded[i : i + BATCH], k) for i in range(0, len(query), BATCH)]
+                        for old, new in zip(was, searches, strict=False):
+                            new.best, new.least = old.best, old.least
+                    shown, wide = part.column(0).to_numpy(), searches[0].vectors.shape[1]
+                    for search in searches:
+                        search.show(shown, _matrix(found, wide))
+            for i, search in enumerate(searches):
                 q, score, vec = search.best
-                yield pa.RecordBatch.from_arrays([pa.array(query[q]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        path = f"{scratch.folder(spark)}/topk-{uuid.uuid4().hex}"
-        found = vectors.mapInArrow(rows, "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").write.parquet(path)
+                yield pa.RecordBatch.from_arrays([pa.array(q + i * BATCH), pa.array(vec), pa.array(score)], ["query", "vec_id", "score"])
+
+        # what equals the query: all of its copies but itself are candidates
+        copies = own.column(2).to_numpy()
+        norms = [int(sum(x * x for x in map(int, v))) for v in values]
+        again = [(q, int(ids[q]), norms[q]) for q in np.flatnonzero(copies > 1).tolist() for _ in range(min(k, int(copies[q]) - 1))]
+        numbers = spark.createDataFrame([(q, int(ids[q]), int(copies[q])) for q in range(len(ids))], "query long, query_id long, copies long")
+        found = vectors.mapInArrow(rows, "query long, vec_id long, score long").union(spark.createDataFrame(again, "query long, vec_id long, score long"))
+        order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(numbers), "query")
+        best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))  # equal rows have equal answers, one each
+        best.select("query_id", "rank", "vec_id", "score").write.parquet(f"{path}/{n}")
         sent.unpersist()
-        paths.append(path)
-        if len(ids) < BLOCK:
-            break
-    schema = "query_id long, rank int, vec_id long, score long"
+        paths.append(f"{path}/{n}")
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 #: DuckDB's form of top_k over the table embeddings.
 SQL = """
 WITH c AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM c q JOIN c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -103,3 +103,20 @@ def test_stored_texts(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
     assert got[2].asDict() | {"doc_id": 5} == got[5].asDict()
     assert gif.store_texts(df.limit(0)).count() == 0
+
+
+def test_hostile_headers_and_many_frames(spark):
+    """Headers that ask for gigabytes give an error row; frames before them stay; frames are packed."""
+    import struct
+
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    image = np.zeros((2, 3), np.uint8)
+    wide = gif.encode([image], b"", 50)[:-1] + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x02\x44\x01\x00\x3b"
+    many = gif.encode([image + i for i in range(150)], b"")
+    rows = [(1, huge), (2, wide), (3, many), (None, many), (4, None), (5, b""), (6, b"none")]
+    got = gif.frames(spark.createDataFrame([(*r, "x") for r in rows], "media_id long, media binary, frame string")).collect()
+    assert sorted((r.media_id, r.frame is None, (r.error or "")[:8]) for r in got if r.media_id in (1, 2, 6)) == [(1, True, "a canvas"), (2, False, ""), (2, True, "an image"), (6, True, "not a GI")]
+    for key in (3, None):
+        own = sorted((r.frame, r.start_ms) for r in got if r.media_id == key)
+        assert own == [(i, 100 * i) for i in range(150)]
+    assert gif.frames(spark.createDataFrame([], "media_id long, media binary")).count() == 0

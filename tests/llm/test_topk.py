@@ -9,11 +9,11 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 def brute(rows, k=5, every=50):
     clean = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in sorted({i for i, _ in clean if i % every == 0}):
-        own = min(v for i, v in clean if i == q)
-        scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for i, v in clean if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
-    return out
+    for n, (q, own) in enumerate(clean):
+        if q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, (i, v) in enumerate(clean) if m != n)[:k]
+            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
+    return sorted(out)
 
 
 def run(spark, rows):
@@ -48,3 +48,11 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 2)
     random.seed(5)
     run(spark, [(i * 25, [random.random() for _ in range(6)]) for i in range(14)])
+
+
+def test_rows_that_share_an_id_or_repeat(spark):
+    got = run(spark, [(0, [1.0, 2.0]), (0, [3.0, 1.0]), (1, [1.0, 1.0])])
+    assert (0, 1, 0, 327_680) in got
+    random.seed(6)
+    rows = [(random.choice([0, 50, 100, i]), [random.choice([-1.0, 0.5, 2.0]) for _ in range(2)]) for i in range(120)]
+    run(spark, rows + rows[:30])
