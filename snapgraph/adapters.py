@@ -3,11 +3,15 @@
 Snapshots come from orders (items), conversations (bundles) and documents
 (texts); a dependency graph from lineitem: suppliers are classes, the nations of
 their customers interfaces, regions components, and (supplier, brand) pairs
-methods, which call each other in the order of an order's lines.
+methods, which call each other in the order of an order's lines. Methods of
+suppliers whose key ends in 5 are called by each other only, those of 6 by each
+other and by tests, so that dead and test-only code exists.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +77,36 @@ p AS (SELECT lower(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)?', 1)) AS key,
 """
 
 
+def _is_test(supplier: Column) -> Column:
+    return (supplier % 7 == 3) & (supplier % 10 != 5)
+
+
 def _ord(*columns: tuple[str, int]) -> Column:
     return F.concat(*[F.lpad(F.col(c).cast("string"), n, "0") for c, n in columns])
 
 
-_built: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+_built: dict[tuple, object] = {}
+
+
+def _stamp(spark: SparkSession, folder: str) -> tuple:
+    """Names, sizes and times of a folder's tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+
+def once(spark: SparkSession, sf_dir: str, make: Callable[[SparkSession, str], object]) -> object:
+    """What `make` builds of a folder, written once an application and state of the folder."""
+    key = (make.__name__, spark.sparkContext.applicationId, sf_dir)
+    state = (_stamp(spark, sf_dir), scratch.cleared)
+    if key not in _built or _built[key][0] != state:
+        _built[key] = (state, make(spark, sf_dir))
+    return _built[key][1]
 
 
 def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(nodes, edges, occurrences), written once an application and folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _built:
-        _built[key] = _order_graph(spark, sf_dir)
-    return _built[key]
+    """(nodes, edges, occurrences) of the order graph."""
+    return once(spark, sf_dir, _order_graph)
 
 
 def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,32 +115,35 @@ def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     rank = F.concat(_ord(("l_orderkey", 12), ("l_linenumber", 3), ("l_partkey", 9), ("l_suppkey", 7)), "l_returnflag", "l_linestatus")
     lines = lines.select(
-        "l_orderkey", "l_quantity", "c_nationkey", rank.alias("rank"), "l_returnflag", "l_linestatus", F.col("l_suppkey").alias("s"),
-        F.concat(F.lit("apex:supplier"), F.col("l_suppkey").cast("string")).alias("class_id"), (F.col("l_suppkey") % 7 == 3).alias("is_test"), "p_brand",
+        "l_orderkey", "c_nationkey", rank.alias("rank"), "l_returnflag", "l_linestatus", F.col("l_suppkey").alias("s"),
+        F.concat(F.lit("apex:supplier"), F.col("l_suppkey").cast("string")).alias("class_id"), _is_test(F.col("l_suppkey")).alias("is_test"), "p_brand",
     )
+    lines = lines.withColumn("side", F.when(F.col("s") % 10 == 5, 1).when((F.col("s") % 10 == 6) | F.col("is_test"), 2).otherwise(0))
     flag, status = F.col("l_returnflag"), F.col("l_linestatus")
     kind = F.when(flag == "R", "instance_call").when(flag == "A", "static_call").when(status == "O", "possible_implementation").otherwise("type_reference")
     uses = lines.select(F.concat(F.lit("A"), "rank").alias("ord"), F.col("class_id").alias("source"), F.concat(F.lit("apex:nation"), F.col("c_nationkey").cast("string")).alias("target"), kind.alias("kind"), "is_test")
-    few = lines.where("l_quantity >= 40").withColumn("method_id", F.concat("class_id", F.lit("::"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("!0")))
-    by = Window.partitionBy("l_orderkey").orderBy("rank")
-    few = few.withColumns({"next": F.lead("method_id").over(by), "first": F.row_number().over(by) == 1})
+    named = lines.withColumn("method_id", F.concat("class_id", F.lit("::"), F.replace("p_brand", F.lit("#"), F.lit("")), F.lit("!0")))
+    by, whole = Window.partitionBy("l_orderkey", "side").orderBy("rank"), Window.partitionBy("l_orderkey").orderBy("rank")
+    named = named.withColumns({"next": F.lead("method_id").over(by), "first": F.row_number().over(by) == 1, "next_class": F.lead("class_id").over(whole)})
     call = F.when(status == "O", F.when(flag == "N", "possible_override").otherwise("self_call")).otherwise("static_call")
-    calls = few.where("next is not null and next <> method_id").select(F.concat(F.lit("B"), "rank").alias("ord"), F.col("method_id").alias("source"), F.col("next").alias("target"), call.alias("kind"), "is_test")
-    roots = few.where("first and l_orderkey % 5 = 0").select(F.concat(F.lit("C"), "rank").alias("ord"), F.col("class_id").alias("source"), F.col("method_id").alias("target"), F.lit("instance_call").alias("kind"), "is_test")
+    calls = named.where("next is not null and next <> method_id").select(F.concat(F.lit("B"), "rank").alias("ord"), F.col("method_id").alias("source"), F.col("next").alias("target"), call.alias("kind"), "is_test")
+    roots = named.where("first and l_orderkey % 5 = 0 and (side = 0 or is_test)").select(F.concat(F.lit("C"), "rank").alias("ord"), F.col("class_id").alias("source"), F.col("method_id").alias("target"), F.lit("instance_call").alias("kind"), "is_test")
+    tie = F.when(flag == "R", "instantiation").when(flag == "A", "type_reference").otherwise("field_access")
+    ties = named.where("next_class <> class_id").select(F.concat(F.lit("E"), "rank").alias("ord"), F.col("class_id").alias("source"), F.col("next_class").alias("target"), tie.alias("kind"), "is_test")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     imports = nation.select(
         F.concat(F.lit("D"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("ord"), F.concat(F.lit("lwc:region"), F.col("n_regionkey").cast("string")).alias("source"),
         F.concat(F.lit("apex:nation"), F.col("n_nationkey").cast("string")).alias("target"), F.lit("js_import").alias("kind"), F.lit(False).alias("is_test"),
     )
-    occurrences = scratch.keep(uses.union(calls).union(roots).union(imports), "occurrences")
+    occurrences = scratch.keep(uses.union(calls).union(roots).union(ties).union(imports), "occurrences")
 
     none = F.lit(None).cast("string")
-    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("apex:supplier"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("Supplier"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(CLASS).alias("type"), (F.col("s_suppkey") % 7 == 3).alias("is_test"), none.alias("parent_id"), none.alias("entry_point_reason"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("apex:supplier"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("Supplier"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(CLASS).alias("type"), _is_test(F.col("s_suppkey")).alias("is_test"), none.alias("parent_id"), none.alias("entry_point_reason"))
     nations = nation.select(F.concat(F.lit("apex:nation"), F.col("n_nationkey").cast("string")), "n_name", F.lit(INTERFACE), F.lit(False), none, none)
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("lwc:region"), F.col("r_regionkey").cast("string")), "r_name", F.lit(COMPONENT), F.lit(False), none, none)
-    entry = F.when(F.col("s") % 10 == 0, "@AuraEnabled")
+    entry = F.when((F.col("s") % 10 == 0) & ~F.col("is_test"), "@AuraEnabled")
     label = F.concat(F.lit("Supplier"), F.col("s").cast("string"), F.lit("."), F.replace("p_brand", F.lit("#"), F.lit("")))
-    methods = few.select("method_id", label, F.lit(METHOD), "is_test", "class_id", entry).distinct()
+    methods = named.select("method_id", label, F.lit(METHOD), "is_test", "class_id", entry).distinct()
     nodes = suppliers.union(nations).union(regions).union(methods).withColumns({"file_path": F.lit("lineitem"), "line": F.lit(1)})
     edges = scratch.keep(graph.edges(occurrences), "edges")
     nodes = scratch.keep(graph.degrees(nodes, edges), "nodes")
@@ -128,25 +152,27 @@ def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 
 
 GRAPH_SQL = """
-li AS (SELECT l_orderkey, l_quantity, c_nationkey, l_returnflag AS rf, l_linestatus AS ls, l_suppkey AS s, 'apex:supplier' || l_suppkey AS class_id, l_suppkey % 7 = 3 AS is_test, replace(p_brand, '#', '') AS brand,
+li AS (SELECT l_orderkey, c_nationkey, l_returnflag AS rf, l_linestatus AS ls, l_suppkey AS s, 'apex:supplier' || l_suppkey AS class_id, l_suppkey % 7 = 3 AND l_suppkey % 10 <> 5 AS is_test, replace(p_brand, '#', '') AS brand,
+    CASE WHEN l_suppkey % 10 = 5 THEN 1 WHEN l_suppkey % 10 = 6 OR l_suppkey % 7 = 3 THEN 2 ELSE 0 END AS side,
     lpad(l_orderkey::VARCHAR, 12, '0') || lpad(l_linenumber::VARCHAR, 3, '0') || lpad(l_partkey::VARCHAR, 9, '0') || lpad(l_suppkey::VARCHAR, 7, '0') || l_returnflag || l_linestatus AS rank
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey),
-fw AS (SELECT *, class_id || '::' || brand || '!0' AS method_id FROM li WHERE l_quantity >= 40),
-fx AS (SELECT *, lead(method_id) OVER (PARTITION BY l_orderkey ORDER BY rank) AS nxt, row_number() OVER (PARTITION BY l_orderkey ORDER BY rank) = 1 AS fst FROM fw),
+fw AS (SELECT *, class_id || '::' || brand || '!0' AS method_id FROM li),
+fx AS (SELECT *, lead(method_id) OVER w AS nxt, row_number() OVER w = 1 AS fst, lead(class_id) OVER (PARTITION BY l_orderkey ORDER BY rank) AS nxc FROM fw WINDOW w AS (PARTITION BY l_orderkey, side ORDER BY rank)),
 occ AS (
   SELECT 'A' || rank AS ord, class_id AS source, 'apex:nation' || c_nationkey AS target,
     CASE WHEN rf = 'R' THEN 'instance_call' WHEN rf = 'A' THEN 'static_call' WHEN ls = 'O' THEN 'possible_implementation' ELSE 'type_reference' END AS kind, is_test FROM li
   UNION ALL SELECT 'B' || rank, method_id, nxt, CASE WHEN ls = 'O' THEN CASE WHEN rf = 'N' THEN 'possible_override' ELSE 'self_call' END ELSE 'static_call' END, is_test FROM fx WHERE nxt IS NOT NULL AND nxt <> method_id
-  UNION ALL SELECT 'C' || rank, class_id, method_id, 'instance_call', is_test FROM fx WHERE fst AND l_orderkey % 5 = 0
+  UNION ALL SELECT 'C' || rank, class_id, method_id, 'instance_call', is_test FROM fx WHERE fst AND l_orderkey % 5 = 0 AND (side = 0 OR is_test)
+  UNION ALL SELECT 'E' || rank, class_id, nxc, CASE rf WHEN 'R' THEN 'instantiation' WHEN 'A' THEN 'type_reference' ELSE 'field_access' END, is_test FROM fx WHERE nxc <> class_id
   UNION ALL SELECT 'D' || lpad(n_nationkey::VARCHAR, 9, '0'), 'lwc:region' || n_regionkey, 'apex:nation' || n_nationkey, 'js_import', false FROM nation),
 bk AS (SELECT source, target, kind, count(*) AS n, count(*) FILTER (WHERE NOT is_test) AS p, min(ord) AS f, min(ord) FILTER (WHERE NOT is_test) AS fp, kind IN ('possible_override', 'possible_implementation') AS doubt FROM occ GROUP BY source, target, kind),
 rk AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY doubt, n DESC, f) AS k1, row_number() OVER (PARTITION BY source, target ORDER BY p = 0, doubt, p DESC, fp) AS k2 FROM bk),
 edges AS (SELECT source, target, max(kind) FILTER (WHERE k1 = 1) AS kind, sum(n)::BIGINT AS n_occ, sum(p)::BIGINT AS n_prod, max(kind) FILTER (WHERE k2 = 1 AND p > 0) AS kind_prod, min(f) AS first_ord FROM rk GROUP BY source, target),
 nd AS (
-  SELECT 'apex:supplier' || s_suppkey AS id, 'Supplier' || s_suppkey AS name, 'apex_class' AS type, s_suppkey % 7 = 3 AS is_test, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS entry_point_reason FROM supplier
+  SELECT 'apex:supplier' || s_suppkey AS id, 'Supplier' || s_suppkey AS name, 'apex_class' AS type, s_suppkey % 7 = 3 AND s_suppkey % 10 <> 5 AS is_test, NULL::VARCHAR AS parent_id, NULL::VARCHAR AS entry_point_reason FROM supplier
   UNION ALL SELECT 'apex:nation' || n_nationkey, n_name, 'apex_interface', false, NULL, NULL FROM nation
   UNION ALL SELECT 'lwc:region' || r_regionkey, r_name, 'lwc_component', false, NULL, NULL FROM region
-  UNION ALL (SELECT DISTINCT method_id, 'Supplier' || s || '.' || brand, 'apex_method', is_test, class_id, CASE WHEN s % 10 = 0 THEN '@AuraEnabled' END FROM fw)),
+  UNION ALL (SELECT DISTINCT method_id, 'Supplier' || s || '.' || brand, 'apex_method', is_test, class_id, CASE WHEN s % 10 = 0 AND NOT is_test THEN '@AuraEnabled' END FROM fw)),
 dg AS (SELECT id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(CASE WHEN n_prod > 0 THEN i ELSE 0 END)::BIGINT AS prod_in_degree, sum(CASE WHEN n_prod > 0 THEN o ELSE 0 END)::BIGINT AS prod_out_degree
   FROM (SELECT source AS id, 0 AS i, 1 AS o, n_prod FROM edges UNION ALL SELECT target, 1, 0, n_prod FROM edges) GROUP BY id),
 nodes AS (SELECT nd.*, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) AS out_degree, coalesce(prod_in_degree, 0) AS prod_in_degree, coalesce(prod_out_degree, 0) AS prod_out_degree FROM nd LEFT JOIN dg USING (id))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from snapgraph.functions.difflines import diff_stats
 from snapgraph.functions.text import n_lines
-from snapgraph.schemas import IDENTICAL, MODIFIED, ONLY_A, ONLY_B
+from snapgraph.schemas import IDENTICAL, MODIFIED, ONLY_A, ONLY_B, class_key
 
 COUNTS = ("lines_added", "lines_removed", "lines_changed")
 
@@ -119,9 +119,9 @@ def roll_up(files: DataFrame, bundles_a: DataFrame, bundles_b: DataFrame) -> Dat
 
 
 def by_rank(listing: DataFrame) -> DataFrame:
-    """Modified first, then one-sided, then identical; names by locale within."""
+    """Modified first, then one-sided, then identical, by column rank; names by locale within."""
     rank = F.when(F.col("status") == MODIFIED, 0).when(F.col("status") == ONLY_A, 1).when(F.col("status") == ONLY_B, 2).otherwise(3)
-    return listing.orderBy(rank, F.collate("name", "UNICODE_CI"), "name")
+    return listing.withColumn("rank", rank).orderBy("rank", F.collate("name", "UNICODE_CI"), "name")
 
 
 def duplicates(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -129,6 +129,11 @@ def duplicates(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("org", F.lit("a")).unionByName(b.withColumn("org", F.lit("b")))
 
 
-def detail(compared: DataFrame, key: Column, wanted: Column) -> DataFrame:
-    """One item with both contents; no row if there is none."""
-    return compared.where(key == wanted)
+def detail(compared: DataFrame, wanted: str) -> DataFrame:
+    """One class (key: see `schemas.class_key`) with both contents, its name in any case, with extension or without; no row if there is none."""
+    return compared.where(F.col("key") == class_key(F.lit(wanted)))
+
+
+def details(compared: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(wanted, ...): the class of each asked name, as `detail` finds it; names without one give no row."""
+    return wanted.withColumn("key", class_key(F.col("wanted"))).join(compared, "key")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapgraph import scratch
@@ -58,13 +58,18 @@ def summary(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
 
 
 def first_occurrences(occurrences: DataFrame, limit: int | None) -> DataFrame:
-    """(source, target, occurrences, occurrence_count, truncated): the first `limit` of each edge in order."""
+    """(source, target, occurrences, occurrence_count, truncated): the first `limit` of each edge in order.
+
+    Each task ranks its own part of an edge before the edge's firsts meet, so a
+    hot edge sends `limit` rows a task; only without a limit all are brought together.
+    """
     fields = [c for c in ("file", "line", "snippet", "kind", "caller_method", "detail", "is_test") if c in occurrences.columns]
-    every = F.array_sort(F.collect_list(F.struct("ord", *fields)))
-    by = occurrences.groupBy("source", "target").agg(every.alias("o"))
-    kept = F.col("o") if limit is None else F.slice("o", 1, limit)
-    cut = F.lit(False) if limit is None else F.size("o") > limit
-    return by.select("source", "target", kept.alias("occurrences"), F.size("o").alias("occurrence_count"), cut.alias("truncated"))
+    counts = occurrences.groupBy("source", "target").agg(F.count("*").cast("int").alias("occurrence_count"))
+    nth = F.row_number().over(Window.partitionBy("source", "target").orderBy("ord"))
+    kept = occurrences if limit is None else occurrences.withColumn("nth", nth).where(F.col("nth") <= limit)
+    first = kept.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("occurrences"))
+    cut = F.lit(False) if limit is None else F.col("occurrence_count") > limit
+    return first.join(counts, ["source", "target"]).select("source", "target", "occurrences", "occurrence_count", cut.alias("truncated"))
 
 
 def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
@@ -78,18 +83,15 @@ def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:
     return out.select(*[c for c in calls.columns if c != "callee_lc"], F.coalesce("exact_id", "only_id").alias("method_id"), F.coalesce("exact_arity", "only_arity").alias("method_arity"))
 
 
-def closure(pairs: DataFrame, most: int = 10_000) -> DataFrame:
-    """(base, derived) of all chains of (base, derived) steps, cycles allowed; each round doubles the chains' length."""
-    found = scratch.keep(pairs.select("base", "derived").distinct(), "closure")
-    n = found.count()
-    for _ in range(most):
-        longer = found.alias("x").join(found.alias("y"), F.col("x.derived") == F.col("y.base")).select(F.col("x.base").alias("base"), F.col("y.derived").alias("derived"))
-        found = scratch.keep(found.union(longer).distinct(), "closure")
-        now = found.count()
-        if now == n:
-            return found
-        n = now
-    raise RuntimeError("the closure did not end")
+def closure(pairs: DataFrame) -> DataFrame:
+    """(base, derived) of all chains of (base, derived) steps, cycles allowed; each round adds one step to the newest chains."""
+    steps = scratch.keep(pairs.select("base", "derived").distinct(), "steps")
+    found = new = steps
+    while not new.isEmpty():
+        longer = new.join(steps.select(F.col("base").alias("derived"), F.col("derived").alias("below")), "derived").select("base", F.col("below").alias("derived")).distinct()
+        new = scratch.keep(longer.join(found, ["base", "derived"], "left_anti"), "longer")
+        found = scratch.keep(found.union(new), "closure")
+    return found
 
 
 def implementers(implements: DataFrame, subclasses: DataFrame) -> DataFrame:

@@ -188,6 +188,17 @@ def nodes_by_type(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "type")
 
 
+def edge_list(edges: DataFrame) -> DataFrame:
+    """Edges by their number of occurrences, most first."""
+    return edges.orderBy(F.col("n_occ").desc(), "source", "target")
+
+
+def by_degree(nodes: DataFrame) -> DataFrame:
+    """(id, name, degree): most edges first, names by locale within."""
+    degree = F.col("in_degree") + F.col("out_degree")
+    return nodes.select("id", "name", degree.alias("degree")).orderBy(F.col("degree").desc(), F.collate("name", "UNICODE_CI"), "id")
+
+
 def edges_by_kind(edges: DataFrame) -> DataFrame:
     return edges.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "kind")
 

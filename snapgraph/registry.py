@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from snapgraph import scratch
 from snapgraph.adapters import BUNDLES_SQL, GRAPH_SQL, MARKS_SQL, ORDERS_SQL, PAGES_SQL, bundle_snapshots, order_graph, order_snapshots, page_items, table
 from snapgraph.functions import text
+from snapgraph.functions.difflines import diff_opcodes
 from snapgraph.operators import diff, graph, traverse
 from snapgraph.plans import views
-from snapgraph.schemas import METHOD
+from snapgraph.plans.gate import Gate, NotReady
+from snapgraph.schemas import METHOD, class_key
 from snapgraph.session import ship
 from snapgraph.sources import sinks
 
@@ -78,35 +83,156 @@ def diff_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.with_stats(_compared(spark, sf_dir)).select("key", *diff.COUNTS)
 
 
-@query(f"WITH {ORDERS_SQL} SELECT key, name, status, content_a, content_b FROM d WHERE key = '000000007'")
+_CLASS_ROW = "SELECT lower(name) || '.cls' AS key, name, status, content_a, content_b FROM d"
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' snapshots as classes, each under the key of its file name."""
+    return diff.match(*[side.withColumn("key", class_key(F.col("name"))) for side in order_snapshots(spark, sf_dir)], ["key"])
+
+
+@query(f"WITH {ORDERS_SQL} {_CLASS_ROW} WHERE key = '000000007'")
 def diff_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.detail(_compared(spark, sf_dir), F.col("key"), F.lit("000000007")).select("key", "name", "status", "content_a", "content_b")
+    return diff.detail(_classes(spark, sf_dir), " ORDER000000007.Cls").select("key", "name", "status", "content_a", "content_b")
 
 
-@query(f"WITH {PAGES_SQL}, r AS (SELECT *, row_number() OVER w AS n, first(rel_path) OVER w AS kept_path FROM p WINDOW w AS (PARTITION BY key ORDER BY seq)) SELECT key, name, kept_path, rel_path AS ignored_path, 'a' AS org FROM r WHERE n > 1")
-def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, again = diff.first_wins(page_items(spark, sf_dir), ["key"])
-    return diff.duplicates(again, again.limit(0))
+@query(
+    f"""WITH {ORDERS_SQL}, w AS (SELECT CASE o_orderkey % 3 WHEN 0 THEN 'Order' WHEN 1 THEN 'ORDER' ELSE ' order' END || lpad(o_orderkey::VARCHAR, 9, '0') || CASE o_orderkey % 2 WHEN 0 THEN '.CLS' ELSE '' END AS wanted FROM orders UNION ALL SELECT 'Missing'),
+    k AS ({_CLASS_ROW}) SELECT wanted, name, status, content_a, content_b FROM w JOIN k ON lower(trim(replace(lower(wanted), '.cls', ''))) || '.cls' = k.key"""
+)
+def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order asked for by its name, in several cases, with and without extension."""
+    prefix = F.when(F.col("o_orderkey") % 3 == 0, "Order").when(F.col("o_orderkey") % 3 == 1, "ORDER").otherwise(" order")
+    suffix = F.when(F.col("o_orderkey") % 2 == 0, ".CLS").otherwise("")
+    asked = table(spark, sf_dir, "orders").select(F.concat(prefix, F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), suffix).alias("wanted"))
+    asked = asked.union(spark.createDataFrame([("Missing",)], "wanted string"))
+    return diff.details(_classes(spark, sf_dir), asked).select("wanted", "name", "status", "content_a", "content_b")
 
 
-_TERMINATORS = "chr(13) || chr(10) || '|[' || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'"
+@query(
+    f"""WITH {ORDERS_SQL} SELECT key, name, status, in_org_a, in_org_b, status = 'identical' AS is_identical, false AS has_error,
+    CASE status WHEN 'modified' THEN 2 WHEN 'only_in_org_b' THEN 1 + (content_b LIKE '%' || chr(10) || '%')::INT ELSE 0 END::INT AS lines_added,
+    CASE status WHEN 'modified' THEN 1 WHEN 'only_in_org_a' THEN 1 ELSE 0 END::INT AS lines_removed,
+    CASE status WHEN 'modified' THEN 3 WHEN 'only_in_org_a' THEN 1 WHEN 'only_in_org_b' THEN 1 + (content_b LIKE '%' || chr(10) || '%')::INT ELSE 0 END::INT AS lines_changed FROM d"""
+)
+def diff_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.meta(diff.with_stats(_compared(spark, sf_dir)), ["key"])
+
+
+@query(f"WITH {ORDERS_SQL} SELECT name, status, CASE status WHEN 'modified' THEN 0 WHEN 'only_in_org_a' THEN 1 WHEN 'only_in_org_b' THEN 2 ELSE 3 END::INT AS rank FROM d")
+def listing_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.by_rank(_compared(spark, sf_dir)).select("name", "status", "rank")
+
+
+@query(f"WITH {ORDERS_SQL}, o2 AS (SELECT key, unnest([{{'tag': 'equal', 'i1': 0, 'i2': 1, 'j1': 0, 'j2': 1}}, {{'tag': 'insert', 'i1': 1, 'i2': 1, 'j1': 1, 'j2': 2}}]) AS o FROM d WHERE status = 'modified') SELECT key, o.tag AS tag, o.i1::INT AS i1, o.i2::INT AS i2, o.j1::INT AS j1, o.j2::INT AS j2 FROM o2")
+def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretches of lines that a side-by-side view shows of each modified order."""
+    modified = _compared(spark, sf_dir).where("status = 'modified'")
+    return modified.select("key", F.explode(diff_opcodes("content_a", "content_b")).alias("o")).select("key", "o.*")
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, {_TERMINATORS}))
-    + (NOT regexp_matches(right(text, 1), '[' || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'))::INT END::INT AS n_lines FROM documents"""
+    f"""WITH {ORDERS_SQL}, r AS (SELECT *, string_split(coalesce(content_b, content_a), chr(10)) AS l FROM d)
+    SELECT key, '<!doctype html><meta charset=utf-8><title>' || name || '</title><h1>' || name || '</h1><p>' || status || '</p><table>' ||
+    CASE status WHEN 'only_in_org_a' THEN '<tr class="delete"><td>' || content_a || '</td><td></td></tr>'
+      WHEN 'only_in_org_b' THEN array_to_string(list_transform(l, lambda x: '<tr class="insert"><td></td><td>' || x || '</td></tr>'), '')
+      ELSE '<tr class="equal"><td>' || l[1] || '</td><td>' || l[1] || '</td></tr>' || CASE status WHEN 'modified' THEN '<tr class="insert"><td></td><td>changed</td></tr>' ELSE '' END END || '</table>' AS html FROM r"""
 )
-def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.n_lines(F.col("text")).alias("n_lines"))
+def item_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.item_reports(_compared(spark, sf_dir)).select("key", "html")
+
+
+@query(
+    """SELECT 0 AS section, '<!doctype html><meta charset=utf-8><title>Nations</title><script id="data" type="application/json">{"focus": null}</script>' AS line
+    UNION ALL SELECT 1, '<script type="application/json" class="nations">{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '<\\/"}</script>' FROM nation UNION ALL SELECT 2, '</html>'"""
+)
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of all nations, whose names end in what would close a script."""
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.concat("n_name", F.lit("</")).alias("n_name"))
+    return sinks.page_lines("Nations", {"focus": None}, {"nations": nations}).select("section", "line")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def debug_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written as JSON for a look from outside, and read back."""
+    path = f"{scratch.folder(spark)}/debug-{uuid.uuid4().hex}"
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    sinks.write_debug(nations, path)
+    return spark.read.schema(nations.schema).json(path)
 
 
 @query(
-    """WITH n AS (SELECT doc_id, len(string_split(text, chr(10))) - (right(text, 1) = chr(10))::INT AS n FROM documents WHERE text <> '' AND doc_id % 3 <> 2)
-    SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE n END::INT AS lines_added, CASE WHEN doc_id % 3 = 0 THEN n ELSE 0 END::INT AS lines_removed, n::INT AS lines_changed FROM n"""
+    """SELECT * FROM (VALUES ('bool', '1', 'true'), ('bool', ' True ', 'true'), ('bool', 'YES', 'true'), ('bool', '0', 'false'), ('bool', 'on', 'false'), ('bool', '', 'false'), ('depth', 'all', 'None'), ('depth', 'ALL', 'None'), ('depth', '3', '3'), ('depth', '0', 'refused'),
+    ('depth', '-2', 'refused'), ('depth', 'x', 'refused'), ('direction', 'both', 'both'), ('direction', 'upstream', 'upstream'), ('direction', 'downstream', 'downstream'), ('direction', 'sideways', 'refused'),
+    ('name', 'Ledger', 'Ledger'), ('name', '../x', 'refused'), ('name', 'a/b', 'refused'), ('name', 'a\\b', 'refused')) t(parameter, value, parsed)"""
 )
+def request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each parameter of a request is read as."""
+    asked = {
+        views.parse_bool: ("bool", ("1", " True ", "YES", "0", "on", "")), views.parse_depth: ("depth", ("all", "ALL", "3", "0", "-2", "x")),
+        views.parse_direction: ("direction", ("both", "upstream", "downstream", "sideways")), views.safe_name: ("name", ("Ledger", "../x", "a/b", "a\\b")),
+    }
+
+    def parsed(read: Callable[[str], object], value: str) -> str:
+        try:
+            got = read(value)
+        except ValueError:
+            return "refused"
+        return str(got).lower() if isinstance(got, bool) else str(got)
+
+    return spark.createDataFrame([(name, v, parsed(read, v)) for read, (name, values) in asked.items() for v in values], "parameter string, value string, parsed string")
+
+
+@query("SELECT * FROM (VALUES ('before', 'building', '503'), ('after', 'ready', (SELECT count(*)::VARCHAR FROM nation)), ('broken', 'failed', '503')) t(moment, status, answer)")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a gate answers before, after, and where building fails."""
+    held = threading.Event()
+
+    def count() -> int:
+        held.wait()
+        return table(spark, sf_dir, "nation").count()
+
+    def answer(gate: Gate) -> str:
+        try:
+            return str(gate.get())
+        except NotReady as e:
+            return str(e.code)
+
+    gate = Gate(count).start()
+    rows = [("before", gate.status, answer(gate))]
+    held.set()
+    rows.append(("after", gate.wait(), answer(gate)))
+    broken = Gate(lambda: 1 // 0).start()
+    rows.append(("broken", broken.wait(), answer(broken)))
+    return spark.createDataFrame(rows, "moment string, status string, answer string")
+
+
+@query(
+    f"WITH {PAGES_SQL}, s AS (SELECT *, CASE WHEN seq % 2 = 0 THEN 'a' ELSE 'b' END AS org FROM p), r AS (SELECT *, row_number() OVER w AS n, first(rel_path) OVER w AS kept_path FROM s WINDOW w AS (PARTITION BY org, key ORDER BY seq)) SELECT key, name, kept_path, rel_path AS ignored_path, org FROM r WHERE n > 1"
+)
+def duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of even and of odd ids as two snapshots, each with duplicates of its own."""
+    pages = page_items(spark, sf_dir)
+    return diff.duplicates(*[diff.first_wins(pages.where(F.col("seq") % 2 == side), ["key"])[1] for side in (0, 1)])
+
+
+_TERMINATORS = "chr(13) || chr(10) || '|[' || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'"
+
+
+_LINES = f"""CASE WHEN text = '' THEN 0 ELSE len(regexp_extract_all(text, {_TERMINATORS}))
+    + (NOT regexp_matches(right(text, 1), '[' || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || ']'))::INT END"""
+
+
+@query(f"SELECT doc_id, {_LINES}::INT AS n_lines FROM documents")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.n_lines(F.col("text")).alias("n_lines"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {_LINES} AS n FROM documents) SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 ELSE n END::INT AS lines_added, CASE WHEN doc_id % 2 = 0 THEN n ELSE 0 END::INT AS lines_removed, n::INT AS lines_changed FROM n")
 def one_sided_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", F.col("text").alias("content"))
-    return diff.with_stats(diff.match(docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), ["doc_id"])).select("doc_id", *diff.COUNTS)
+    """Documents of even ids only in one snapshot, those of odd ids only in the other."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return diff.with_stats(diff.match(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 <> 0"), ["doc_id"])).select("doc_id", *diff.COUNTS)
 
 
 @query()
@@ -135,9 +261,27 @@ def bundle_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.roll_up(files, *sides).select("bundle_key", "name", "status", "file_count", "has_error")
 
 
-@query(f"WITH {ORDERS_SQL}, m AS (SELECT list_sort(list(name)) AS l FROM d WHERE status = 'modified') SELECT 'ApexClass' AS kind, len(l)::INT AS members, '<types>' || array_to_string(list_transform(l, lambda n: '<members>' || n || '</members>'), '') || '<name>ApexClass</name></types>' AS xml FROM m")
+_MODIFIED = "(SELECT name FROM d WHERE status = 'modified' UNION ALL SELECT 'A&B<C>''s.trigger')"
+
+
+def _deployed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _compared(spark, sf_dir).where("status = 'modified'").select(F.concat("name", F.lit(".Cls")).alias("name"))
+    return names.union(spark.createDataFrame([("A&B<C>'s.trigger",)], "name string"))
+
+
+@query(
+    f"""WITH {ORDERS_SQL}, h AS (SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<Package xmlns="http://soap.sforce.com/2006/04/metadata">', '    <types>']) AS line),
+    t AS (SELECT unnest(['        <name>ApexClass</name>', '    </types>', '    <version>59.0</version>', '</Package>']) AS line)
+    SELECT 0 AS section, line FROM h UNION ALL SELECT 2, line FROM t UNION ALL SELECT 1, '        <members>' || replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</members>' FROM {_MODIFIED}"""
+)
 def deploy_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.manifest(_compared(spark, sf_dir).where("status = 'modified'").select(F.concat("name", F.lit(".cls")).alias("name")), "ApexClass")
+    return sinks.manifest(_deployed(spark, sf_dir)).select("section", "line")
+
+
+@query(f"WITH {ORDERS_SQL}, n AS (SELECT CASE WHEN name LIKE '%.trigger' THEN name ELSE name || '.Cls' END AS name FROM {_MODIFIED}) SELECT string_agg(name || chr(10), '' ORDER BY name) AS text FROM n")
+def deploy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole file of names."""
+    return spark.createDataFrame([(sinks.text_of(sinks.deploy_list(_deployed(spark, sf_dir))),)], "text string")
 
 
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
@@ -203,16 +347,6 @@ def unresolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unresolved(_links(spark, sf_dir).select(F.col("link").alias("name")), page_items(spark, sf_dir).select(F.col("key").alias("name_lc")))
 
 
-@query(f"{_LINKS}, t AS (SELECT path, min(page_id) AS id FROM s GROUP BY path) SELECT l.page_id, l.link, coalesce(o.id, t.id) AS target, o.id IS NOT NULL AS own FROM l LEFT JOIN t ON lower(l.link) = t.path LEFT JOIN (SELECT page_id AS id, path FROM s) o ON o.id = l.page_id AND o.path = lower(l.link)")
-def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A link's page: the page itself if it has that path, else the first page of the path."""
-    pages = page_items(spark, sf_dir)
-    everywhere = pages.groupBy("key").agg(F.min("seq").alias("first"))
-    links = _links(spark, sf_dir).withColumn("key", F.lower("link"))
-    own = pages.select(F.col("seq").alias("page_id"), "key", F.col("seq").alias("self"))
-    return links.join(everywhere, "key", "left").join(own, ["page_id", "key"], "left").select("page_id", "link", F.coalesce("self", "first").alias("target"), F.col("self").isNotNull().alias("own"))
-
-
 # ---- graph
 
 
@@ -311,9 +445,14 @@ def edges_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.edges_by_kind(order_graph(spark, sf_dir)[1])
 
 
-@query(f"WITH {GRAPH_SQL} SELECT source, target, n_occ FROM edges WHERE target = 'apex:nation3' ORDER BY n_occ DESC, source LIMIT 20")
+@query(f"WITH {GRAPH_SQL} SELECT source, target, n_prod AS n_occ FROM edges JOIN nodes ON source = id WHERE target = 'apex:nation3' AND type <> 'apex_method' AND n_prod > 0")
 def edges_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_graph(spark, sf_dir)[1].where("target = 'apex:nation3'").orderBy(F.col("n_occ").desc(), "source").limit(20).select("source", "target", "n_occ")
+    return views.edge_list(views.node_detail(*order_graph(spark, sf_dir)[:2], "apex:nation3")["used_by"]).select("source", "target", "n_occ")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT id, name, in_degree + out_degree AS degree FROM nodes")
+def nodes_by_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.by_degree(order_graph(spark, sf_dir)[0])
 
 
 @query(
@@ -396,17 +535,36 @@ def why_alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.why_alive(*order_graph(spark, sf_dir)[:2])
 
 
-_PAIRS = "mp AS (SELECT source AS a, target AS b FROM edges WHERE source LIKE '%::%' AND target LIKE '%::%' AND source < 'apex:supplier2'), mb AS (SELECT a, b FROM mp UNION SELECT b, a FROM mp)"
+_PAIRS = "mp AS (SELECT source AS a, target AS b FROM edges WHERE source LIKE '%::%' AND target LIKE '%::%'), mb AS (SELECT a, b FROM mp UNION SELECT b, a FROM mp)"
 
 
-@query(f"WITH RECURSIVE {GRAPH_SQL}, {_PAIRS}, w(id, label) AS (SELECT id, id FROM nodes WHERE type = 'apex_method' UNION SELECT mb.b, w.label FROM w JOIN mb ON w.id = mb.a WHERE w.label < mb.b) SELECT id, min(label) AS component FROM w GROUP BY id")
+@query(
+    f"""WITH RECURSIVE {GRAPH_SQL}, {_PAIRS}, w(id, label) USING KEY (id) AS (SELECT id, id FROM nodes WHERE type = 'apex_method'
+    UNION SELECT mb.b, min(w.label) FROM w JOIN mb ON w.id = mb.a JOIN recurring.w r ON r.id = mb.b WHERE w.label < r.label GROUP BY mb.b) SELECT id, label AS component FROM w"""
+)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of some suppliers' method calls."""
+    """Components of all methods by their calls."""
     nodes, edges, _ = order_graph(spark, sf_dir)
-    pairs = edges.where("source like '%::%' and target like '%::%' and source < 'apex:supplier2'").select(F.col("source").alias("at"), F.col("target").alias("to"))
+    pairs = edges.where("source like '%::%' and target like '%::%'").select(F.col("source").alias("at"), F.col("target").alias("to"))
     return traverse.components(nodes.where(F.col("type") == METHOD).select("id"), pairs)
 
 
+@query(
+    _BFS
+    + f""", e AS (SELECT source, target FROM edges WHERE n_prod > 0 AND source IN (SELECT id FROM h) AND target IN (SELECT id FROM h)),
+    c AS (SELECT 'summary' AS class, (SELECT count(*) FROM h) || '|' || (SELECT count(*) FROM e) || '|{_FOCUS_ID}|2|both' AS row)
+    SELECT class, row FROM c UNION ALL SELECT 'nodes', '{{"id":"' || id || '","hop":' || hop || '}}' FROM h UNION ALL SELECT 'edges', '{{"source":"' || source || '","target":"' || target || '"}}' FROM e"""
+)
+def blast_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of a class's surroundings, taken apart again: what its head says, and its rows."""
+    nodes, edges = views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)
+    lines = sinks.blast_page(nodes.select("id", "hop"), edges.select("source", "target"), {"id": _FOCUS_ID, "name": FOCUS}, 2, "both")
+    data = F.regexp_extract("line", r'type="application/json"[^>]*>(.*)</script>', 1)
+    head = F.concat_ws("|", *[F.get_json_object(data, f"$.{x}") for x in ("summary.total_nodes", "summary.total_edges", "focus", "depth", "direction")])
+    kind = F.when(F.col("section") == 0, "summary").otherwise(F.regexp_extract("line", 'class="([a-z]+)"', 1))
+    return lines.where("section < 2").select(kind.alias("class"), F.when(F.col("section") == 0, head).otherwise(data).alias("row"))
+
+
 @query(f"WITH {GRAPH_SQL} SELECT id FROM nodes WHERE (type IN ('apex_class', 'lwc_component') AND in_degree + out_degree >= 30) OR id = '{_FOCUS_ID}'")
 def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.visible(order_graph(spark, sf_dir)[0], 30, ["apex_class", "lwc_component"], focus_id=_FOCUS_ID).select("id")
@@ -417,17 +575,18 @@ def strong_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.strong_edges(order_graph(spark, sf_dir)[1]).select("source", "target", "kind")
 
 
-_CALLS = """m AS (SELECT DISTINCT l_suppkey AS class_id, p_brand AS name, (l_linenumber % 3)::INT AS arity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48),
-c AS (SELECT DISTINCT l_suppkey AS class_id, upper(p_brand) AS callee, (l_linenumber % 4)::INT AS arity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity <= 2),
+_CALLS = """m AS (SELECT DISTINCT l_suppkey AS class_id, p_brand AS name, (l_linenumber % 3)::INT AS arity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity % 2 = 0),
+c AS (SELECT DISTINCT l_suppkey AS class_id, upper(p_brand) AS callee, (l_linenumber % 4)::INT AS arity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity % 2 <> 0),
 mi AS (SELECT *, class_id || '::' || name || '!' || arity AS method_id, count(*) OVER (PARTITION BY class_id, lower(name)) AS overloads FROM m)"""
 
 
 @query(f"WITH {_CALLS} SELECT c.class_id, c.callee, c.arity, coalesce(e.method_id, s.method_id) AS method_id, coalesce(e.arity, s.arity) AS method_arity FROM c LEFT JOIN mi e ON c.class_id = e.class_id AND lower(c.callee) = lower(e.name) AND c.arity = e.arity LEFT JOIN mi s ON c.class_id = s.class_id AND lower(c.callee) = lower(s.name) AND s.overloads = 1")
 def overload_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of even quantity declare methods, the others call them."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    methods = lines.where("l_quantity >= 48").select(F.col("l_suppkey").alias("class_id"), F.col("p_brand").alias("name"), (F.col("l_linenumber") % 3).alias("arity")).distinct()
+    methods = lines.where("l_quantity % 2 = 0").select(F.col("l_suppkey").alias("class_id"), F.col("p_brand").alias("name"), (F.col("l_linenumber") % 3).alias("arity")).distinct()
     methods = methods.withColumn("method_id", F.concat(F.col("class_id").cast("string"), F.lit("::"), "name", F.lit("!"), F.col("arity").cast("string")))
-    calls = lines.where("l_quantity <= 2").select(F.col("l_suppkey").alias("class_id"), F.upper("p_brand").alias("callee"), (F.col("l_linenumber") % 4).alias("arity")).distinct()
+    calls = lines.where("l_quantity % 2 <> 0").select(F.col("l_suppkey").alias("class_id"), F.upper("p_brand").alias("callee"), (F.col("l_linenumber") % 4).alias("arity")).distinct()
     return graph.resolve_calls(calls, methods)
 
 
@@ -459,10 +618,10 @@ def interface_implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_IMPLEMENTERS} SELECT base AS target_class, derived, 'possible_implementation' AS kind, 'supplier' || s_suppkey || '::run!1' AS target_method FROM fo JOIN supplier ON derived = 'supplier' || s_suppkey WHERE s_suppkey % 2 = 0 UNION ALL SELECT base, derived, 'possible_override', 'supplier' || s_suppkey || '::run!1' FROM (SELECT * FROM cl WHERE base LIKE 'region%') JOIN supplier ON derived = 'supplier' || s_suppkey WHERE s_suppkey % 4 = 0")
 def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of run(1) on plans and regions may reach suppliers that have it, on regions only where it overrides."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0")
+    """Calls of run(1) on plans and regions may reach suppliers that have it (others have a run of two), on regions only where it overrides."""
+    s = table(spark, sf_dir, "supplier")
     name = F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string"))
-    methods = s.select(name.alias("class_id"), F.lit("Run").alias("name"), F.lit(1).alias("arity"), F.concat(name, F.lit("::run!1")).alias("method_id"), (F.col("s_suppkey") % 4 == 0).alias("is_override"))
+    methods = s.select(name.alias("class_id"), F.lit("Run").alias("name"), (F.col("s_suppkey") % 2 + 1).cast("int").alias("arity"), F.concat(name, F.lit("::run!"), (F.col("s_suppkey") % 2 + 1).cast("string")).alias("method_id"), (F.col("s_suppkey") % 4 == 0).alias("is_override"))
     below = graph.closure(_steps(spark, sf_dir)).where("base like 'region%'").withColumn("via", F.lit("extends"))
     subtypes = _implementers(spark, sf_dir).withColumn("via", F.lit("implements")).union(below)
     calls = subtypes.select(F.col("base").alias("target_class")).distinct().withColumns({"callee": F.lit("run"), "callee_arity": F.lit(1), "exact_type": F.lit(False)})
@@ -486,8 +645,8 @@ def _interfaces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 @query("SELECT s_suppkey || '::execute!1' AS method_id, 'Queueable.execute' AS reason FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1 AND s_suppkey % 3 = 0")
 def platform_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third supplier has execute(QueueableContext), another third one with other parameters."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey % 3 < 2")
+    """Every third supplier has execute(QueueableContext), another third one with other parameters, the last one with two."""
+    s = table(spark, sf_dir, "supplier")
     first = F.when(F.col("s_suppkey") % 3 == 0, "QueueableContext").otherwise("String")
-    methods = s.select(F.col("s_suppkey").alias("class_id"), F.lit("execute").alias("name"), F.lit(1).alias("arity"), first.alias("first_param_type"), F.concat(F.col("s_suppkey").cast("string"), F.lit("::execute!1")).alias("method_id"))
+    methods = s.select(F.col("s_suppkey").alias("class_id"), F.lit("execute").alias("name"), F.when(F.col("s_suppkey") % 3 == 2, 2).otherwise(1).alias("arity"), F.when(F.col("s_suppkey") % 3 == 2, "QueueableContext").otherwise(first).alias("first_param_type"), F.concat(F.col("s_suppkey").cast("string"), F.lit("::execute!"), F.when(F.col("s_suppkey") % 3 == 2, "2").otherwise("1")).alias("method_id"))
     return graph.platform_entries(methods, graph.interface_names(*_interfaces(spark, sf_dir)))

@@ -14,11 +14,6 @@ METHODS = (
     "file_seq long, type_seq int, method_seq int, method_id string, class_id string, name string, arity int, first_param_type string, is_override boolean, "
     "is_test boolean, entry_point_reason string, line int, loc int, file string"
 )
-OCCURRENCES = (
-    "ord string, source string, target string, kind string, file string, line int, snippet string, caller_method string, detail string, is_test boolean"
-)
-EDGES = "source string, target string, kind string, n_occ long, n_prod long, kind_prod string, first_ord string"
-
 # Node types, statuses, and the kinds of occurrences that may not be what runs.
 CLASS, INTERFACE, TRIGGER, COMPONENT, METHOD = "apex_class", "apex_interface", "apex_trigger", "lwc_component", "apex_method"
 MODIFIED, IDENTICAL, ONLY_A, ONLY_B = "modified", "identical", "only_in_org_a", "only_in_org_b"
@@ -39,15 +34,3 @@ def class_key(name: Column) -> Column:
     """The key of a class by file name: trimmed, lower-case, with its extension."""
     key = F.lower(F.trim(name))
     return F.when(key.endswith(".cls"), key).otherwise(F.concat(key, F.lit(".cls")))
-
-
-def bundle_key(name: Column) -> Column:
-    return F.lower(F.trim(name))
-
-
-def type_id(qualified_name: Column) -> Column:
-    return F.concat(F.lit("apex:"), F.lower(qualified_name))
-
-
-def method_id(class_id: Column, name: Column, arity: Column) -> Column:
-    return F.concat(class_id, F.lit("::"), name, F.lit("!"), arity.cast("string"))

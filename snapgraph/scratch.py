@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: How often tables have been cleared; what remembers tables forgets them when this moves.
+cleared = 0
 
 
 def folder(spark: SparkSession) -> str:
@@ -46,5 +48,7 @@ def keep(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results not yet consumed become unreadable."""
+    global cleared
+    cleared += 1
     path = spark._jvm.org.apache.hadoop.fs.Path(folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapgraph.functions.difflines import opcodes
-from snapgraph.functions.text import escape_markup
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -17,17 +19,37 @@ def json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def manifest(names: DataFrame, kind: str) -> DataFrame:
-    """(kind, members, xml): names (name) without extension, sorted, as a package manifest's members."""
-    bare = F.regexp_replace("name", r"\.[A-Za-z]+$", "")
-    members = names.select(bare.alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("m"))
-    lines = F.array_join(F.transform("m", lambda n: F.concat(F.lit("<members>"), escape_markup(n), F.lit("</members>"))), "")
-    return members.select(F.lit(kind).alias("kind"), F.size("m").alias("members"), F.concat(F.lit("<types>"), lines, F.lit(f"<name>{kind}</name></types>")).alias("xml"))
+# The format of a package manifest.
+PACKAGE_HEAD = ('<?xml version="1.0" encoding="UTF-8"?>', '<Package xmlns="http://soap.sforce.com/2006/04/metadata">', "    <types>")
+PACKAGE_TAIL = ("    </types>", "    <version>59.0</version>", "</Package>")
 
 
-def deploy_text(names: DataFrame) -> DataFrame:
-    """One row: the sorted names, a line each."""
-    return names.agg(F.array_join(F.array_sort(F.collect_set("name")), "\n").alias("text"))
+def _sections(spark: SparkSession, head: Sequence[str], lines: DataFrame, tail: Sequence[str]) -> DataFrame:
+    """(section, place, line) in order: fixed lines before and behind the sorted lines (place, line) of a relation."""
+
+    def fixed(section: int, rows: Sequence[str]) -> DataFrame:
+        return spark.createDataFrame([(section, f"{i:09d}", x) for i, x in enumerate(rows)], "section int, place string, line string")
+
+    whole = fixed(0, head).union(lines.select(F.lit(1), "place", "line")).union(fixed(2, tail))
+    return whole.orderBy("section", F.collate("place", "UNICODE_CI"), "place")
+
+
+def manifest(names: DataFrame, kind: str = "ApexClass") -> DataFrame:
+    """(section, place, line): the lines of a deployable package.xml for class files (name), in order; `text_of` is the file."""
+    bare = F.regexp_replace("name", r"(?i)\.cls$", "")
+    plain = F.replace(F.replace(F.replace(bare, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    members = names.select("name").distinct().select(F.col("name").alias("place"), F.concat(F.lit("        <members>"), plain, F.lit("</members>")).alias("line"))
+    return _sections(names.sparkSession, PACKAGE_HEAD, members, (f"        <name>{kind}</name>", *PACKAGE_TAIL))
+
+
+def deploy_list(names: DataFrame) -> DataFrame:
+    """(section, place, line): the sorted names, a line each."""
+    return _sections(names.sparkSession, (), names.select("name").distinct().select(F.col("name").alias("place"), F.col("name").alias("line")), ())
+
+
+def text_of(lines: DataFrame) -> str:
+    """The file of sorted lines, each ended by a line break; for lists that a person deploys, read in turn by the driver."""
+    return "".join(r["line"] + "\n" for r in lines.select("line").toLocalIterator())
 
 
 def write_debug(df: DataFrame, path: str) -> None:
@@ -55,10 +77,31 @@ def item_report(row: dict) -> str:
 
 def page(title: str, data: object) -> str:
     """A self-contained page with its data as JSON; a closing tag inside the data can't end the script."""
-    text = json.dumps(data, ensure_ascii=False).replace("</", "<\\/")
+    text = json.dumps(data, ensure_ascii=False, sort_keys=True).replace("</", "<\\/")
     return f'<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><script id="data" type="application/json">{text}</script>'
 
 
-def report(title: str, relations: dict[str, DataFrame]) -> str:
-    """A page of whole relations, collected on the driver; for results that a reader would open."""
-    return page(title, {name: [json.loads(r[0]) for r in json_rows(df).collect()] for name, df in relations.items()})
+def page_lines(title: str, head: object, relations: dict[str, DataFrame]) -> DataFrame:
+    """(section, place, line): a self-contained page, small data as JSON in its head and one line of JSON for each row of the relations."""
+    out = None
+    for name, df in relations.items():
+        rows = json_rows(df).select(F.concat(F.lit(f"{name} "), "json").alias("place"), F.concat(F.lit(f'<script type="application/json" class="{name}">'), F.replace("json", F.lit("</"), F.lit("<\\/")), F.lit("</script>")).alias("line"))
+        out = rows if out is None else out.union(rows)
+    return _sections(out.sparkSession, (page(title, head),), out, ("</html>",))
+
+
+def blast_page(nodes: DataFrame, edges: DataFrame, focus: dict, depth: int | None, direction: str) -> DataFrame:
+    """The page of a node's surroundings (see `views.blast_radius`): focus, depth, direction and summary in its head, nodes and edges as rows."""
+    counts = {"total_nodes": nodes.count(), "total_edges": edges.count(), "unresolved_reference_count": 0}
+    head = {"summary": counts, "focus": focus["id"], "depth": "all" if depth is None else depth, "direction": direction}
+    return page_lines(f"Blast Radius — {focus['name']}", head, {"nodes": nodes, "edges": edges})
+
+
+@F.pandas_udf(T.StringType())
+def _item_reports(rows: pd.DataFrame) -> pd.Series:
+    return pd.Series([item_report(r) for r in rows.to_dict("records")])
+
+
+def item_reports(compared: DataFrame) -> DataFrame:
+    """compared with html, each item's own report."""
+    return compared.withColumn("html", _item_reports(F.struct("name", "status", "content_a", "content_b")))

@@ -92,6 +92,17 @@ def test_order_by_rank_and_locale(spark):
     assert [r.name for r in diff.by_rank(df).collect()] == ["a", "Z", "d", "c", "b"]
 
 
+def test_deploy_files(spark):
+    names = spark.createDataFrame([("b.CLS",), ("A'<&>.cls",), ("w.trigger",), ("b.CLS",)], "name string")
+    assert sinks.text_of(sinks.deploy_list(names)) == "A'<&>.cls\nb.CLS\nw.trigger\n"
+    members = "".join(f"        <members>{m}</members>\n" for m in ("A'&lt;&amp;&gt;", "b", "w.trigger"))
+    assert sinks.text_of(sinks.manifest(names)) == (
+        '<?xml version="1.0" encoding="UTF-8"?>\n<Package xmlns="http://soap.sforce.com/2006/04/metadata">\n    <types>\n'
+        + members
+        + "        <name>ApexClass</name>\n    </types>\n    <version>59.0</version>\n</Package>\n"
+    )
+
+
 def test_reports():
     page = sinks.item_report({"name": "<x>", "status": "modified", "content_a": "a\nb", "content_b": "a\nc\n"})
     assert "&lt;x&gt;" in page and page.count('class="equal"') == 1 and page.count('class="replace"') == 1
