@@ -42,7 +42,15 @@ def simple_type_name(name: Column) -> Column:
 
 
 def strip_html_comments(html: Column) -> Column:
-    return F.regexp_replace(html, r"(?s)<!--.*?-->", "")
+    """Comments as spaces; length and line breaks stay."""
+    comment = r"(?s)<!--.*?-->"
+    blank = F.transform(F.regexp_extract_all(html, F.lit(comment), 0), lambda c: F.regexp_replace(c, r"[^\n]", " "))
+    return F.array_join(F.zip_with(F.split(html, comment, -1), blank, lambda plain, c: F.concat(plain, F.coalesce(c, F.lit("")))), "")
+
+
+def split_lines(text: Column) -> Column:
+    """Lines without terminators, an empty one behind the last terminator."""
+    return F.split(text, rf"\r\n|[{_TERMINATORS}]", -1)
 
 
 def kebab_key(name: Column) -> Column:

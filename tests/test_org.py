@@ -195,3 +195,20 @@ def test_degrees_sum_to_edges(built):
     n = built.edges.count()
     s = built.nodes.agg(F.sum("in_degree"), F.sum("out_degree")).first()
     assert (s[0], s[1]) == (n, n)
+
+
+def test_scripts_and_templates(spark):
+    script = "import a from '@salesforce/apex/ns.Rate.get';\nimport b from '@salesforce/apex/Audit.log';\nimport d from '@salesforce/apex/Audit.open';\n// import z from '@salesforce/apex/Audit.z';\nimport k from 'c/kid';\nimport o from 'c/own';\n@wire( a, {}) x; // b()\na(1); d (2); let s = 'b()';\n"
+    page = "<c-my-kid></c-my-kid><C-my-kid-/>\n<!-- <c-my-kid/>\n --> <c-my-kid>\n<c-own></c-own><c-none>"
+    parts = spark.createDataFrame([(1, "lwc:own", "own/own.js", "own.js", script), (2, "lwc:own", "own/own.html", "own.html", page), (3, "lwc:own", "own/__tests__/own.js", "__tests__/own.js", script)], "file_seq long, self_id string, file string, file_key string, content string")
+    classes = spark.createDataFrame([("rate", "apex:rate"), ("audit", "apex:audit")], "name_lc string, id string")
+    components = spark.createDataFrame([("kid", "lwc:kid"), ("own", "lwc:own"), ("mykid", "lwc:mykid")], "name_lc string, id string")
+    got = [(r.file_seq, r.occ_seq, r.target, r.kind, r.callee, r.line, r.detail) for r in org.script_references(parts, classes, components).orderBy("file_seq", "occ_seq").collect()]
+    assert got == [
+        (1, 1, "apex:rate", "apex_wire", "get", 1, "imported as `a`, calls Rate.get()"),
+        (1, 2, "apex:audit", "apex_unused_import", None, 2, "imported as `b`, calls Audit.log()"),
+        (1, 3, "apex:audit", "apex_imperative", "open", 3, "imported as `d`, calls Audit.open()"),
+        (1, 4, "lwc:kid", "js_import", None, 5, "imported as `k`"),
+    ]
+    got = [(r.file_seq, r.target, r.kind, r.line, r.detail, r.snippet) for r in org.template_references(parts, components).orderBy("occ_seq").collect()]
+    assert got == [(2, "lwc:mykid", "composition", 1, "<c-my-kid>", "<c-my-kid></c-my-kid><C-my-kid-/>"), (2, "lwc:mykid", "composition", 3, "<c-my-kid>", "--> <c-my-kid>")]
