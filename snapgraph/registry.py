@@ -9,49 +9,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapgraph import scratch
+from snapgraph import org_queries, scratch  # noqa: F401  (registers its queries)
 from snapgraph.adapters import BUNDLES_SQL, GRAPH_SQL, MARKS_SQL, ORDERS_SQL, PAGES_SQL, bundle_snapshots, order_graph, order_snapshots, page_items, table
+from snapgraph.catalog import oracle_sql, queries, query
 from snapgraph.functions import text
 from snapgraph.functions.difflines import diff_opcodes
 from snapgraph.operators import diff, graph, traverse
 from snapgraph.plans import views
 from snapgraph.plans.gate import Gate, NotReady
 from snapgraph.schemas import METHOD, class_key
-from snapgraph.session import ship
 from snapgraph.sources import sinks
 
-Query = Callable[[SparkSession, str], DataFrame]
-_queries: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
 #: The focus of traversals over the order graph, and a nation that it uses.
 FOCUS = "Supplier7"
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a function under its name, with the SQL of the same rows."""
-
-    def add(f: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship(spark)
-            return f(spark, sf_dir)
-
-        _queries[f.__name__] = run
-        if sql is not None:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_queries)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
-
-
 # ---- snapshots
 
 
@@ -650,3 +622,6 @@ def platform_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.when(F.col("s_suppkey") % 3 == 0, "QueueableContext").otherwise("String")
     methods = s.select(F.col("s_suppkey").alias("class_id"), F.lit("execute").alias("name"), F.when(F.col("s_suppkey") % 3 == 2, 2).otherwise(1).alias("arity"), F.when(F.col("s_suppkey") % 3 == 2, "QueueableContext").otherwise(first).alias("first_param_type"), F.concat(F.col("s_suppkey").cast("string"), F.lit("::execute!"), F.when(F.col("s_suppkey") % 3 == 2, "2").otherwise("1")).alias("method_id"))
     return graph.platform_entries(methods, graph.interface_names(*_interfaces(spark, sf_dir)))
+
+
+__all__ = ["oracle_sql", "queries"]
