@@ -185,12 +185,11 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return scratch.keep(lookup(placed, scratch.keep(apart, "apart"), "pivot", "left_semi"), "open", fewer=True)
 
 
-def _similar(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of left x right reach the threshold, by exact weighted Jaccard similarity.
+def _bounds(sets: Sets, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Upper bounds of the weight that left and right share, lower bounds of their union, and whether both are exact.
 
     The product of roots of weights bounds the shared weight from above and is
-    equal to it where an element weighs the same in both sets; pairs that only
-    the bound lets through are computed one by one.
+    equal to it where an element weighs the same in both sets.
     """
     h, weight, ptr = sets
     owner = _owners(ptr)
@@ -213,14 +212,30 @@ def _similar(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float)
         x = np.zeros((len(rows), COLUMNS), np.float32)
         x[place[owner[some]], column[some] - begin] = np.sqrt(weight[some])
         bound += x[a] @ x[b].T
-    most = total[left][:, None] + total[right][None, :] - bound
-    if even:  # whole numbers, so the product is exact
-        return (bound >= threshold * most - 1e-6) | (most == 0)
-    out = np.zeros(bound.shape, bool)
-    i, j = np.nonzero(bound >= threshold * most - 1e-3 * (1 + most))
-    for at in range(0, len(i), 4096):
-        u, v = i[at : at + 4096], j[at : at + 4096]
-        out[u, v] = jaccard(select(sets, left[u]), select(sets, right[v]), np.arange(len(u))) >= threshold
+    return bound, total[left][:, None] + total[right][None, :] - bound, even
+
+
+def joins(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float, root: np.ndarray) -> list[tuple[int, int]]:
+    """Links of left x right at the threshold that join all components that any such link joins; root: each set's component.
+
+    Pairs that only the bound lets through are verified, the likely ones first;
+    those whose sets have been joined meanwhile are left out.
+    """
+    bound, union, even = _bounds(sets, left, right)
+    likely = bound >= threshold * union - (1e-6 if even else 1e-3 * (1 + union))
+    i, j = np.nonzero(likely & (root[left][:, None] != root[right][None, :]))
+    order = np.argsort(-bound[i, j] / np.maximum(union[i, j], 1e-9), kind="stable")
+    i, j, root, out = left[i[order]], right[j[order]], root.copy(), []
+    while len(i):
+        u, v = i[:1024], j[:1024]
+        good = np.ones(len(u), bool) if even else jaccard(select(sets, u), select(sets, v), np.arange(len(u))) >= threshold
+        for x, y in zip(u[good].tolist(), v[good].tolist(), strict=True):
+            if root[x] != root[y]:
+                out.append((x, y))
+                root[root == root[y]] = root[x]
+        i, j = i[1024:], j[1024:]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
     return out
 
 
@@ -236,10 +251,8 @@ def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold:
     def links(own: np.ndarray, node: np.ndarray, root: np.ndarray, sets: Sets) -> tuple[np.ndarray, np.ndarray]:
         first = own == own[0]
         left = np.flatnonzero(first)
-        right = left if first.all() else np.flatnonzero(~first)
-        found = _similar(sets, left, right, threshold) & (root[left][:, None] != root[right][None, :])
-        r, c = np.nonzero(found)
-        return unionfind._forest(node[left[r]], node[right[c]])
+        found = joins(sets, left, left if first.all() else np.flatnonzero(~first), threshold, root)
+        return node[[a for a, _ in found]], node[[b for _, b in found]]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []

@@ -15,8 +15,9 @@ counting ever finer cells of the keys' bits; equal keys are in or out together.
 
 Defined cases: a null text is empty, and an empty text has log weight 0; rows
 that repeat a doc_id draw the same noise; a null doc_id draws noise of its own
-kind; without labelled good or without labelled bad documents all are kept; an
-empty table gives an empty result; extra columns pass through.
+kind; of equal keys all or none are kept; without labelled good or without
+labelled bad documents all are kept; an empty table gives an empty result; extra
+columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CELLS = WORD_CELLS + OUTLINE_CELLS + REPEAT_CELLS
 #: N-grams of the raw model that smooth the target's words, outlines and repeats: fewer where there are fewer cells.
 SMOOTH, SMOOTH_OUTLINES, SMOOTH_REPEATS = 1e6, 1e5, 1e4
 BACK = 8
+#: Cells between the least and the largest labelled weight among which the level is looked for.
+CUTS = 1 << 16
 
 # the symbol of each byte: capitals, letters and non-ASCII bytes, digits, white space; marks stand for themselves
 _SYMBOL = np.arange(256, dtype=np.uint8)
@@ -63,7 +66,7 @@ def cells(found: Words, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     parts.append(((flags[hit] & (REPEAT_CELLS - 1)).astype(U) + U(WORD_CELLS + OUTLINE_CELLS), owner[hit]))
     symbols = _SYMBOL[raw]
     turn = np.ones(len(symbols), bool)
-    turn[1:] = (symbols[1:] != symbols[:-1]) | (raw[1:] == 10) & False
+    turn[1:] = symbols[1:] != symbols[:-1]
     at = np.flatnonzero(turn)
     line, text = symbols[at].astype(U), np.searchsorted(found.begin, at, "right") - 1
     total = np.zeros(len(line), U)
@@ -156,10 +159,16 @@ def score(docs: DataFrame, labels: DataFrame, seed: str = "quality") -> tuple[Da
 def level(scored: DataFrame) -> float:
     """The log weight that best parts good from bad labelled documents, each side by its share; in the middle of where it may lie.
 
-    From counts in cells of width 1 between -500 and 500. Without both sides: minus infinity.
+    From counts in CUTS equal cells between the least and the largest labelled
+    weight. Without both sides: minus infinity.
     """
-    cell = F.greatest(F.lit(-500), F.least(F.lit(500), F.floor("log_weight"))).cast("int")
-    found = scored.where("label is not null").groupBy(cell.alias("cell")).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).toArrow().to_pylist()
+    known = scored.where("label is not null")
+    low, high = known.agg(F.min("log_weight"), F.max("log_weight")).first()
+    if low is None:
+        return float("-inf")
+    width = max((high - low) / CUTS, 1e-9)
+    cell = F.floor((F.col("log_weight") - low) / width).cast("int")
+    found = known.groupBy(cell.alias("cell")).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") != 1).alias("bad")).toArrow().to_pylist()
     good, bad = sum(r["good"] for r in found), sum(r["bad"] for r in found)
     if not good or not bad:
         return float("-inf")
@@ -168,7 +177,7 @@ def level(scored: DataFrame) -> float:
         # the level lies above the cells seen so far, at this cell's lower edge at most
         value = 1 - lost / good + caught / bad
         if value > best + 1e-12:
-            best, at = value, float("-inf") if before is None else (before + 1 + r["cell"]) / 2
+            best, at = value, float("-inf") if before is None else low + width * (before + 1 + r["cell"]) / 2
         lost, caught, before = lost + r["good"], caught + r["bad"], r["cell"]
     return at
 

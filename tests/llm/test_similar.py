@@ -81,9 +81,18 @@ def test_similarities():
         sets = lsh.join(parts)
         plain, every = as_dicts(sets), np.arange(42)
         want = np.array([[similarity(a, b) for b in plain] for a in plain])
-        left, right = np.append(every[:20], 41), every[20:41]
-        assert (lsh._similar(sets, left, right, 0.7) == (want[left][:, right] >= 0.7)).all()
-        assert ((lsh._similar(sets, every, every, 0.7) == (want >= 0.7)) | np.eye(42, dtype=bool)).all()  # no set is paired with itself
+        for left, right in ((np.append(every[:20], 41), every[20:41]), (every, every)):
+            for root in (every, every // 2):
+                near = Sets()
+                for i in left.tolist():
+                    for j in right.tolist():
+                        if want[i, j] >= 0.7 and i != j:
+                            near.join(int(root[i]), int(root[j]))
+                got = Sets()
+                for i, j in lsh.joins(sets, left, right, 0.7, root):
+                    assert want[i, j] >= 0.7 and got.find(int(root[i])) != got.find(int(root[j]))
+                    got.join(int(root[i]), int(root[j]))
+                assert all(got.find(int(r)) == near.find(int(r)) for r in root)
         partner = np.array([random.randrange(42) for _ in every])
         assert np.allclose(lsh.jaccard(sets, lsh.select(sets, every[::-1]), partner), want[partner, every[::-1]])
 
