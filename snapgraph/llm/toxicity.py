@@ -4,11 +4,12 @@ From labelled training documents, elements are mined that stand in toxic
 documents more often than chance allows: whole words and pieces at words'
 beginnings and ends, so that families of words are met too, each as standing in
 a text at all, or as often as so many words in a hundred. Elements of a kind are dealt
-over lexicons; a lexicon votes for toxic where the text holds one of its elements. A generative label model of all votes, a mixture of toxic and clean
-documents fitted by expectation maximisation, estimates each voter's accuracy;
-voters that agree beyond what the label explains share their weight. A logistic
-classifier over the elements is trained on the model's posterior labels and
-scores every text.
+over lexicons by their hashes, so that lexicons err independently; a lexicon
+votes for toxic where the text holds one of its elements. A generative label
+model, fitted to the votes alone, estimates each voter's accuracy and which
+voters depend on each other beyond what the label explains; the given labels
+only say which side is toxic. A logistic classifier over the elements is trained
+on the model's posterior labels and scores every text.
 
 Up to TRAIN labelled documents are used, those of the smallest hashes of doc_id.
 Defined cases: a null text is empty; an empty text, or one without elements,
@@ -197,29 +198,67 @@ def hits(train: DataFrame, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class LabelModel:
-    """Votes given the label are Bernoulli; weights are shared among voters that agree beyond what the label explains."""
+    """A latent label, and votes given it; a voter may depend on one other voter too, along a forest.
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 50) -> None:
+    Everything is estimated from the votes alone, by expectation maximisation
+    that starts from how many voters agree; `parent` is the forest that joins
+    voters by the strongest correlations which the label leaves unexplained.
+    table[y, u, j] is the rate at which voter j votes where the label is y and its
+    parent's vote is u (for roots alike).
+    """
+
+    def __init__(self, votes: np.ndarray, rounds: int = 60, least: float = 0.2) -> None:
         n, m = votes.shape
-        q = np.clip(start.astype(float), 0.02, 0.98)
-        self.share = np.ones(m)
+        self.parent = np.full(m, -1)
+        gap = votes - votes.mean(0)
+        spread = np.sqrt((gap**2).mean(0)) + 1e-9
+        alike = np.minimum(np.abs(gap.T @ gap) / n / spread[:, None] / spread[None, :], 1)
+        agree = votes @ (1 / np.maximum((alike**4).sum(1), 1))  # voters that always go together count as one
+        q = np.clip(agree / (agree + 1.5), 0.02, 0.98)
         for step in range(rounds):
-            self.prior = (q.sum() + 1) / (n + 2)
-            self.hit = np.clip((q @ votes + 1) / (q.sum() + 2), 1e-4, 1 - 1e-4)
-            self.false = np.clip(((1 - q) @ votes + 0.05) / ((1 - q).sum() + 2), 1e-4, 1 - 1e-4)
-            self.hit = np.maximum(self.hit, self.false)
-            if step in (5, 15):
-                gap = votes - (q[:, None] * self.hit + (1 - q)[:, None] * self.false)
-                spread = np.sqrt((gap**2).mean(0)) + 1e-9
-                alike = np.clip((gap.T @ gap) / n / spread[:, None] / spread[None, :], 0, 1)
-                self.share = 1 / (alike * (alike > 0.2)).sum(1).clip(1)
+            self._fit(votes, q)
+            if step in (0, 10, 25):
+                self.parent = self._forest(votes, q, least if step else 0.9)  # before a label is found, only what goes together
+                self._fit(votes, q)
             was, q = q, self.posterior(votes)
-            if step > 20 and np.abs(q - was).max() < 1e-6:
+            if step > 30 and np.abs(q - was).max() < 1e-6:
                 break
 
+    def _fit(self, votes: np.ndarray, q: np.ndarray) -> None:
+        n, m = votes.shape
+        self.prior = (q.sum() + 1) / (n + 2)
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0.0)
+        self.rate, self.table = np.empty((2, m)), np.empty((2, 2, m))
+        for y, w in ((0, 1 - q), (1, q)):
+            self.rate[y] = (w @ votes + (0.05, 1)[y]) / (w.sum() + 2)
+            both, met = w @ (votes * above), w @ above
+            self.table[y, 1] = (both + 2 * self.rate[y]) / (met + 2)
+            self.table[y, 0] = (w @ votes - both + 2 * self.rate[y]) / (w.sum() - met + 2)
+        self.table[:, :, self.parent < 0] = self.rate[:, None, self.parent < 0]
+        # no voter speaks for clean
+        self.rate[1], self.table[1] = np.maximum(self.rate[1], self.rate[0]), np.maximum(self.table[1], self.table[0])
+        self.rate, self.table = np.clip(self.rate, 1e-4, 1 - 1e-4), np.clip(self.table, 1e-4, 1 - 1e-4)
+
+    def _forest(self, votes: np.ndarray, q: np.ndarray, least: float) -> np.ndarray:
+        """Each voter's parent, -1 for roots: a maximum spanning forest of correlations given the label."""
+        gap = votes - q[:, None] * self.rate[1] - (1 - q)[:, None] * self.rate[0]
+        spread = np.sqrt((gap**2).mean(0)) + 1e-9
+        alike = np.abs(gap.T @ gap) / len(votes) / spread[:, None] / spread[None, :]
+        np.fill_diagonal(alike, 0)
+        parent, inside = np.full(len(alike), -1), np.zeros(len(alike), bool)
+        best, via = np.full(len(alike), -1.0), np.full(len(alike), -1)
+        for _ in range(len(alike)):  # each step takes the voter that is most like one inside
+            j = int(np.argmax(np.where(inside, -2, best)))
+            inside[j], parent[j] = True, via[j] if best[j] > least else -1
+            nearer = alike[j] > best
+            best, via = np.where(nearer, alike[j], best), np.where(nearer, j, via)
+        return parent
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        yes, no = np.log(self.hit / self.false), np.log((1 - self.hit) / (1 - self.false))
-        odds = np.log(self.prior / (1 - self.prior)) + votes @ (self.share * (yes - no)) + (self.share * no).sum()
+        above = np.where(self.parent >= 0, votes[:, self.parent], 0.0) > 0
+        rate = np.where(above[None], self.table[:, 1][:, None], self.table[:, 0][:, None])
+        log = np.where(votes[None] > 0, np.log(rate), np.log1p(-rate)).sum(2)
+        odds = np.log(self.prior / (1 - self.prior)) + log[1] - log[0]
         return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -271,8 +310,10 @@ def fit(train: DataFrame) -> tuple[Model, LabelModel | None]:
     row, place, toxic = hits(train, ids)
     n, m = len(toxic), len(ids)
     votes = _ballots(row, place, kinds, n)
-    labels = LabelModel(votes, toxic)
+    labels = LabelModel(votes)
     target = labels.posterior(votes)
+    if target[toxic].mean() < target[~toxic].mean():  # the labels only say which side of the latent variable is toxic
+        target = 1 - target
     # logistic regression by gradient steps with momentum, its bias that of no evidence; weights are held to what the elements
     # say alone and may not be negative: no element speaks for clean
     bias = float(np.log(NONE / (1 - NONE)))
