@@ -47,3 +47,19 @@ def test_edge_cases(spark):
     assert mixing.mix(df).columns == df.columns
     assert mixing.mix_report(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix_report(df.where("doc_id = 1")).first().taken == 0
+
+
+def test_taken_words_come_near_targets(spark):
+    """Texts of 20 words at most, so a source's taken words lie within a few standard deviations of its target."""
+    rows = [(i, " ".join(["w"] * (i % 20 + 1)), "abc"[(i % 100 > 60) + (i % 100 > 90)]) for i in range(30_000)]
+    report = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    by = report.groupBy("source_size").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.sum(F.col("size") ** 2).alias("squares")).collect()
+    assert len(by) == 3
+    for r in by:
+        assert abs(r.taken - r.target) <= 4 * (0.25 * r.squares) ** 0.5
+
+
+def test_very_long_text_and_ties(spark):
+    rows = [(1, "w " * 1_000_000, "a"), (2, "w " * 1_000_000, "b"), (2, "w " * 1_000_000, "b")]
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.size for r in got} == {1_000_000} and len({(r.source_size, r.target, r.copies) for r in got if r.doc_id == 2}) == 1

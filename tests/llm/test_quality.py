@@ -76,3 +76,50 @@ def test_edge_cases(spark):
     assert quality.keep(docs.limit(0), known).count() == 0
     assert quality.keep(docs, known.limit(0)).count() == len(rows)
     assert quality.keep(docs, known.where("quality = 1")).count() == len(rows)
+
+
+def test_models_by_force(spark):
+    """Counts of both models, ratios from them, and the level among all that labelled weights allow."""
+    rows, labels = corpus(5, 80)
+    docs, known = frames(spark, rows, labels[:60])
+    good = {d for d, y in labels[:60] if y}
+    raw, target = np.zeros(quality.CELLS), np.zeros(quality.CELLS)
+    for d, text in rows:
+        for cell in quality.grams([text]).__next__()[2].tolist():
+            raw[cell] += 1
+            target[cell] += d in good
+    with_good = spark.createDataFrame([(t, d in good) for d, t in rows], "text string, good boolean")
+    got = quality.counts(with_good)
+    assert (got[0] == raw).all() and (got[1] == target).all()
+    ratios = quality.log_ratios(raw, target)
+    words, outlines = range(quality.WORD_CELLS), range(quality.WORD_CELLS, quality.WORD_CELLS + quality.OUTLINE_CELLS)
+    for part, smooth in ((words, quality.SMOOTH), (outlines, quality.SMOOTH_OUTLINES)):
+        every, mine = sum(raw[c] + 0.5 for c in part), sum(target[c] for c in part)
+        for c in random.sample(list(part), 50):
+            q = (raw[c] + 0.5) / every
+            assert abs(ratios[c] - np.log((target[c] + smooth * q) / (mine + smooth) / q)) < 1e-9
+    scored, _ = quality.score(docs, known)
+    weight = {r.doc_id: r.log_weight for r in scored.collect()}
+    known_weights = [(weight[d], y) for d, y in labels[:60]]
+
+    def value(level):
+        return np.mean([w >= level for w, y in known_weights if y]) + np.mean([w < level for w, y in known_weights if not y])
+
+    floor = quality.level(scored)
+    assert value(floor) >= max(value(w) for w, _ in known_weights) - 1e-9
+    kept = {r.doc_id for r in quality.sample(docs, known).collect()}
+    k = sum(w >= floor for w in weight.values())
+    keys = sorted(((weight[d] + quality._noise(d, "quality"), d) for d in weight), reverse=True)
+    assert kept == {d for _, d in keys[:k]}
+
+
+def test_long_texts_and_equal_keys(spark):
+    """Weights far beyond hundreds still have a level between them; equal keys are in or out together."""
+    rows, labels = corpus(6, 60)
+    rows += [(1000, " ".join(t for _, t in rows if t) * 60), (1001, "JUNK!! " * 100_000), (1001, "JUNK!! " * 100_000)]
+    docs, known = frames(spark, rows, [*labels, (1000, 1), (1001, 0)])
+    scored, _ = quality.score(docs, known)
+    weights = {r.doc_id: r.log_weight for r in scored.collect()}
+    assert min(weights.values()) < -500 and np.isfinite(quality.level(scored))
+    kept = [r.doc_id for r in quality.sample(docs, known).collect()]
+    assert kept.count(1001) in (0, 2)
