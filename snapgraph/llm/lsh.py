@@ -51,14 +51,15 @@ def sized_join(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFra
     """Inner join with a written table that tells how many rows each key has.
 
     Keys of 1 / HOT of all these rows or more, HOT of them at most, are sent to
-    every task, so no task gets a hot key's rows; the others are shuffled.
+    every task, so no task gets a hot key's rows; the others are shuffled, at
+    every size alike.
     """
-    if table.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), on)
-    total = table.agg(F.sum(size)).first()[0]
+    total = table.agg(F.sum(size)).first()[0] or 0
     hot = F.col(size) >= total / HOT
+    if table.where(hot).isEmpty():
+        return rows.join(table.hint("merge"), on)
     heavy = F.broadcast(table.where(hot))
-    return rows.join(heavy, on).union(rows.join(heavy, on, "left_anti").join(table.where(~hot), on))
+    return rows.join(heavy, on).union(rows.join(heavy, on, "left_anti").join(table.where(~hot).hint("merge"), on))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
