@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgraph.llm import bpe, gif, licenses, lines, mixing, neardup, quality, spans, topk, toxicity
+from snapgraph.llm import bpe, clusters, codes, gif, licenses, lines, mixing, neardup, quality, spans, topk, toxicity
 from snapgraph.session import ship
 
 
@@ -57,6 +57,14 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mix_sources,
@@ -69,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": bpe_codec,
         "op9_toxicity": toxicity_scores,
         "op10_license_scan": license_scan,
+        "op12_vector_codes": vector_codes,
+        "op13_centroid_clusters": centroid_clusters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op7_exact_topk": topk.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op7_exact_topk": topk.SQL, "op12_vector_codes": codes.sql(), "op13_centroid_clusters": clusters.sql()}
