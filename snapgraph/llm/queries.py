@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snapgraph.llm import bpe, clusters, codes, gif, licenses, lines, mixing, neardup, quality, spans, topk, toxicity
+from snapgraph.llm import bpe, clusters, codes, crf, gif, licenses, lines, mixing, neardup, quality, spans, topk, toxicity
 from snapgraph.session import ship
 
 
@@ -57,6 +57,10 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.report(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_bpe_codec": bpe_codec,
         "op9_toxicity": toxicity_scores,
         "op10_license_scan": license_scan,
+        "op11_line_crf": line_crf,
         "op12_vector_codes": vector_codes,
         "op13_centroid_clusters": centroid_clusters,
     }
