@@ -9,8 +9,8 @@ weights; pairs of neighbouring labels have weights too.
 
 Only documents are labelled, not lines. The field starts with all lines of good
 documents as content and all lines of bad ones as boilerplate; bad documents'
-lines are then labelled anew by the field so far, which parts their clean lines
-from the others, and it is fitted again. It is fitted, on the driver, to a
+lines are then labelled anew by the field so far, at first by the bins alone,
+which parts their clean lines from the others, and it is fitted again. It is fitted, on the driver, to a
 bounded sample: at most TRAIN good and TRAIN bad documents of at most LINES
 lines, those whose doc_ids have the smallest hashes. Decoding runs over all
 lines of all documents.
@@ -227,8 +227,11 @@ class Field:
         return out
 
 
-def fit(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, start: Field | None = None, steps: int = 100, rate: float = 0.1, keep: float = 1.0) -> Field:
-    """The field of the largest penalised likelihood of these lines' labels, by gradient steps of adaptive size."""
+def fit(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, start: Field | None = None, steps: int = 100, rate: float = 0.1, keep: float = 1.0, chain: bool = True) -> Field:
+    """The field of the largest penalised likelihood of these lines' labels, by gradient steps of adaptive size.
+
+    Without `chain` label pairs weigh nothing.
+    """
     n = int(owner.max(initial=-1)) + 1
     size = np.bincount(owner, minlength=n)
     rank = np.empty(n, np.int64)
@@ -261,7 +264,7 @@ def fit(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, start: Field | N
             m = active[t]
             joint = ahead[:m, t - 1, :, None] + pairs + (emit[:m, t] + behind[:m, t])[:, None, :] - total[:m, None, None]
             met += np.exp(joint).sum(0)
-        slope = np.concatenate((np.bincount(bins.reshape(-1), np.repeat(label - likely, bins.shape[1]), BINS), (told - met).reshape(-1))) - keep * theta
+        slope = np.concatenate((np.bincount(bins.reshape(-1), np.repeat(label - likely, bins.shape[1]), BINS), (told - met).reshape(-1) * chain)) - keep * theta
         first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
         theta = theta + rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
     return Field(theta[:BINS], theta[BINS:].reshape(2, 2))
@@ -270,12 +273,12 @@ def fit(bins: np.ndarray, owner: np.ndarray, label: np.ndarray, start: Field | N
 def learn(bins: np.ndarray, owner: np.ndarray, bad: np.ndarray, rounds: int = 2) -> Field:
     """A field from lines of which only the document's label is known: bad of each document."""
     label = bad[owner].astype(np.int64)
-    field = fit(bins, owner, label)
+    field = fit(bins, owner, label, chain=False)  # labels that are all alike in a document would tie neighbours together
     for _ in range(rounds):
         marked = field.mark(bins, owner)
         some = np.bincount(owner, marked, len(bad)) > 0  # a bad document has boilerplate somewhere
         label = np.where(bad[owner], np.where(some[owner], marked, 1), 0).astype(np.int64)
-        field = fit(bins, owner, label, field, 40)
+        field = fit(bins, owner, label, field, 60)
     return field
 
 
