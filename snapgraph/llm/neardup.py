@@ -1,17 +1,22 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
 Shingles are runs of five words, a shorter text is one shingle. A shingle's
-weight is its count in the text times its IDF, log2(1 + N / df) rounded to a
-whole number, 1 at least. Consistent weighted samples, as many as bands times
-rows, are banded; candidates are verified by exact weighted Jaccard similarity
-of 0.8 or more. Classes are the components of links.
+weight is its count in the text times its IDF, log2(1 + N / df). Consistent
+weighted samples, as many as bands times rows, are banded; candidates are
+verified by exact weighted Jaccard similarity of 0.8 or more. Classes are the
+components of links. Sampling, which only proposes candidates, takes the IDF in
+whole bits, 1 at least, so that a table of its random numbers can be kept;
+similarities take it as it is.
 
 df counts documents, but a large group of likely copies only about once: else
 what thousands of copies share would weigh less than each copy's own edits, and
-the group would fall apart. Likely copies are texts that share one of three
-keys, each made of two least hashes of their shingles; groups that hold 1 / 4096
-of all documents or more are folded, smaller ones would not change a weight.
-Passages that many different texts share are not folded and weigh little.
+the group would fall apart. Likely copies are texts that share one of eight
+keys, each made of four least hashes of their shingles, so of texts that have a
+passage in common, a share p of each, only p^4 meet in a key. Groups are folded
+from LARGE documents on, at any N. The table of large groups stays bounded, as
+beyond N = LARGE * FOLD documents it takes N / FOLD of them; a smaller group is
+then a small part of what its cell, below, holds anyway: leaving it unfolded
+changes a weight by log2(1 + 2^18 / (m * FOLD)) bits at most, 0.28 at m = 300.
 
 df is counted in 2^18 hashed cells, a table of fixed size: at m distinct
 shingles a text a cell holds N * m / 2^18 others. So shingles in fewer documents
@@ -43,8 +48,8 @@ from snapgraph.llm.words import U, mix, shingles, small, words
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 28, 5
 CELLS, TABLE = 1 << 18, 1 << 12
-#: Keys of a text, the share of documents from which a group with a key is folded, and the unit of folded counts.
-KEYS, FOLD, UNIT = 3, 1 << 12, 1 << 24
+#: Keys of a text and least hashes in each; documents from which a group with a key is folded, or a share of all; the unit of folded counts.
+KEYS, HASHES, LARGE, FOLD, UNIT = 8, 4, 64, 1 << 12, 1 << 24
 SEED = 20240
 _LAST = 2**63 - 1
 
@@ -66,17 +71,21 @@ def _counted(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np
 class Sampler:
     """Consistent samples of weighted sets; random numbers come from a table by the element's hash and the sample."""
 
-    def __init__(self, levels: np.ndarray, samples: int = BANDS * ROWS) -> None:
+    def __init__(self, idf: np.ndarray, samples: int = BANDS * ROWS) -> None:
         draw = np.random.Generator(np.random.PCG64(SEED))
         shape = (TABLE, samples)
         self.r = draw.gamma(2.0, 1.0, shape).astype(np.float32)
         self.log_c = np.log(draw.gamma(2.0, 1.0, shape)).astype(np.float32)
         self.beta = draw.random(shape, np.float32)
-        self.levels, self.samples = levels, samples
+        self.idf, self.samples = idf, samples
+        self.levels = np.maximum(np.rint(idf), 1).astype(np.uint8)
         self._once: dict[int, np.ndarray] = {}
         self._slot = np.arange(samples, dtype=U) * U(0x9E3779B97F4A7C15)
 
     def weights(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts * self.idf[(h & U(CELLS - 1)).astype(np.int64)].astype(np.float64)
+
+    def _sampled(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         return counts * self.levels[(h & U(CELLS - 1)).astype(np.int64)].astype(np.float64)
 
     def _logs(self, row: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -103,7 +112,7 @@ class Sampler:
                 values[here] = self._level(int(one))[row[some][here]]
             many = np.flatnonzero(counts[some] > 1)
             if len(many):
-                values[many] = self._logs(row[some][many], self.weights(h[some][many], counts[some][many]))
+                values[many] = self._logs(row[some][many], self._sampled(h[some][many], counts[some][many]))
             least = values.min(0)
             i, j = np.nonzero(values == least)
             first = np.empty(self.samples, np.int64)
@@ -111,7 +120,7 @@ class Sampler:
             better = least < best
             best[better], who[better] = least[better], first[better] + at
         r, beta = self.r[row[who], np.arange(self.samples)], self.beta[row[who], np.arange(self.samples)]
-        t = np.floor(np.log(self.weights(h[who], counts[who])).astype(np.float32) / r + beta)
+        t = np.floor(np.log(self._sampled(h[who], counts[who])).astype(np.float32) / r + beta)
         return mix(h[who] + t.astype(np.int64).astype(U) * U(0xD1B54A32D192ED03) + self._slot)
 
     def bands(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -122,21 +131,22 @@ class Sampler:
         return mix(total).astype(np.int64)
 
 
-_HASHES = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (2, 2 * KEYS), U, False)
+_HASHES = np.random.Generator(np.random.PCG64(SEED + 1)).integers(0, 1 << 64, (2, HASHES * KEYS), U, False)
 
 
 def keys(h: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts that have shingles, and the keys of each: of texts at plain similarity s, each key is shared with probability s * s."""
+    """The texts that have shingles, and the keys of each: of texts at plain similarity s, each key is shared with probability s^4."""
     some = np.flatnonzero(ptr[1:] > ptr[:-1])
     if not len(some):
         return some, np.zeros((0, KEYS), np.int64)
-    least = [np.minimum.reduceat((h ^ a) * (b | U(1)), ptr[some]) for a, b in _HASHES.T]
-    pairs = [mix(least[2 * k] * U(0x9E3779B97F4A7C15) + least[2 * k + 1] + U(k)) for k in range(KEYS)]
-    return some, np.stack(pairs, 1).view(np.int64)
+    out = np.tile(np.arange(KEYS, dtype=U), (len(some), 1))
+    for i, (a, b) in enumerate(_HASHES.T):
+        out[:, i % KEYS] = mix(out[:, i % KEYS] * U(0x9E3779B97F4A7C15) + np.minimum.reduceat((h ^ a) * (b | U(1)), ptr[some]))
+    return some, out.view(np.int64)
 
 
 def large_groups(docs: DataFrame, total: int) -> dict[int, int]:
-    """The number of documents with each key that at least 1 / FOLD of all have; KEYS * FOLD keys at most."""
+    """The number of documents with each key that LARGE documents and 1 / FOLD of all have; KEYS * FOLD keys at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -146,11 +156,11 @@ def large_groups(docs: DataFrame, total: int) -> dict[int, int]:
                 yield pa.RecordBatch.from_arrays([pa.array(every.reshape(-1))], ["key"])
 
     found = docs.select("text").mapInArrow(rows, "key long").groupBy("key").agg(F.count("*").alias("n"))
-    return {r["key"]: r["n"] for r in found.where(F.col("n") >= max(2, -(-total // FOLD))).toArrow().to_pylist()}
+    return {r["key"]: r["n"] for r in found.where(F.col("n") >= max(LARGE, -(-total // FOLD))).toArrow().to_pylist()}
 
 
-def levels(docs: DataFrame) -> np.ndarray:
-    """log2(1 + N / df), rounded, 1 at least, for each hashed cell, counted over all documents; CELLS bytes on the driver."""
+def idf(docs: DataFrame) -> np.ndarray:
+    """log2(1 + N / df) for each hashed cell, counted over all documents; a table of fixed size on the driver."""
     total = docs.count()
     folded = large_groups(docs, total)
 
@@ -169,7 +179,7 @@ def levels(docs: DataFrame) -> np.ndarray:
     found = docs.select("text").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     df = np.zeros(CELLS)
     df[found.column(0).to_numpy()] = found.column(1).to_numpy() / UNIT
-    return np.maximum(np.rint(np.log2(1 + max(total, 1) / np.maximum(df, 1))), 1).astype(np.uint8)
+    return np.log2(1 + max(total, 1) / np.maximum(df, 1)).astype(np.float32)
 
 
 _samplers: dict[int, Sampler] = {}
@@ -191,7 +201,7 @@ def node(text: Column) -> Column:
 def label(docs: DataFrame) -> DataFrame:
     """(doc, node, class), written: a row for each of docs' (doc_id, text), class being a node of the class."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"), node(F.col("text")).alias("node"))
-    sent = docs.sparkSession.sparkContext.broadcast(levels(docs.select(F.col("text").cast("string").alias("text"))))
+    sent = docs.sparkSession.sparkContext.broadcast(idf(docs.select(F.col("text").cast("string").alias("text"))))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, seen = _sampler(sent.value), set()
