@@ -135,7 +135,7 @@ def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.concat(F.lit("D"), F.lpad(F.col("n_nationkey").cast("string"), 9, "0")).alias("ord"), F.concat(F.lit("lwc:region"), F.col("n_regionkey").cast("string")).alias("source"),
         F.concat(F.lit("apex:nation"), F.col("n_nationkey").cast("string")).alias("target"), F.lit("js_import").alias("kind"), F.lit(False).alias("is_test"),
     )
-    occurrences = scratch.keep(uses.union(calls).union(roots).union(ties).union(imports), "occurrences")
+    occurrences = scratch.keep(graph.clustered(uses.union(calls).union(roots).union(ties).union(imports)), "occurrences")
 
     none = F.lit(None).cast("string")
     suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("apex:supplier"), F.col("s_suppkey").cast("string")).alias("id"), F.concat(F.lit("Supplier"), F.col("s_suppkey").cast("string")).alias("name"), F.lit(CLASS).alias("type"), _is_test(F.col("s_suppkey")).alias("is_test"), none.alias("parent_id"), none.alias("entry_point_reason"))
@@ -145,7 +145,7 @@ def _order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     label = F.concat(F.lit("Supplier"), F.col("s").cast("string"), F.lit("."), F.replace("p_brand", F.lit("#"), F.lit("")))
     methods = named.select("method_id", label, F.lit(METHOD), "is_test", "class_id", entry).distinct()
     nodes = suppliers.union(nations).union(regions).union(methods).withColumns({"file_path": F.lit("lineitem"), "line": F.lit(1)})
-    edges = scratch.keep(graph.edges(occurrences), "edges")
+    edges = scratch.keep(graph.with_firsts(graph.edges(occurrences), occurrences), "edges")
     nodes = scratch.keep(graph.degrees(nodes, edges), "nodes")
     nodes = scratch.keep(views.mark_methods(nodes, edges), "nodes")
     return nodes, edges, occurrences

@@ -57,19 +57,55 @@ def summary(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     return counts.crossJoin(all_edges.agg(F.count("*").alias("total_edges")))  # one row by one row
 
 
-def first_occurrences(occurrences: DataFrame, limit: int | None) -> DataFrame:
-    """(source, target, occurrences, occurrence_count, truncated): the first `limit` of each edge in order.
+#: Occurrences kept beside an edge, of those with tests and of those without.
+FIRSTS = 10
+
+
+def _fields(occurrences: DataFrame) -> list[str]:
+    return [c for c in ("file", "line", "snippet", "kind", "caller_method", "detail", "is_test") if c in occurrences.columns]
+
+
+def firsts(occurrences: DataFrame, limit: int = FIRSTS) -> DataFrame:
+    """(source, target, firsts): each edge's first `limit` occurrences in order, and its first `limit` ones outside tests.
+
+    Tests and others are ranked apart, so both are among at most 2 * limit rows
+    an edge, and of a hot edge each task passes on no more than those (a window's
+    group limit before the shuffle).
+    """
+    nth = F.row_number().over(Window.partitionBy("source", "target", "is_test").orderBy("ord"))
+    kept = occurrences.withColumn("nth", nth).where(F.col("nth") <= limit)
+    return kept.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("ord", *_fields(occurrences)))).alias("firsts"))
+
 
-    Each task ranks its own part of an edge before the edge's firsts meet, so a
-    hot edge sends `limit` rows a task; only without a limit all are brought together.
+def with_firsts(all_edges: DataFrame, occurrences: DataFrame, limit: int = FIRSTS) -> DataFrame:
+    """Edges with their first occurrences, to be written once; `listed` takes lists for views from them."""
+    return all_edges.join(firsts(occurrences, limit), ["source", "target"])
+
+
+def listed(shown: DataFrame, limit: int, include_test: bool) -> DataFrame:
+    """Edges with occurrences (the first `limit`), occurrence_count and truncated; without tests those outside tests only.
+
+    shown: edges with firsts, as `production` leaves them where tests are hidden.
     """
-    fields = [c for c in ("file", "line", "snippet", "kind", "caller_method", "detail", "is_test") if c in occurrences.columns]
-    counts = occurrences.groupBy("source", "target").agg(F.count("*").cast("int").alias("occurrence_count"))
-    nth = F.row_number().over(Window.partitionBy("source", "target").orderBy("ord"))
-    kept = occurrences if limit is None else occurrences.withColumn("nth", nth).where(F.col("nth") <= limit)
-    first = kept.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("occurrences"))
-    cut = F.lit(False) if limit is None else F.col("occurrence_count") > limit
-    return first.join(counts, ["source", "target"]).select("source", "target", "occurrences", "occurrence_count", cut.alias("truncated"))
+    if not 0 <= limit <= FIRSTS:
+        raise ValueError(f"beside an edge up to {FIRSTS} occurrences are kept; all of them are in the table of occurrences")
+    own = F.col("firsts") if include_test else F.filter("firsts", lambda o: ~o["is_test"])
+    lists = {"occurrences": F.slice(own, 1, limit), "occurrence_count": F.col("n_occ").cast("long"), "truncated": F.col("n_occ") > limit}
+    return shown.withColumns(lists).drop("firsts")
+
+
+def clustered(occurrences: DataFrame) -> DataFrame:
+    """Occurrences in ranges of (source, target, ord), to be written: an edge's lie in few files, a hot edge's in several."""
+    return occurrences.repartitionByRange("source", "target", "ord").sortWithinPartitions("source", "target", "ord")
+
+
+def first_occurrences(occurrences: DataFrame, limit: int | None) -> DataFrame:
+    """(source, target, occurrences, occurrence_count, truncated): the first `limit` of each edge in order; None for all of them."""
+    if limit is None:
+        every = occurrences.groupBy("source", "target").agg(F.array_sort(F.collect_list(F.struct("ord", *_fields(occurrences)))).alias("occurrences"))
+        return every.select("source", "target", "occurrences", F.size("occurrences").cast("long").alias("occurrence_count"), F.lit(False).alias("truncated"))
+    counts = occurrences.groupBy("source", "target").agg(F.count("*").alias("n_occ"))
+    return listed(counts.join(firsts(occurrences, limit), ["source", "target"]), limit, True).drop("n_occ")
 
 
 def resolve_calls(calls: DataFrame, methods: DataFrame) -> DataFrame:

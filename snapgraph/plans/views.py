@@ -1,4 +1,9 @@
-"""Queries over a built graph: nodes (with degrees), edges, occurrences."""
+"""Queries over a built graph: nodes (with degrees), edges, occurrences.
+
+Edges that hold their first occurrences (`graph.with_firsts`) come back with
+occurrences, occurrence_count and truncated, as many as a view shows and without
+those in tests where tests are hidden; plain edges come back as they are.
+"""
 
 from __future__ import annotations
 
@@ -45,8 +50,13 @@ def shown_degrees(nodes: DataFrame, include_test: bool) -> DataFrame:
     return nodes.withColumns({"in_degree": F.col("prod_in_degree"), "out_degree": F.col("prod_out_degree")})
 
 
-def shown_edges(edges: DataFrame, include_test: bool) -> DataFrame:
-    return edges if include_test else graph.production(edges)
+#: Occurrences that a list of edges and a node's own page show.
+LISTED, DETAILED = 5, 10
+
+
+def shown_edges(edges: DataFrame, include_test: bool, limit: int = LISTED) -> DataFrame:
+    shown = edges if include_test else graph.production(edges)
+    return graph.listed(shown, limit, include_test) if "firsts" in edges.columns else shown
 
 
 def select_nodes(nodes: DataFrame, types: list[str] | None = None, search: str | None = None, include_test: bool = False) -> DataFrame:
@@ -62,9 +72,9 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return edges.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)
 
 
-def get_graph(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, search: str | None = None, include_test: bool = False) -> tuple[DataFrame, DataFrame]:
+def get_graph(nodes: DataFrame, edges: DataFrame, types: list[str] | None = None, search: str | None = None, include_test: bool = False, limit: int = LISTED) -> tuple[DataFrame, DataFrame]:
     chosen = select_nodes(nodes, types, search, include_test)
-    return shown_degrees(chosen, include_test), shown_edges(induced(edges, chosen), include_test)
+    return shown_degrees(chosen, include_test), shown_edges(induced(edges, chosen), include_test, limit)
 
 
 def resolve(nodes: DataFrame, name: str) -> DataFrame:
@@ -93,7 +103,7 @@ def incident(edges: DataFrame, nodes: DataFrame, node_id: str, node_type: str, i
         methods = nodes.where(F.col("type") == METHOD)
         out = out.join(methods.select(F.col("id").alias("target")), "target", "left_anti").select(*edges.columns)
         into = into.join(methods.select(F.col("id").alias("source")), "source", "left_anti").select(*edges.columns)
-    return shown_edges(out, include_test), shown_edges(into, include_test)
+    return shown_edges(out, include_test, DETAILED), shown_edges(into, include_test, DETAILED)
 
 
 def node_detail(nodes: DataFrame, edges: DataFrame, name: str, include_test: bool = False) -> dict[str, DataFrame] | None:
@@ -115,6 +125,15 @@ def edge_detail(nodes: DataFrame, edges: DataFrame, source: str, target: str, in
     return shown_edges(edges.where((F.col("source") == a[0]) & (F.col("target") == b[0])), include_test)
 
 
+def edge_occurrences(nodes: DataFrame, occurrences: DataFrame, source: str, target: str, include_test: bool = False) -> DataFrame | None:
+    """Every occurrence of one edge, in order, from the written table of occurrences (see `graph.clustered`); None if a name is not one node's."""
+    a, b = focus(nodes, source), focus(nodes, target)
+    if a is None or b is None:
+        return None
+    own = occurrences.where((F.col("source") == a[0]) & (F.col("target") == b[0]))
+    return (own if include_test else own.where(~F.col("is_test"))).orderBy("ord")
+
+
 def verified_classes(nodes: DataFrame, edges: DataFrame, focus_id: str, direction: str, depth: int | None, include_test: bool) -> DataFrame:
     """(id) of types that a real chain of method calls connects with the focus class; speculative edges don't count."""
     methods = nodes.where(F.col("type") == METHOD)
@@ -130,7 +149,7 @@ def verified_classes(nodes: DataFrame, edges: DataFrame, focus_id: str, directio
     return found.join(nodes.select("id", "parent_id"), "id").select(F.coalesce("parent_id", "id").alias("id")).distinct()
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, name: str, depth: int | None = 2, direction: str = "both", include_test: bool = False) -> tuple[DataFrame, DataFrame] | None:
+def blast_radius(nodes: DataFrame, edges: DataFrame, name: str, depth: int | None = 2, direction: str = "both", include_test: bool = False, limit: int = LISTED) -> tuple[DataFrame, DataFrame] | None:
     """(nodes with hop, direction, verified; edges among them) around a node, or None if the name is not one node's."""
     found = focus(nodes, name)
     if found is None:
@@ -146,7 +165,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, name: str, depth: int | Non
         out = out.join(real, "id", "left").withColumn("verified", (F.col("id") == node_id) | F.coalesce("real", F.lit(False))).drop("real")
     else:
         out = out.withColumn("verified", F.lit(None).cast("boolean"))
-    return out, shown_edges(induced(edges, visited), include_test)
+    return out, shown_edges(induced(edges, visited), include_test, limit)
 
 
 def mark_methods(nodes: DataFrame, edges: DataFrame) -> DataFrame:

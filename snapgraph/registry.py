@@ -391,12 +391,88 @@ def edge_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.edge_detail(*order_graph(spark, sf_dir)[:2], FOCUS, "apex:nation3").select("source", "target", "kind", "n_occ")
 
 
-@query(f"WITH {GRAPH_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY ord) AS n, count(*) OVER (PARTITION BY source, target) AS c FROM occ) SELECT source, target, string_agg(ord, ',' ORDER BY ord) AS ords, max(c)::INT AS occurrence_count, max(c) > 5 AS truncated FROM r WHERE n <= 5 GROUP BY source, target")
+#: Continues GRAPH_SQL: t has each edge's occurrences numbered, of all and of those outside tests.
+_NTH = """,
+t AS (SELECT *, row_number() OVER (PARTITION BY source, target ORDER BY ord) AS n, row_number() OVER (PARTITION BY source, target, is_test ORDER BY ord) AS np FROM occ)"""
+
+
+def _listed_sql(limit: int, tests: bool) -> str:
+    """A relation w of edges with their first occurrences, as views list them."""
+    some, count, kind = (f"n <= {limit}", "n_occ", "kind") if tests else (f"NOT t.is_test AND np <= {limit}", "n_prod", "kind_prod")
+    return f"""w AS (SELECT source, target, any_value(e.{kind}) AS kind, string_agg(ord || ':' || t.kind, ',' ORDER BY ord) AS ords, any_value(e.{count}) AS occurrence_count, any_value(e.{count}) > {limit} AS truncated
+    FROM t JOIN edges e USING (source, target) WHERE {some} GROUP BY source, target)"""
+
+
+_LISTED = ("source", "target", "kind", "ords", "occurrence_count", "truncated")
+
+
+def _listed(edges: DataFrame) -> DataFrame:
+    ords = F.array_join(F.transform("occurrences", lambda o: F.concat(o["ord"], F.lit(":"), o["kind"])), ",")
+    return edges.withColumn("ords", ords).select(*_LISTED)
+
+
+_COLUMNS = ", ".join(_LISTED)
+
+
+@query(f"WITH {GRAPH_SQL}{_NTH} SELECT source, target, string_agg(ord, ',' ORDER BY ord) AS ords, any_value(n_occ) AS occurrence_count, any_value(n_occ) > 5 AS truncated FROM t JOIN edges USING (source, target) WHERE n <= 5 GROUP BY source, target")
 def first_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.first_occurrences(order_graph(spark, sf_dir)[2], 5)
+    found = graph.listed(order_graph(spark, sf_dir)[1], 5, True)
     return found.select("source", "target", F.array_join(F.transform("occurrences", lambda o: o["ord"]), ",").alias("ords"), "occurrence_count", "truncated")
 
 
+@query(f"{_SHOWN}{_NTH}, {_listed_sql(5, False)} SELECT {_COLUMNS} FROM w WHERE source IN (SELECT id FROM v) AND target IN (SELECT id FROM v)")
+def graph_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the overview, without tests, each with its first five occurrences."""
+    return _listed(views.get_graph(*order_graph(spark, sf_dir)[:2])[1])
+
+
+@query(f"WITH {GRAPH_SQL}{_NTH}, {_listed_sql(5, True)} SELECT {_COLUMNS} FROM w WHERE source IN (SELECT id FROM nodes WHERE type <> 'apex_method') AND target IN (SELECT id FROM nodes WHERE type <> 'apex_method')")
+def graph_view_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(views.get_graph(*order_graph(spark, sf_dir)[:2], include_test=True)[1])
+
+
+@query(f"WITH {GRAPH_SQL}{_NTH}, {_listed_sql(5, True)} SELECT {_COLUMNS} FROM w WHERE source LIKE '%::%' AND target LIKE '%::%'")
+def graph_view_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layer of methods, with tests."""
+    return _listed(views.get_graph(*order_graph(spark, sf_dir)[:2], [METHOD], include_test=True)[1])
+
+
+def _detail_sql(tests: bool) -> str:
+    return f"""WITH {GRAPH_SQL}{_NTH}, {_listed_sql(10, tests)} SELECT 'depends_on' AS list, {_COLUMNS} FROM w JOIN nodes ON target = id WHERE source = '{_FOCUS_ID}' AND type <> 'apex_method'
+    UNION ALL SELECT 'used_by', {_COLUMNS} FROM w JOIN nodes ON source = id WHERE target = '{_FOCUS_ID}' AND type <> 'apex_method'"""
+
+
+def _detail(spark: SparkSession, sf_dir: str, tests: bool) -> DataFrame:
+    found = views.node_detail(*order_graph(spark, sf_dir)[:2], FOCUS, tests)
+    lists = [_listed(found[name]).select(F.lit(name).alias("list"), *_LISTED) for name in ("depends_on", "used_by")]
+    return lists[0].union(lists[1])
+
+
+@query(_detail_sql(False))
+def detail_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both lists of a node's page, each edge with its first ten occurrences outside tests."""
+    return _detail(spark, sf_dir, False)
+
+
+@query(_detail_sql(True))
+def detail_occurrences_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _detail(spark, sf_dir, True)
+
+
+@query(f"WITH {GRAPH_SQL} SELECT ord, kind, is_test FROM occ WHERE source = '{_FOCUS_ID}' AND target = 'apex:nation3' AND NOT is_test")
+def edge_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All occurrences of one edge outside tests."""
+    nodes, _, occurrences = order_graph(spark, sf_dir)
+    return views.edge_occurrences(nodes, occurrences, FOCUS, "apex:nation3").select("ord", "kind", "is_test")
+
+
+@query(f"WITH {GRAPH_SQL} SELECT ord, kind, is_test FROM occ WHERE source = 'apex:supplier3' AND target = 'apex:nation3'")
+def edge_occurrences_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All occurrences of a test's edge."""
+    nodes, _, occurrences = order_graph(spark, sf_dir)
+    return views.edge_occurrences(nodes, occurrences, "Supplier3", "apex:nation3", True).select("ord", "kind", "is_test")
+
+
 @query(f"WITH {GRAPH_SQL} SELECT id, in_degree + out_degree AS degree FROM nodes ORDER BY degree DESC, id LIMIT 12")
 def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hotspots(order_graph(spark, sf_dir)[0], 12).select("id", "degree")
@@ -472,6 +548,12 @@ def blast_radius_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)[1].select("source", "target", "kind", "n_occ")
 
 
+@query(f"{_BFS}{_NTH}, {_listed_sql(5, False)} SELECT {_COLUMNS} FROM w WHERE source IN (SELECT id FROM h) AND target IN (SELECT id FROM h)")
+def blast_radius_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges around a class, each with its first five occurrences outside tests."""
+    return _listed(views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)[1])
+
+
 @query(f"{_RADIUS} SELECT count(*) AS shown, count(*) FILTER (NOT verified) AS unverified FROM br")
 def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)[0].agg(F.count("*").alias("shown"), F.count_if(~F.col("verified")).alias("unverified"))
@@ -537,6 +619,20 @@ def blast_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where("section < 2").select(kind.alias("class"), F.when(F.col("section") == 0, head).otherwise(data).alias("row"))
 
 
+@query(
+    f"""{_BFS}{_NTH} SELECT '{{"source":"' || source || '","target":"' || target || '","kind":"' || any_value(e.kind_prod) || '","occurrence_count":' || any_value(n_prod) || ',"truncated":' || (any_value(n_prod) > 5)::VARCHAR ||
+    ',"occurrences":[' || string_agg('{{"ord":"' || ord || '","kind":"' || t.kind || '","is_test":false}}', ',' ORDER BY ord) || ']}}' AS row FROM t JOIN edges e USING (source, target)
+    WHERE NOT t.is_test AND np <= 5 AND source IN (SELECT id FROM h) AND target IN (SELECT id FROM h) GROUP BY source, target"""
+)
+def blast_page_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as the page of a class's surroundings holds them, with their occurrences."""
+    nodes, edges = views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)
+    shown = edges.select("source", "target", "kind", "occurrence_count", "truncated", "occurrences")
+    lines = sinks.blast_page(nodes.select("id", "hop"), shown, {"id": _FOCUS_ID, "name": FOCUS}, 2, "both")
+    data = F.regexp_extract("line", r'class="edges">(.*)</script>', 1)
+    return lines.where("section = 1 and line like '%class=\"edges\"%'").select(data.alias("row"))
+
+
 @query(f"WITH {GRAPH_SQL} SELECT id FROM nodes WHERE (type IN ('apex_class', 'lwc_component') AND in_degree + out_degree >= 30) OR id = '{_FOCUS_ID}'")
 def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.visible(order_graph(spark, sf_dir)[0], 30, ["apex_class", "lwc_component"], focus_id=_FOCUS_ID).select("id")

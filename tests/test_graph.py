@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 from snapgraph.operators import graph, traverse
+from snapgraph.plans import views
 
 OCC = "ord string, source string, target string, kind string, is_test boolean"
 
@@ -22,6 +25,31 @@ def test_first_occurrences(spark):
     assert got == {"b": (7, True, list("01234")), "c": (1, False, ["0"])}
 
 
+def test_occurrences_beside_edges(spark):
+    """A hot edge, one of tests alone and one whose tests come first; lists with and without tests."""
+    random.seed(4)
+    rows = [(f"{i:05}", "a", "b", random.choice("kl"), i % 3 == 0) for i in range(2000)]
+    rows += [(f"{i:05}", "a", "c", "k", True) for i in range(3)] + [(f"{i:05}", "d", "c", "k", i < 40) for i in range(60)]
+    random.shuffle(rows)
+    occ = spark.createDataFrame(rows, OCC).repartition(7)
+    edges = graph.with_firsts(graph.edges(occ), occ)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2  # each task keeps few rows of an edge before they are shuffled
+    for tests in (True, False):
+        want = {}
+        for o, s, t, k, test in sorted(rows):
+            if tests or not test:
+                want.setdefault((s, t), []).append((o, k, test))
+        got = {(r.source, r.target): r for r in views.shown_edges(edges, tests, 5).collect()}
+        assert {k: [(o.ord, o.kind, o.is_test) for o in r.occurrences] for k, r in got.items()} == {k: v[:5] for k, v in want.items()}
+        assert {k: (r.occurrence_count, r.truncated) for k, r in got.items()} == {k: (len(v), len(v) > 5) for k, v in want.items()}
+    with pytest.raises(ValueError):
+        graph.listed(edges, 11, True)
+    assert views.shown_edges(graph.with_firsts(graph.edges(occ.limit(0)), occ.limit(0)), True).count() == 0
+    every = {(r.source, r.target): len(r.occurrences) for r in graph.first_occurrences(occ, None).collect()}
+    assert every == {("a", "b"): 2000, ("a", "c"): 3, ("d", "c"): 60}
+
+
 def test_bfs_labels_and_cycles(spark):
     # T26, T27: first discovery, downstream before upstream, edges in order
     moves = spark.createDataFrame([("f", "x", 0, "2"), ("f", "y", 1, "1"), ("x", "z", 1, "3"), ("y", "z", 0, "4"), ("z", "f", 0, "5")], "at string, to string, way int, ord string")

@@ -191,6 +191,28 @@ def test_detail(built):
     assert views.node_detail(built.nodes, built.edges, "missing") is None
 
 
+def test_views_list_occurrences(built):
+    """Every view's occurrences are those of the table of occurrences, with file, line and snippet."""
+    fields = ("ord", "file", "line", "snippet", "kind", "is_test")
+    every = {}
+    for r in built.occurrences.orderBy("ord").collect():
+        every.setdefault((r.source, r.target), []).append(tuple(r[f] for f in fields))
+    for tests in (True, False):
+        want = {k: [o for o in v if tests or not o[-1]] for k, v in every.items()}
+        detail = views.node_detail(built.nodes, built.edges, "ledger", tests)
+        shown = {"graph": (views.get_graph(built.nodes, built.edges, include_test=tests)[1], 5), "near": (views.blast_radius(built.nodes, built.edges, "Ledger", 1, include_test=tests)[1], 5), "out": (detail["depends_on"], 10), "in": (detail["used_by"], 10)}
+        for edges, limit in shown.values():
+            got = edges.collect()
+            assert got
+            for r in got:
+                own = want[r.source, r.target]
+                assert [tuple(o[f] for f in fields) for o in r.occurrences] == own[:limit] and (r.occurrence_count, r.truncated) == (len(own), len(own) > limit)
+        source, target = max(every, key=lambda k: len(every[k]))
+        found = views.edge_occurrences(built.nodes, built.occurrences, source, target, tests).collect()
+        assert [tuple(r[f] for f in fields) for r in found] == want[source, target]
+    assert views.edge_occurrences(built.nodes, built.occurrences, "nobody", "ledger") is None
+
+
 def test_degrees_sum_to_edges(built):
     n = built.edges.count()
     s = built.nodes.agg(F.sum("in_degree"), F.sum("out_degree")).first()
