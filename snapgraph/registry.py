@@ -14,7 +14,7 @@ from snapgraph.adapters import BUNDLES_SQL, GRAPH_SQL, MARKS_SQL, ORDERS_SQL, PA
 from snapgraph.catalog import oracle_sql, queries, query
 from snapgraph.functions import text
 from snapgraph.functions.difflines import diff_opcodes
-from snapgraph.operators import diff, graph, traverse
+from snapgraph.operators import diff, graph, traverse, trees
 from snapgraph.plans import views
 from snapgraph.plans.gate import Gate, NotReady
 from snapgraph.schemas import METHOD, class_key
@@ -31,19 +31,29 @@ def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.match(*order_snapshots(spark, sf_dir), ["key"])
 
 
+def _statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' comparison by digests, without contents."""
+    return trees.match(*order_snapshots(spark, sf_dir), ["key"])
+
+
+def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = order_snapshots(spark, sf_dir)
+    return trees.with_stats(trees.match(*sides, ["key"]), *sides, ["key"])
+
+
 @query(f"WITH {ORDERS_SQL} SELECT key, name, status, in_org_a, in_org_b, status = 'identical' AS is_identical, false AS has_error FROM d")
 def diff_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compared(spark, sf_dir).select("key", "name", "status", "in_org_a", "in_org_b", "is_identical", "has_error").orderBy("key")
+    return _statuses(spark, sf_dir).select("key", "name", "status", "in_org_a", "in_org_b", "is_identical", "has_error").orderBy("key")
 
 
 @query(f"WITH {ORDERS_SQL} SELECT count(*) AS total, {', '.join(f'''count(*) FILTER (status = '{s}') AS {s}''' for s in ('modified', 'identical', 'only_in_org_a', 'only_in_org_b'))} FROM d")
 def diff_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.histogram(_compared(spark, sf_dir))
+    return diff.histogram(_statuses(spark, sf_dir))
 
 
 @query(f"WITH {ORDERS_SQL} SELECT key, name, status FROM d WHERE status = 'modified' AND contains(lower(name), '77')")
 def diff_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.filtered(_compared(spark, sf_dir), "modified", " 77 ").select("key", "name", "status")
+    return diff.filtered(_statuses(spark, sf_dir), "modified", " 77 ").select("key", "name", "status")
 
 
 @query(
@@ -52,7 +62,7 @@ def diff_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE status WHEN 'modified' THEN 3 WHEN 'only_in_org_a' THEN 1 WHEN 'only_in_org_b' THEN 1 + (content_b LIKE '%' || chr(10) || '%')::INT ELSE 0 END::INT AS lines_changed FROM d"""
 )
 def diff_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.with_stats(_compared(spark, sf_dir)).select("key", *diff.COUNTS)
+    return _counted(spark, sf_dir).select("key", *diff.COUNTS)
 
 
 _CLASS_ROW = "SELECT lower(name) || '.cls' AS key, name, status, content_a, content_b FROM d"
@@ -88,12 +98,12 @@ def detail_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     CASE status WHEN 'modified' THEN 3 WHEN 'only_in_org_a' THEN 1 WHEN 'only_in_org_b' THEN 1 + (content_b LIKE '%' || chr(10) || '%')::INT ELSE 0 END::INT AS lines_changed FROM d"""
 )
 def diff_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.meta(diff.with_stats(_compared(spark, sf_dir)), ["key"])
+    return diff.meta(_counted(spark, sf_dir), ["key"])
 
 
 @query(f"WITH {ORDERS_SQL} SELECT name, status, CASE status WHEN 'modified' THEN 0 WHEN 'only_in_org_a' THEN 1 WHEN 'only_in_org_b' THEN 2 ELSE 3 END::INT AS rank FROM d")
 def listing_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.by_rank(_compared(spark, sf_dir)).select("name", "status", "rank")
+    return diff.by_rank(_statuses(spark, sf_dir)).select("name", "status", "rank")
 
 
 @query(f"WITH {ORDERS_SQL}, o2 AS (SELECT key, unnest([{{'tag': 'equal', 'i1': 0, 'i2': 1, 'j1': 0, 'j2': 1}}, {{'tag': 'insert', 'i1': 1, 'i2': 1, 'j1': 1, 'j2': 2}}]) AS o FROM d WHERE status = 'modified') SELECT key, o.tag AS tag, o.i1::INT AS i1, o.i2::INT AS i2, o.j1::INT AS j1, o.j2::INT AS j2 FROM o2")
@@ -215,9 +225,23 @@ def text_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.with_stats(diff.match(docs, after, ["doc_id"])).select("doc_id", "status", *diff.COUNTS)
 
 
+@query(
+    f"""WITH v AS (SELECT doc_id, text, {_LINES} AS n, CASE WHEN doc_id % 89 = 7 THEN 'only_in_org_a' WHEN doc_id % 97 = 5 THEN 'modified' ELSE 'identical' END AS status FROM documents)
+    SELECT doc_id, status, CASE status WHEN 'modified' THEN 2 ELSE 0 END::INT AS lines_added,
+    CASE status WHEN 'only_in_org_a' THEN n WHEN 'modified' THEN (text <> '' AND right(text, 1) <> chr(10))::INT ELSE 0 END::INT AS lines_removed FROM v"""
+)
+def revised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against a later state in which few have one more line, by ranges of keys."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("name"), F.col("text").alias("content"))
+    later = F.when(F.col("doc_id") % 97 == 5, F.concat("content", F.lit("\nrevised"))).otherwise(F.col("content"))
+    sides = docs, docs.where("doc_id % 89 <> 7").withColumn("content", later)
+    found = trees.with_stats(trees.match(*sides, ["doc_id"], ranges=True), *sides, ["doc_id"])
+    return found.select("doc_id", "status", "lines_added", "lines_removed")
+
+
 @query(f"WITH {BUNDLES_SQL} SELECT bundle_key, file_key, name, status FROM f")
 def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.match(*bundle_snapshots(spark, sf_dir), ["bundle_key", "file_key"]).select("bundle_key", "file_key", "name", "status")
+    return trees.match(*bundle_snapshots(spark, sf_dir), ["bundle_key", "file_key"], ["bundle_key"]).select("bundle_key", "file_key", "name", "status")
 
 
 @query(
@@ -229,7 +253,8 @@ def bundle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bundle_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = bundle_snapshots(spark, sf_dir)
     sides = [s.select("bundle_key", F.concat(F.lit("bundle"), "bundle_key").alias("name")).distinct() for s in (a, b)]
-    files = diff.with_stats(diff.match(a, b, ["bundle_key", "file_key"]))
+    keys = ["bundle_key", "file_key"]
+    files = trees.with_stats(trees.match(a, b, keys, ["bundle_key"]), a, b, keys)
     return diff.roll_up(files, *sides).select("bundle_key", "name", "status", "file_count", "has_error")
 
 
