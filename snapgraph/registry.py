@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import threading
 import uuid
 from collections.abc import Callable
@@ -18,7 +19,7 @@ from snapgraph.operators import diff, graph, traverse, trees
 from snapgraph.plans import views
 from snapgraph.plans.gate import Gate, NotReady
 from snapgraph.schemas import METHOD, class_key
-from snapgraph.sources import sinks
+from snapgraph.sources import ordered, sinks
 
 #: The focus of traversals over the order graph, and a nation that it uses.
 FOCUS = "Supplier7"
@@ -281,6 +282,58 @@ def deploy_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(sinks.text_of(sinks.deploy_list(_deployed(spark, sf_dir))),)], "text string")
 
 
+def _placed(sections: str) -> str:
+    """SQL: from rows (section, place, line) each line with the byte it begins at in the file of them."""
+    return f"SELECT (coalesce(sum(strlen(line) + 1) OVER (ORDER BY section, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS at, line FROM ({sections})"
+
+
+def _written(spark: SparkSession, name: str, write: Callable[[str], int]) -> DataFrame:
+    """What `write` puts into a file of the shared folder, read back."""
+    folder = ordered.local(scratch.folder(spark))
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    write(path)
+    return ordered.read_file(spark, path)
+
+
+_NAMES = f"n AS (SELECT CASE WHEN name LIKE '%.trigger' THEN name ELSE name || '.Cls' END AS name FROM {_MODIFIED})"
+_MEMBERS = "SELECT 0 AS section, place, line FROM h UNION ALL SELECT 2, place, line FROM t UNION ALL SELECT 1, name, '        <members>' || replace(replace(replace(regexp_replace(name, '[.]Cls$', ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</members>' FROM n"
+
+
+@query(
+    f"""WITH {ORDERS_SQL}, {_NAMES}, h AS (SELECT unnest(['<?xml version="1.0" encoding="UTF-8"?>', '<Package xmlns="http://soap.sforce.com/2006/04/metadata">', '    <types>']) AS line, unnest([1, 2, 3])::VARCHAR AS place),
+    t AS (SELECT unnest(['        <name>ApexClass</name>', '    </types>', '    <version>59.0</version>', '</Package>']) AS line, unnest([1, 2, 3, 4])::VARCHAR AS place)
+    {_placed(_MEMBERS)}"""
+)
+def manifest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the written package.xml and where they begin."""
+    return _written(spark, "package.xml", lambda path: sinks.write_manifest(_deployed(spark, sf_dir), path))
+
+
+@query(f"WITH {ORDERS_SQL}, {_NAMES} {_placed('SELECT 0 AS section, name AS place, name AS line FROM n')}")
+def deploy_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the written list of names and where they begin."""
+    return _written(spark, "deploy-list.txt", lambda path: sinks.write_deploy_list(_deployed(spark, sf_dir), path))
+
+
+_EXPORTED = """SELECT 0 AS section, '' AS place, '<!doctype html><meta charset=utf-8><title>Orders (' || n || ' items)</title><script id="data" type="application/json">{"summary": {"identical": ' || i || ', "modified": ' || m || ', "only_in_org_a": ' || a || ', "only_in_org_b": ' || b || ', "total": ' || n || '}}</script>' AS line FROM c
+    UNION ALL SELECT 1, key, '<script type="application/json" class="classes">' || head || '"in_org_a":' || in_org_a::VARCHAR || ',"in_org_b":' || in_org_b::VARCHAR || ',"is_identical":' || (status = 'identical')::VARCHAR || ',"has_error":false,"lines_added":' || more || ',"lines_removed":' || fewer || ',"lines_changed":' || (more + fewer) || '}</script>' FROM x
+    UNION ALL SELECT 2, key, '<script type="application/json" class="details">' || head || '"content_a":' || ja || ',"content_b":' || jb || '}</script>' FROM x
+    UNION ALL SELECT 3, '', '</html>'"""
+
+
+@query(
+    f"""WITH {ORDERS_SQL}, x AS (SELECT *, '{{"key":"' || key || '","name":"' || name || '","status":"' || status || '",' AS head,
+      CASE status WHEN 'modified' THEN 2 WHEN 'only_in_org_b' THEN 1 + (content_b LIKE '%' || chr(10) || '%')::INT ELSE 0 END AS more, CASE status WHEN 'modified' THEN 1 WHEN 'only_in_org_a' THEN 1 ELSE 0 END AS fewer,
+      coalesce('"' || replace(content_a, chr(10), '\\n') || '"', 'null') AS ja, coalesce('"' || replace(content_b, chr(10), '\\n') || '"', 'null') AS jb FROM d),
+    c AS (SELECT count(*) AS n, count(*) FILTER (status = 'identical') AS i, count(*) FILTER (status = 'modified') AS m, count(*) FILTER (status = 'only_in_org_a') AS a, count(*) FILTER (status = 'only_in_org_b') AS b FROM d)
+    {_placed(_EXPORTED)}"""
+)
+def export_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the written page of the whole comparison, listing and details, and where they begin."""
+    return _written(spark, "export.html", lambda path: sinks.write_export("Orders", diff.with_stats(_compared(spark, sf_dir)), path))
+
+
 @query("SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapgraph.functions.difflines import opcodes
+from snapgraph.schemas import IDENTICAL, MODIFIED, ONLY_A, ONLY_B
+from snapgraph.sources import ordered
 
 
 def json_rows(df: DataFrame) -> DataFrame:
@@ -52,6 +54,35 @@ def text_of(lines: DataFrame) -> str:
     return "".join(r["line"] + "\n" for r in lines.select("line").toLocalIterator())
 
 
+def write_manifest(names: DataFrame, path: str, kind: str = "ApexClass") -> int:
+    """The deployable package.xml of class files (name) as one file that tasks write; returns its size in bytes."""
+    return ordered.write_file(manifest(names, kind), path)
+
+
+def write_deploy_list(names: DataFrame, path: str) -> int:
+    """The sorted names as one file, a line each."""
+    return ordered.write_file(deploy_list(names), path)
+
+
+def export_lines(title: str, compared: DataFrame) -> DataFrame:
+    """(section, place, line): a comparison as one self-contained page.
+
+    compared: key, name, status, presence, line counts, content_a and content_b.
+    The head says how many items have which status, then comes a row of the
+    listing for every item, then a row of details with both contents. Rows are
+    JSON in scripts of class classes and details.
+    """
+    counts = compared.groupBy("status").agg(F.count("*").alias("n")).collect()  # four rows at most
+    summary = {"total": sum(r["n"] for r in counts)} | {s: 0 for s in (MODIFIED, IDENTICAL, ONLY_A, ONLY_B)} | {r["status"]: r["n"] for r in counts}
+    shown = [c for c in ("key", "name", "status", "in_org_a", "in_org_b", "is_identical", "has_error", "lines_added", "lines_removed", "lines_changed") if c in compared.columns]
+    return page_lines(f"{title} ({summary['total']} items)", {"summary": summary}, {"classes": compared.select(*shown), "details": compared.select("key", "name", "status", "content_a", "content_b")})
+
+
+def write_export(title: str, compared: DataFrame, path: str) -> int:
+    """The page of `export_lines` as one file that tasks write; returns its size in bytes."""
+    return ordered.write_file(export_lines(title, compared), path)
+
+
 def write_debug(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
