@@ -9,9 +9,11 @@ bundle stand twice. Every seventh supplier is a test class.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from functools import reduce
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,11 +96,25 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.withColumns(columns).select(*[c.split()[0] for c in FILES.split(", ")])
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Write (rel_path, content) as files below a folder of the shared ones, by tasks; writing again gives the same."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rel, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                path = Path(folder, rel)
+                path.parent.mkdir(parents=True, exist_ok=True)
+                path.write_bytes(content.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    rows.select("rel_path", "content").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
 def write_folder(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """The org's files but the suppliers' (25 nations and 5 regions at every size), and some that scans meet: hidden, empty, damaged and unreadable ones."""
-    rows = files(spark, sf_dir).where("seq < 1000").select("rel_path", "content").collect()
+    """The org's files, and some that scans meet: hidden, empty, damaged and unreadable ones."""
+    write_files(files(spark, sf_dir), folder)
     extra = {".hidden.cls": b"x", "lwc/rowView1/.keep": b"", "classes/Bad.cls": b"class Bad { } // \xff\r\nend\r", f"{Path(folder).name}.js-meta.xml": b"", "lwc/rowView2/inner/inner.js-meta.xml": b"", "lwc/rowView2/inner/Deep.cls": b"class Deep { }", "notes.txt": b"none"}
-    for name, data in [(r.rel_path, r.content.encode()) for r in rows] + list(extra.items()):
+    for name, data in extra.items():
         path = Path(folder, name)
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(data)

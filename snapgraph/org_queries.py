@@ -35,9 +35,9 @@ def _readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, 2.0).where("error is null")
 
 
-# on disk are the files below 1000, and these
+# on disk are the org's files, and these
 _DISK = f"""{SQL},
-disk AS (SELECT dir, name, content, octet_length(content::BLOB) AS size FROM tree WHERE seq < 1000
+disk AS (SELECT dir, name, content, octet_length(content::BLOB) AS size FROM tree
   UNION ALL SELECT * FROM (VALUES ('', '.hidden.cls', 'x', 1), ('lwc/rowView1', '.keep', '', 0), ('classes', 'Bad.cls', 'class Bad {{ }} // ' || chr(65533) || chr(10) || 'end' || chr(10), 24),
     ('lwc/rowView2/inner', 'inner.js-meta.xml', '', 0), ('lwc/rowView2/inner', 'Deep.cls', 'class Deep {{ }}', 14), ('', 'notes.txt', 'none', 4)))"""
 

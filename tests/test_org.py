@@ -1,5 +1,9 @@
 """A folder of sources end to end: scan, lexing, resolution, graph, queries."""
 
+import os
+import random
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +76,13 @@ def edges(built):
     return {(r.source, r.target): r for r in built.edges.collect()}
 
 
+def walk(folder):
+    """Folder and name of every file, top-down, names in order."""
+    for at, folders, names in os.walk(folder):
+        folders.sort()
+        yield from ((at, f) for f in sorted(names))
+
+
 def test_tree_reads_hidden_and_empty_files(spark, folder):
     # T10, T2, T3
     rows = {r.rel_path: r for r in tree.read_tree(spark, folder).collect()}
@@ -79,7 +90,47 @@ def test_tree_reads_hidden_and_empty_files(spark, folder):
     assert rows["lwc/childRow/.hidden"].content == "x" and rows["lwc/cardView/cardView.js-meta.xml"].size_bytes == 0
     bad = rows["classes/Bad.cls"]
     assert bad.content == "public class Bad { } // �\n" and bad.size_bytes == 27
-    assert [r.rel_path for r in sorted(rows.values(), key=lambda r: r.seq)] == tree.listing(folder)
+    assert [r.rel_path for r in sorted(rows.values(), key=lambda r: r.seq)] == [os.path.relpath(os.path.join(at, f), folder) for at, f in walk(folder)]
+
+
+def test_files_are_listed_as_a_walk_meets_them(spark, tmp_path, monkeypatch):
+    """Names that begin like others, deep folders, links, empty folders; several tasks read."""
+    monkeypatch.setattr(tree, "PACK", 1 << 20)
+    random.seed(11)
+    names = ["a", "a b", "a!", "aa", "A", "é", "z", "a.b", ".a", "\U0001f600", "\uffee"]
+    for _ in range(120):
+        at = tmp_path.joinpath(*random.choices(names, k=random.randrange(4)))
+        at.mkdir(parents=True, exist_ok=True)
+        file = at / f"f{random.choice(names)}{random.randrange(3)}.txt"
+        file.write_text(file.name)
+    (tmp_path / "empty").mkdir()
+    os.symlink(tmp_path / "empty", tmp_path / "to folder")
+    os.symlink(next(tmp_path.rglob("*.txt")), tmp_path / "to file")
+    got = sorted(tree.read_tree(spark, str(tmp_path)).collect(), key=lambda r: r.seq)
+    want = list(walk(tmp_path))
+    assert [(r.dir, r.name) for r in got] == [("" if str(at) == str(tmp_path) else os.path.relpath(at, tmp_path), f) for at, f in want]
+    assert [r.seq for r in got] == list(range(len(want)))
+    assert all(r.error is None and (r.content == r.name or r.name == "to file") for r in got)
+    assert {r.name for r in tree.read_tree(spark, str(tmp_path), suffixes=(".TXT",)).collect()} == {r.name for r in got} - {"to file"}
+
+
+def test_late_files_leave_no_threads(spark, tmp_path):
+    os.mkfifo(tmp_path / "late")
+    (tmp_path / "soon").write_text("x")
+    before = threading.active_count()
+    assert [e for _, _, e in tree.read_batch([str(tmp_path / "late"), str(tmp_path / "soon")], 0.5)] == ["not read within 0.5 s", None]
+    for t in threading.enumerate():
+        if t.daemon and t is not threading.main_thread() and "read" in t.name:
+            t.join(5)
+    assert threading.active_count() <= before
+    os.mkfifo(tmp_path / "slow")
+
+    def write():
+        with open(tmp_path / "slow", "w") as f:
+            f.write("answer")
+
+    threading.Thread(target=write).start()
+    assert tree.read_batch([str(tmp_path / "slow")], 5)[0] == ("answer", 6, None)
 
 
 def test_missing_folder_is_empty(spark, folder):
