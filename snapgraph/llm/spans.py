@@ -1,19 +1,21 @@
 """Substring deduplication by sliding spans of sentences.
 
 A sentence is a longest run of words without a full stop, exclamation or
-question mark or line break between them. A span is any run of two sentences or
-more that hold 12 words, or one sentence of 50 words or more. Spans are equal if
+question mark or line break between them. A span is any run of four sentences
+(ENOUGH) or more, of whatever length, and any run of two or three that holds 12
+words (WORDS). Two or three shorter ones, like "Yes. No." or "A. In. The.", meet
+by chance: without the bound one document in six of a corpus of 26,000 would
+lose such a pair. One sentence alone is no run, however long. Spans are equal if
 their words are (lower-cased, without punctuation). Of each span found more than
 once, the first place stays, that of the smallest doc_id and in it the first;
 sentences that any other place covers are removed, with the punctuation that
 follows them.
 
 Hashed are, from every sentence, the shortest span that begins and the shortest
-that ends with it, and each long sentence alone. Within any span these lie one
-over the other from its first sentence to its last, and what repeats a span
-repeats them, so all sentences of longer repeats are covered too. Spans of equal
-words that are cut into sentences in different ways are found as far as a hashed
-span has both its ends in common.
+that ends with it. Within any span these lie one over the other from its first
+sentence to its last, and what repeats a span repeats them, so all sentences of
+longer repeats are covered too. Spans of equal words that are cut into sentences
+in different ways are found as far as a hashed span has both its ends in common.
 
 Defined cases: a null text stays null, an empty one empty; a text without words
 has no spans; different texts under one doc_id, or under none, are documents of
@@ -35,7 +37,8 @@ from snapgraph import scratch
 from snapgraph.llm import lsh
 from snapgraph.llm.words import _BASE, _INVERSE, U, Words, _power, mix, small, words
 
-SENTENCES, WORDS, LONG = 2, 12, 50
+#: The fewest sentences of a span, the words it then holds, and the sentences from which it needs no number of words.
+SENTENCES, WORDS, ENOUGH = 2, 12, 4
 _LAST = 2**63 - 1
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
@@ -57,16 +60,15 @@ def spans(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     ends = np.append(first[1:], len(owner))
     ptr = np.searchsorted(text, np.arange(n + 1))
     last = ptr[text + 1]  # behind the text's last sentence
-    # the sentence behind the span: enough words, at least two sentences
-    stop = np.maximum(np.searchsorted(ends, first + WORDS, "left") + 1, np.arange(len(first)) + SENTENCES)
+    # the sentence behind the span: two sentences with enough words, or enough sentences
     every = np.arange(len(first))
+    stop = np.minimum(np.maximum(np.searchsorted(ends, first + WORDS, "left") + 1, every + SENTENCES), every + ENOUGH)
     # the same backwards from each sentence; what begins and ends with the same sentences is hashed once
-    back = np.minimum(np.searchsorted(first, ends - WORDS, "right") - 1, every - SENTENCES + 1)
+    back = np.maximum(np.minimum(np.searchsorted(first, ends - WORDS, "right") - 1, every - SENTENCES + 1), every - ENOUGH + 1)
     ahead, behind = np.flatnonzero(stop <= last), np.flatnonzero(back >= ptr[text])
     behind = behind[stop[back[behind]] != behind + 1]
-    alone = np.flatnonzero(ends - first >= LONG)
-    good = np.concatenate((ahead, back[behind], alone))
-    stop = np.concatenate((stop[ahead], behind + 1, alone + 1))
+    good = np.concatenate((ahead, back[behind]))
+    stop = np.concatenate((stop[ahead], behind + 1))
     begin, behind = first[good], ends[stop - 1]
     prefix = np.zeros(len(owner) + 1, U)
     np.cumsum(found.hashes * _power(_BASE, len(owner)), out=prefix[1:])

@@ -9,9 +9,11 @@ Queries go in blocks of bounded size against all rows, one written table a
 block, so a lost executor costs parts of one block; a task works through a block
 in batches. Defined cases: vectors that are null or hold a null or non-finite
 component take no part, as query or candidate; shorter vectors count as padded
-with zeros; every row is a query and a candidate of its own, also where rows
-share a vec_id or repeat, and only the query's own row is no candidate of it; an
-empty table gives an empty result; extra columns are ignored.
+with zeros to the longest; every row is a query and a candidate of its own, also
+where rows share a vec_id or repeat, and only the query's own row is no candidate
+of it; a null vec_id is no multiple of anything, so no query, but a candidate
+that comes after all others of its score; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from snapgraph import scratch
 BLOCK, BATCH, CHUNK, LEVELS = 32_768, 4096, 2048, (4, 16)
 #: The share of open pairs above which a product of whole matrices is cheaper than one for each pair.
 DENSE = 1 / 16
+#: Stands for a null vec_id, behind all others.
+NONE = 2**63 - 1
 
 
 def _statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -126,10 +130,13 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256
     spark = embeddings.sparkSession
     wide = F.transform("embedding", lambda x: x.cast("double"))
     broken = F.exists(F.col("_v"), lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    vectors = embeddings.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long"), wide.alias("_v"))
+    vectors = embeddings.where("embedding IS NOT NULL").select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NONE)).alias("vec_id"), wide.alias("_v"))
     vectors = vectors.where(~F.coalesce(broken, F.lit(True))).select("vec_id", F.transform("_v", lambda x: F.floor(x * scale).cast("double")).alias("_v"))
+    shortest, longest = vectors.agg(F.min(F.size("_v")), F.max(F.size("_v"))).first()
+    if shortest != longest:
+        vectors = vectors.select("vec_id", F.concat("_v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("_v"))).alias("_v"))
     path = f"{scratch.folder(spark)}/topk-{uuid.uuid4().hex}"
-    asked = vectors.where(F.col("vec_id") % every == 0).groupBy("vec_id", "_v").agg(F.count("*").alias("copies"))
+    asked = vectors.where((F.col("vec_id") != NONE) & (F.col("vec_id") % every == 0)).groupBy("vec_id", "_v").agg(F.count("*").alias("copies"))
     asked = scratch.keep(asked, "asked")
     blocks = -(-asked.count() // BLOCK)
     block = F.pmod(F.xxhash64("vec_id", "_v"), F.lit(blocks or 1)).cast("int").alias("block")
@@ -165,14 +172,14 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256
 
         # what equals the query: all of its copies but itself are candidates
         copies = own.column(2).to_numpy()
-        norms = [int(sum(x * x for x in map(int, v))) for v in values]
-        again = [(q, int(ids[q]), norms[q]) for q in np.flatnonzero(copies > 1).tolist() for _ in range(min(k, int(copies[q]) - 1))]
+        norm = lambda v: sum(x * x for x in map(int, v))  # noqa: E731  of repeated rows only
+        again = [(q, int(ids[q]), norm(values[q])) for q in np.flatnonzero(copies > 1).tolist() for _ in range(min(k, int(copies[q]) - 1))]
         numbers = spark.createDataFrame([(q, int(ids[q]), int(copies[q])) for q in range(len(ids))], "query long, query_id long, copies long")
         found = vectors.mapInArrow(rows, "query long, vec_id long, score long").union(spark.createDataFrame(again, "query long, vec_id long, score long"))
         order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
         best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(F.broadcast(numbers), "query")
         best = best.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))  # equal rows have equal answers, one each
-        best.select("query_id", "rank", "vec_id", "score").write.parquet(f"{path}/{n}")
+        best.select("query_id", "rank", F.nullif("vec_id", F.lit(NONE)).alias("vec_id"), "score").write.parquet(f"{path}/{n}")
         sent.unpersist()
         paths.append(f"{path}/{n}")
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
@@ -182,11 +189,11 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, scale: float = 256
 SQL = """
 WITH c AS (
   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
   SELECT q.n, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
   FROM c q JOIN c ON q.n <> c.n WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -278,7 +278,7 @@ def spans_by_force(rows):
             own = []
             for j in range(i, len(sentences)):
                 own += sentences[j][1]
-                if len(own) >= (spans.WORDS if j > i else spans.LONG):
+                if j - i + 1 >= 4 or (j > i and len(own) >= 12):
                     key = " ".join(own)
                     first.setdefault(key, (d, t, i))
                     every.append((key, d, t, i, at[i], at[j + 1]))
@@ -297,7 +297,7 @@ def test_span_dedup(spark):
         df = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, removed int")
         got = {r.doc_id: r for r in spans.report(df).collect()}
         assert result((d, r.text) for d, r in got.items()) == result(spans_by_force(rows))
-        assert got[1000].n_removed == 0 and "p" not in got[1001].text.split(". ")[0] and got[1004].text.strip() == "Begin!"
+        assert got[1000].n_removed == 0 and "p" not in got[1001].text.split(". ")[0] and got[1004].n_removed == 0  # one sentence is no run
 
 
 def test_span_edge_cases(spark):
@@ -330,6 +330,15 @@ def test_all_runs_of_sentences(spark):
         assert got == dict(spans_by_force(rows))
 
 
+def test_short_runs_of_several_sentences(spark):
+    """Four short sentences go, three of few words stay, three of twelve words go; repeats within a text too."""
+    four, three, twelve = "Call now. Do not wait. It is free. Really.", "Yes. No. Maybe so.", "One two three four. Five six seven eight. Nine ten eleven twelve."
+    rows = [(1, f"Own first. {four} Own last. {three}"), (2, f"Another beginning. {four} Another end. {three}"), (3, f"Third beginning. {twelve} Third end."), (4, f"Fourth beginning. {twelve} Fourth end."), (5, f"{four} Between. {four}")]
+    got = {r.doc_id: r.text for r in spans.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(spans_by_force(rows))
+    assert got[2] == f"Another beginning. Another end. {three}" and got[4] == "Fourth beginning. Fourth end." and got[5].strip() == "Between."
+
+
 def test_frequent_boilerplate_weighs_little(spark):
     """Equal bodies below different frequent passages, 0.6 of all shingles, are near-duplicates by TF-IDF; equal passages alone are not."""
     passages = [" ".join(f"p{k}w{i}" for i in range(52)) for k in range(3)]

@@ -7,13 +7,13 @@ SCHEMA = "vec_id long, embedding array<float>, score string"
 
 
 def brute(rows, k=5, every=50):
-    clean = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    clean = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for n, (q, own) in enumerate(clean):
-        if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i) for m, (i, v) in enumerate(clean) if m != n)[:k]
-            out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
-    return sorted(out)
+        if q is not None and q % every == 0:
+            scored = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), i is None, i or 0) for m, (i, v) in enumerate(clean) if m != n)[:k]
+            out += [(q, rank + 1, None if none else i, -s) for rank, (s, none, i) in enumerate(scored)]
+    return sorted(out, key=repr)
 
 
 def run(spark, rows):
@@ -21,7 +21,7 @@ def run(spark, rows):
 
     rows = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect())
+    got = sorted(((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df).collect()), key=repr)
     assert got == brute(rows)
     return got
 
@@ -44,6 +44,13 @@ def test_edge_cases(spark):
     assert run(spark, [(50, [1.0])]) == []
 
 
+def test_ragged_vectors_and_null_ids(spark):
+    assert run(spark, [(0, [1.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0])]) == [(0, 1, 0, 65_536), (0, 1, 0, 65_536), (0, 2, 1, 32_768), (0, 2, 1, 32_768)]
+    assert run(spark, [(None, [2.0]), (0, [1.0]), (3, [2.0]), (None, [2.0])]) == [(0, 1, 3, 131_072), (0, 2, None, 131_072), (0, 3, None, 131_072)]
+    random.seed(7)
+    run(spark, [(random.choice([None, i, i, 50]), [random.choice([-1.0, 0.5, 0.0]) for _ in range(random.randrange(4))]) for i in range(150)])
+
+
 def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 2)
     random.seed(5)
