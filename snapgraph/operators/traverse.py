@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph import scratch
+from snapgraph.operators import positions
+from snapgraph.operators.rounds import Growing, sized_join
 from snapgraph.schemas import METHOD
 
 
@@ -33,63 +35,122 @@ def bfs(seeds: DataFrame, moves: DataFrame, depth: int | None = None) -> DataFra
     """(id, hop, direction) of everything within `depth` moves of the seeds (id); None is unlimited.
 
     direction is the side of first discovery: nodes of a hop in the order in
-    which they were found, downstream before upstream, edges in order.
+    which they were found, downstream before upstream, edges in order. A node's
+    place in its hop stands for the path by which it was found.
     """
     moves = scratch.keep(moves, "moves")
-    seen = scratch.keep(seeds.select("id", F.lit(0).alias("hop"), F.lit("focus").alias("direction"), F.lit("").alias("key")).distinct(), "seen")
-    frontier, hop = seen, 0
+    frontier = scratch.keep(seeds.select("id", F.lit(0).alias("hop"), F.lit("focus").alias("direction"), F.lit(0).cast("long").alias("place")).distinct(), "seen")
+    seen, hop = Growing(frontier, "seen"), 0
     while depth is None or hop < depth:
         hop += 1
-        # the path's key is longer by one part of fixed length with every hop, so keys of a hop compare part by part
-        part = F.concat_ws("|", "key", F.col("way").cast("string"), F.col("ord"))
-        found = frontier.join(moves, F.col("id") == F.col("at")).select(F.col("to").alias("id"), "way", part.alias("key"))
-        found = found.groupBy("id").agg(F.min(F.struct("key", "way")).alias("k")).join(seen.select("id"), "id", "left_anti")
-        found = found.select("id", F.lit(hop).alias("hop"), F.when(F.col("k.way") == 0, "downstream").otherwise("upstream").alias("direction"), F.col("k.key").alias("key"))
-        frontier = scratch.keep(found, "frontier")
-        if frontier.isEmpty():
+        found = frontier.join(moves, F.col("id") == F.col("at")).groupBy(F.col("to").alias("id")).agg(F.min(F.struct("place", "way", "ord")).alias("by"))
+        found = found.join(seen.all().select("id"), "id", "left_anti")
+        found = positions.number(found, [F.col("by"), F.col("id")], "nth")
+        found = found.select("id", F.lit(hop).alias("hop"), F.when(F.col("by.way") == 0, "downstream").otherwise("upstream").alias("direction"), F.col("nth").cast("long").alias("place"))
+        frontier = scratch.keep(found, "frontier", fewer=True)
+        n = frontier.count()
+        if not n:
             break
-        seen = scratch.keep(seen.union(frontier), "seen")
-    return seen.select("id", "hop", "direction")
+        seen.add(frontier, n)
+    return seen.all().select("id", "hop", "direction")
+
+
+def spread(seeds: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, block, mask): the bits that reach each node; from seeds (id, block, mask) over pairs (at, to, mask).
+
+    A bit goes over a pair whose mask holds it; `depth` limits the moves. 64
+    searches share a word, blocks of them go side by side. A round carries only
+    the bits that are new to a node, and what was found before is never written
+    again as a whole.
+    """
+    pairs = scratch.keep(pairs.select("at", "to", F.col("mask").alias("_by")), "pairs")
+    new = scratch.keep(seeds.groupBy("id", "block").agg(F.bit_or("mask").alias("mask")), "bits")
+    seen, hop = Growing(new, "bits"), 0
+    while depth is None or hop < depth:
+        hop += 1
+        found = new.join(pairs, F.col("id") == F.col("at")).select(F.col("to").alias("id"), "block", F.col("mask").bitwiseAND(F.col("_by")).alias("mask"))
+        found = found.where("mask <> 0").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
+        known = seen.all().withColumnRenamed("mask", "_had")
+        found = found.join(known, ["id", "block"], "left").groupBy("id", "block").agg(F.bit_or("mask").alias("mask"), F.bit_or("_had").alias("_had"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("_had", F.lit(0).cast("long"))))
+        new = scratch.keep(found.select("id", "block", fresh.alias("mask")).where("mask <> 0"), "bits", fewer=True)
+        n = new.count()
+        if not n:
+            break
+        seen.add(new, n)
+    return seen.all().groupBy("id", "block").agg(F.bit_or("mask").alias("mask"))
 
 
 def reach(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id) of all that the roots (id) reach over pairs (at, to), the roots included."""
-    return bfs(roots, pairs.select("at", "to", F.lit(0).alias("way"), F.lit("").alias("ord"))).select("id")
+    one = F.lit(1).cast("long")
+    return spread(roots.select("id", F.lit(0).alias("block"), one.alias("mask")), pairs.select("at", "to", one.alias("mask"))).select("id")
+
+
+#: Bits of the two channels of reachability.
+ALL, PROD = 1, 2
 
 
 def method_reachability(nodes: DataFrame, all_edges: DataFrame) -> DataFrame:
     """(id, channel) with channel 'all' or 'prod': the methods that something live calls, directly or not.
 
     Live are entry points, test methods (for 'all' only) and the targets of edges
-    from anything that is no method.
+    from anything that is no method. Both channels are bits of one search.
     """
     kinds = nodes.select("id", "type", "is_test", "entry_point_reason")
     methods = kinds.where(F.col("type") == METHOD)
-    into = all_edges.join(methods.select(F.col("id").alias("target")), "target", "left_semi")
+    into = all_edges.select("source", "target", (F.lit(ALL) + F.when(F.col("n_prod") > 0, PROD).otherwise(0)).cast("long").alias("mask"))
+    into = into.join(methods.select(F.col("id").alias("target")), "target", "left_semi")
     among = into.join(methods.select(F.col("id").alias("source")), "source", "left_semi")
     outside = into.join(methods.select(F.col("id").alias("source")), "source", "left_anti")
-    out = None
-    for channel in ("all", "prod"):
-        live = F.col("n_prod") > 0 if channel == "prod" else F.lit(True)
-        entry = methods.where(F.col("entry_point_reason").isNotNull() | (F.col("is_test") if channel == "all" else F.lit(False)))
-        roots = entry.select("id").union(outside.where(live).select(F.col("target").alias("id"))).distinct()
-        found = reach(roots, among.where(live).select(F.col("source").alias("at"), F.col("target").alias("to"))).withColumn("channel", F.lit(channel))
-        out = found if out is None else out.union(found)
-    return out
+    entry = F.when(F.col("entry_point_reason").isNotNull(), ALL + PROD).when(F.col("is_test"), ALL).otherwise(0).cast("long")
+    roots = methods.select("id", entry.alias("mask")).where("mask <> 0").union(outside.select("target", "mask"))
+    found = spread(roots.select("id", F.lit(0).alias("block"), "mask"), among.select(F.col("source").alias("at"), F.col("target").alias("to"), "mask"))
+    bits = F.array_compact(F.array(F.when(F.col("mask").bitwiseAND(ALL) != 0, "all"), F.when(F.col("mask").bitwiseAND(PROD) != 0, "prod")))
+    return found.select("id", F.explode(bits).alias("channel"))
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, block, mask) of sources: each its own bit of a block of 64."""
+    placed = positions.number(ids.select("id").distinct(), [F.col("id")])
+    return scratch.keep(placed.select("id", F.floor(F.col("place") / 64).cast("long").alias("block"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("mask")), "sources")
+
+
+def by_source(found: DataFrame, sources: DataFrame, name: str) -> DataFrame:
+    """(id, name): how many rows of (block, mask) hold each source's bit; sources: see `numbered`. Bits are counted in place, not unfolded."""
+    counts = found.groupBy("block").agg(F.array(*[F.sum(F.shiftrightunsigned("mask", k).bitwiseAND(F.lit(1).cast("long"))) for k in range(64)]).alias("_counts"))
+    bit = F.expr("cast(log2(cast(shiftrightunsigned(mask, 1) as double) * 2 + (mask & 1L)) + 0.5 as int)")
+    return sources.join(counts, "block", "left").select("id", F.coalesce(F.get("_counts", bit), F.lit(0)).cast("long").alias(name))
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """One half of a round of contraction over edges (a, b) with a > b.
+
+    large: every node's larger neighbours move to the least of the node and its
+    neighbours; else its smaller neighbours and itself move to the least of them.
+    """
+    if large:
+        edges = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("least"), F.count("*").alias("n"))
+    least = scratch.keep(near.select("u", F.least("u", "least").alias("least"), "n"), "least", fewer=True)
+    moved = sized_join(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), least, "u", "n")
+    pairs = moved.where("v > u").select(F.col("v").alias("a"), F.col("least").alias("b")) if large else moved.where("v <> least").select("v", "least").union(least.select("u", "least"))
+    return scratch.keep(pairs.toDF("a", "b").where("a <> b").distinct(), "stars")
 
 
 def components(ids: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, component) of an undirected graph: the smallest id of each node's component; nodes without edges are their own.
 
-    Labels go over edges, then labels of labels, so long chains take few rounds.
+    Alternating contractions to stars; a hub's edges are never brought into one
+    task, and the rounds grow with the logarithm of the longest path.
     """
-    both = scratch.keep(pairs.select("at", "to").union(pairs.select(F.col("to").alias("at"), F.col("at").alias("to"))).where("at <> to").distinct(), "both")
-    labels = scratch.keep(ids.select("id", F.col("id").alias("component")).distinct(), "labels")
-    while True:
-        near = both.join(labels, F.col("to") == F.col("id")).groupBy("at").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("id") == F.col("at"), "left").select("id", F.least("component", "near").alias("low"), "component")
-        jump = labels.select(F.col("id").alias("low"), F.col("component").alias("over"))
-        after = scratch.keep(low.join(jump, "low", "left").select("id", F.least("low", "over").alias("component"), F.col("component").alias("was")), "labels")
-        if after.where("component <> was").isEmpty():
-            return after.select("id", "component")
-        labels = after.select("id", "component")
+    edges = scratch.keep(pairs.where("at <> to").select(F.greatest("at", "to").alias("a"), F.least("at", "to").alias("b")).distinct(), "stars")
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+
+    was, now = None, state(edges)
+    while was != now:
+        edges = _star(_star(edges, True), False)
+        was, now = now, state(edges)
+    return ids.select("id").distinct().join(edges, F.col("id") == F.col("a"), "left").select("id", F.coalesce("b", "id").alias("component"))

@@ -15,7 +15,7 @@ from snapgraph.adapters import BUNDLES_SQL, GRAPH_SQL, MARKS_SQL, ORDERS_SQL, PA
 from snapgraph.catalog import oracle_sql, queries, query
 from snapgraph.functions import text
 from snapgraph.functions.difflines import diff_opcodes
-from snapgraph.operators import diff, graph, traverse, trees
+from snapgraph.operators import diff, graph, intervals, positions, traverse, trees
 from snapgraph.plans import views
 from snapgraph.plans.gate import Gate, NotReady
 from snapgraph.schemas import METHOD, class_key
@@ -556,11 +556,31 @@ def hotspots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.hotspots(order_graph(spark, sf_dir)[0], 12).select("id", "degree")
 
 
+@query(f"WITH {GRAPH_SQL} SELECT id, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) - 1 AS place FROM nodes")
+def node_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node's place in the order of degrees."""
+    nodes = order_graph(spark, sf_dir)[0].select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    return positions.number(nodes, [F.col("degree").desc(), F.col("id")]).select("id", "place")
+
+
+@query(f"WITH {GRAPH_SQL}, p AS (SELECT id, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) - 1 AS place FROM nodes) SELECT id, place FROM p WHERE place BETWEEN 1000 AND 1049")
+def node_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty rows of the list of nodes, from the thousandth on, out of an index by place."""
+    nodes = order_graph(spark, sf_dir)[0].select("id", (F.col("in_degree") + F.col("out_degree")).alias("degree"))
+    return positions.page(positions.index(nodes, [F.col("degree").desc(), F.col("id")]), 1000, 50).select("id", "place")
+
+
 @query(f"WITH {GRAPH_SQL} SELECT id, name FROM nodes WHERE in_degree = 0 AND out_degree = 0")
 def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.isolated(order_graph(spark, sf_dir)[0]).select("id", "name")
 
 
+@query(f"WITH {GRAPH_SQL} SELECT id, name FROM nodes WHERE prod_in_degree = 0 AND prod_out_degree = 0")
+def isolated_without_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that nothing is tied to where tests are hidden."""
+    return views.isolated(views.shown_degrees(order_graph(spark, sf_dir)[0], False)).select("id", "name")
+
+
 @query(f"WITH {GRAPH_SQL} SELECT type, count(*) AS n FROM nodes GROUP BY type")
 def nodes_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.nodes_by_type(order_graph(spark, sf_dir)[0])
@@ -637,6 +657,26 @@ def verify_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.blast_radius(*order_graph(spark, sf_dir)[:2], FOCUS)[0].agg(F.count("*").alias("shown"), F.count_if(~F.col("verified")).alias("unverified"))
 
 
+_IMPACT = f"""WITH RECURSIVE {GRAPH_SQL},
+cl AS (SELECT id FROM nodes WHERE type = 'apex_class' AND NOT is_test),
+ok AS (SELECT id FROM nodes WHERE NOT is_test AND type <> 'apex_method'),
+md AS (SELECT id, parent_id FROM nodes WHERE NOT is_test AND type = 'apex_method'),
+mv AS (SELECT source AS a, target AS b FROM edges WHERE n_prod > 0 UNION ALL SELECT target, source FROM edges WHERE n_prod > 0),
+mr AS (SELECT source AS a, target AS b FROM edges WHERE n_prod > 0 AND kind NOT IN ('possible_override', 'possible_implementation')),
+mm AS (SELECT a, b FROM mr UNION ALL SELECT b, a FROM mr),
+h0 AS (SELECT id AS src, id FROM cl), h1 AS (SELECT src, id FROM h0 UNION SELECT src, b FROM h0 JOIN mv ON id = a JOIN ok ON ok.id = b), h2 AS (SELECT src, id FROM h1 UNION SELECT src, b FROM h1 JOIN mv ON id = a JOIN ok ON ok.id = b),
+q0 AS (SELECT cl.id AS src, md.id FROM cl JOIN md ON parent_id = cl.id UNION SELECT cl.id, md.id FROM cl JOIN mr ON a = cl.id JOIN md ON md.id = b),
+nt AS (SELECT id FROM nodes WHERE NOT is_test),
+q1 AS (SELECT src, id FROM q0 UNION SELECT src, b FROM q0 JOIN mm ON id = a JOIN nt ON nt.id = b), q2 AS (SELECT src, id FROM q1 UNION SELECT src, b FROM q1 JOIN mm ON id = a JOIN nt ON nt.id = b),
+vf AS (SELECT DISTINCT src, coalesce(parent_id, nodes.id) AS id FROM q2 JOIN nodes USING (id) UNION SELECT id, id FROM cl)"""
+
+
+@query(f"{_IMPACT} SELECT src AS id, count(*) AS shown, count(*) FILTER (vf.src IS NOT NULL) AS verified FROM h2 LEFT JOIN vf USING (src, id) GROUP BY src")
+def impact_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every class how many nodes lie within two hops, and how many of them a chain of calls verifies."""
+    return views.impact_sizes(*order_graph(spark, sf_dir)[:2])
+
+
 @query(f"WITH RECURSIVE {MARKS_SQL} SELECT id, 'all' AS channel FROM (SELECT DISTINCT id FROM r_all) UNION ALL SELECT id, 'prod' FROM (SELECT DISTINCT id FROM r_prod)")
 def reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.method_reachability(*order_graph(spark, sf_dir)[:2])
@@ -752,14 +792,14 @@ def subclass_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 _IMPLEMENTERS = f"WITH RECURSIVE {_STEPS}, cl AS (SELECT base, derived FROM st UNION SELECT cl.base, st.derived FROM cl JOIN st ON cl.derived = st.base), im AS (SELECT 'plan' || (n_nationkey % 4) AS base, 'nation' || n_nationkey AS derived FROM nation), fo AS (SELECT base, derived FROM im UNION SELECT im.base, cl.derived FROM im JOIN cl ON im.derived = cl.base)"
 
 
-def _implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    direct = table(spark, sf_dir, "nation").select(F.concat(F.lit("plan"), (F.col("n_nationkey") % 4).cast("string")).alias("base"), F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("derived"))
-    return graph.implementers(direct, graph.closure(_steps(spark, sf_dir)))
+def _plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.concat(F.lit("plan"), (F.col("n_nationkey") % 4).cast("string")).alias("base"), F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("derived"))
 
 
 @query(f"{_IMPLEMENTERS} SELECT base, derived FROM fo")
 def interface_implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _implementers(spark, sf_dir)
+    found = intervals.build(_steps(spark, sf_dir))
+    return intervals.pairs(found, intervals.implementers(found, _plans(spark, sf_dir)))
 
 
 @query(f"{_IMPLEMENTERS} SELECT base AS target_class, derived, 'possible_implementation' AS kind, 'supplier' || s_suppkey || '::run!1' AS target_method FROM fo JOIN supplier ON derived = 'supplier' || s_suppkey WHERE s_suppkey % 2 = 0 UNION ALL SELECT base, derived, 'possible_override', 'supplier' || s_suppkey || '::run!1' FROM (SELECT * FROM cl WHERE base LIKE 'region%') JOIN supplier ON derived = 'supplier' || s_suppkey WHERE s_suppkey % 4 = 0")
@@ -768,10 +808,11 @@ def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     name = F.concat(F.lit("supplier"), F.col("s_suppkey").cast("string"))
     methods = s.select(name.alias("class_id"), F.lit("Run").alias("name"), (F.col("s_suppkey") % 2 + 1).cast("int").alias("arity"), F.concat(name, F.lit("::run!"), (F.col("s_suppkey") % 2 + 1).cast("string")).alias("method_id"), (F.col("s_suppkey") % 4 == 0).alias("is_override"))
-    below = graph.closure(_steps(spark, sf_dir)).where("base like 'region%'").withColumn("via", F.lit("extends"))
-    subtypes = _implementers(spark, sf_dir).withColumn("via", F.lit("implements")).union(below)
-    calls = subtypes.select(F.col("base").alias("target_class")).distinct().withColumns({"callee": F.lit("run"), "callee_arity": F.lit(1), "exact_type": F.lit(False)})
-    return graph.fan_out(calls, subtypes, methods).select("target_class", "derived", "kind", "target_method")
+    found, plans = intervals.build(_steps(spark, sf_dir)), _plans(spark, sf_dir)
+    regions = table(spark, sf_dir, "region").select(F.concat(F.lit("region"), F.col("r_regionkey").cast("string")).alias("id"))
+    calls = regions.union(plans.select("base").distinct()).select(F.col("id").alias("target_class"), F.lit("run").alias("callee"), F.lit(1).alias("callee_arity"), F.lit(False).alias("exact_type"))
+    ranges = intervals.implementers(found, plans).withColumn("via", F.lit("implements")).union(intervals.subclasses(found, regions).withColumn("via", F.lit("extends")))
+    return intervals.fan_out(found, calls, ranges, methods).select("target_class", "derived", "kind", "target_method")
 
 
 @query(
