@@ -15,7 +15,8 @@ from snapgraph.adapters import BUNDLES_SQL, GRAPH_SQL, MARKS_SQL, ORDERS_SQL, PA
 from snapgraph.catalog import oracle_sql, queries, query
 from snapgraph.functions import text
 from snapgraph.functions.difflines import diff_opcodes
-from snapgraph.operators import diff, graph, intervals, positions, traverse, trees
+from snapgraph.operators import diff, graph, intervals, positions, search, traverse, trees
+from snapgraph.operators import stored as stored_rows
 from snapgraph.plans import views
 from snapgraph.plans.gate import Gate, NotReady
 from snapgraph.schemas import METHOD, class_key
@@ -611,6 +612,26 @@ def resolve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.resolve_many(order_graph(spark, sf_dir)[0], wanted)
 
 
+_PARTS = "q AS (SELECT DISTINCT upper(substr(n_name, k, 4)) AS wanted FROM nation, (SELECT unnest(range(1, 12)) AS k) WHERE substr(n_name, k, 4) <> '' UNION SELECT ' LIER1' UNION SELECT 'zzzz' UNION SELECT 'er1' UNION SELECT '')"
+
+
+@query(f"WITH {GRAPH_SQL}, {_PARTS} SELECT wanted, id FROM q JOIN nodes ON trim(wanted) <> '' AND contains(lower(name), lower(trim(wanted)))")
+def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes whose name holds one of many parts: every run of up to four characters of the nations' names, and others."""
+    index = search.build(order_graph(spark, sf_dir)[0].select("id", "name"))
+    at = F.explode(F.sequence(F.lit(1), F.lit(11))).alias("k")
+    parts = table(spark, sf_dir, "nation").select("n_name", at).select(F.upper(F.substring("n_name", F.col("k"), F.lit(4))).alias("wanted")).where("wanted <> ''")
+    return search.find(index, parts.union(spark.createDataFrame([(" LIER1",), ("zzzz",), ("er1",), ("",)], "wanted string")))
+
+
+@query(f"WITH {ORDERS_SQL} SELECT key, name, status, content_a, content_b FROM d WHERE key LIKE '%0007'")
+def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders looked up by key in a comparison that is stored by key."""
+    stored = stored_rows.store(_compared(spark, sf_dir).select("key", "name", "status", "content_a", "content_b"), "key")
+    asked = table(spark, sf_dir, "orders").where("o_orderkey % 10000 = 7").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"))
+    return stored_rows.look_up(stored, asked, "key")
+
+
 _BFS = f"""WITH RECURSIVE {GRAPH_SQL},
 mv AS (SELECT source AS a, target AS b FROM edges WHERE n_prod > 0 UNION ALL SELECT target, source FROM edges WHERE n_prod > 0),
 ok AS (SELECT id FROM nodes WHERE NOT is_test AND type <> 'apex_method'),

@@ -32,8 +32,8 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def keep(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
-    """Write df once under a fresh path and return the written table.
+def keep(df: DataFrame, name: str, fewer: bool = False, options: dict[str, str] | None = None) -> DataFrame:
+    """Write df once under a fresh path and return the written table; options: further ones of the writer.
 
     fewer: dealt anew after it is computed, into as many files as its size asks for; for
     narrow tables much smaller than what they are made of, unless a shuffle ends their plan anyway.
@@ -42,7 +42,7 @@ def keep(df: DataFrame, name: str, fewer: bool = False) -> DataFrame:
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if fewer:
         df = df.hint("rebalance")
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
