@@ -26,20 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def order_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots of orders: one side lacks every 13th, the other every 11th, where every 7th has a second line."""
+    """Two snapshots of orders: one side lacks every 13th, the other every 11th that the first has, where every 7th has a second line."""
     key = F.lpad(F.col("o_orderkey").cast("string"), 9, "0")
     content = F.concat_ws("|", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd"))
     orders = table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"), content.alias("content"))
     a = orders.where("o_orderkey % 13 <> 0").select("key", F.concat(F.lit("Order"), "key").alias("name"), "content")
     changed = F.when(F.col("o_orderkey") % 7 == 0, F.concat("content", F.lit("\nchanged"))).otherwise(F.col("content"))
-    b = orders.where("o_orderkey % 11 <> 0").select("key", F.concat(F.lit("order"), "key").alias("name"), changed.alias("content"))
+    b = orders.where("o_orderkey % 11 <> 0 or o_orderkey % 13 = 0").select("key", F.concat(F.lit("order"), "key").alias("name"), changed.alias("content"))
     return a, b
 
 
 ORDERS_SQL = """
 o AS (SELECT o_orderkey AS k, lpad(o_orderkey::VARCHAR, 9, '0') AS key, concat_ws('|', o_orderstatus, o_orderpriority, strftime(o_orderdate, '%Y-%m-%d')) AS content FROM orders),
 a AS (SELECT key, 'Order' || key AS name, content FROM o WHERE k % 13 <> 0),
-b AS (SELECT key, 'order' || key AS name, CASE WHEN k % 7 = 0 THEN content || chr(10) || 'changed' ELSE content END AS content FROM o WHERE k % 11 <> 0),
+b AS (SELECT key, 'order' || key AS name, CASE WHEN k % 7 = 0 THEN content || chr(10) || 'changed' ELSE content END AS content FROM o WHERE k % 11 <> 0 OR k % 13 = 0),
 d AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.name, b.name) AS name, a.key IS NOT NULL AS in_org_a, b.key IS NOT NULL AS in_org_b,
   CASE WHEN b.key IS NULL THEN 'only_in_org_a' WHEN a.key IS NULL THEN 'only_in_org_b' WHEN a.content = b.content THEN 'identical' ELSE 'modified' END AS status,
   a.content AS content_a, b.content AS content_b FROM a FULL OUTER JOIN b ON a.key = b.key)
@@ -47,19 +47,19 @@ d AS (SELECT coalesce(a.key, b.key) AS key, coalesce(a.name, b.name) AS name, a.
 
 
 def bundle_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Two snapshots of conversations as bundles of turns."""
+    """Two snapshots of conversations as bundles of turns; every turn is in one of them at least."""
     c = table(spark, sf_dir, "conversations").withColumns({"mark": F.col("conv_id") * 31 + F.col("turn"), "bundle_key": F.lpad(F.col("conv_id").cast("string"), 8, "0"), "file_key": F.lpad(F.col("turn").cast("string"), 4, "0")})
     c = c.select("*", F.concat(F.lit("turn"), "file_key").alias("name"), F.col("text").alias("content"))
     a = c.where("mark % 11 <> 0 and conv_id % 9 <> 0").select("bundle_key", "file_key", "name", "content")
     changed = F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, F.upper("content")).otherwise(F.col("content"))
-    b = c.where("mark % 17 <> 0 and conv_id % 10 <> 0").select("bundle_key", "file_key", "name", changed.alias("content"))
+    b = c.where("(mark % 17 <> 0 and conv_id % 10 <> 0) or mark % 11 = 0 or conv_id % 9 = 0").select("bundle_key", "file_key", "name", changed.alias("content"))
     return a, b
 
 
 BUNDLES_SQL = """
 c AS (SELECT *, conv_id * 31 + turn AS mark, lpad(conv_id::VARCHAR, 8, '0') AS bundle_key, lpad(turn::VARCHAR, 4, '0') AS file_key FROM conversations),
 a AS (SELECT bundle_key, file_key, text AS content FROM c WHERE mark % 11 <> 0 AND conv_id % 9 <> 0),
-b AS (SELECT bundle_key, file_key, CASE WHEN (conv_id + turn) % 5 = 0 THEN upper(text) ELSE text END AS content FROM c WHERE mark % 17 <> 0 AND conv_id % 10 <> 0),
+b AS (SELECT bundle_key, file_key, CASE WHEN (conv_id + turn) % 5 = 0 THEN upper(text) ELSE text END AS content FROM c WHERE (mark % 17 <> 0 AND conv_id % 10 <> 0) OR mark % 11 = 0 OR conv_id % 9 = 0),
 f AS (SELECT coalesce(a.bundle_key, b.bundle_key) AS bundle_key, coalesce(a.file_key, b.file_key) AS file_key, 'turn' || coalesce(a.file_key, b.file_key) AS name,
   CASE WHEN b.file_key IS NULL THEN 'only_in_org_a' WHEN a.file_key IS NULL THEN 'only_in_org_b' WHEN a.content = b.content THEN 'identical' ELSE 'modified' END AS status
   FROM a FULL OUTER JOIN b ON a.bundle_key = b.bundle_key AND a.file_key = b.file_key)

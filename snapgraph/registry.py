@@ -624,11 +624,11 @@ def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.find(index, parts.union(spark.createDataFrame([(" LIER1",), ("zzzz",), ("er1",), ("",)], "wanted string")))
 
 
-@query(f"WITH {ORDERS_SQL} SELECT key, name, status, content_a, content_b FROM d WHERE key LIKE '%0007'")
+@query(f"WITH {ORDERS_SQL} SELECT key, name, status, content_a, content_b FROM d WHERE key IN (SELECT lpad(s_suppkey::VARCHAR, 9, '0') FROM supplier)")
 def stored_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders looked up by key in a comparison that is stored by key."""
+    """The orders that bear a supplier's number, looked up in a comparison that is stored by key."""
     stored = stored_rows.store(_compared(spark, sf_dir).select("key", "name", "status", "content_a", "content_b"), "key")
-    asked = table(spark, sf_dir, "orders").where("o_orderkey % 10000 = 7").select(F.lpad(F.col("o_orderkey").cast("string"), 9, "0").alias("key"))
+    asked = table(spark, sf_dir, "supplier").select(F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("key"))
     return stored_rows.look_up(stored, asked, "key")
 
 
