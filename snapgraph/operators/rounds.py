@@ -44,11 +44,11 @@ def sized_join(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFra
     Keys of 1 / HOT of all these rows or more, HOT of them at most, are sent to
     every task, so no task gets a hot key's rows; the others are shuffled.
     """
-    total = table.agg(F.sum(size)).first()[0] or 0
+    total, most = table.agg(F.sum(size), F.max(size)).first()
+    if not total or most <= 1 or most * HOT < total:
+        return rows.join(table, on)
     hot = F.col(size) * HOT >= total
     heavy = table.where(hot & (F.col(size) > 1))
-    if heavy.isEmpty():
-        return rows.join(table, on)
     heavy = F.broadcast(heavy)
     rest = table.where(~hot | (F.col(size) <= 1))
     return rows.join(heavy, on).union(rows.join(heavy, on, "left_anti").join(rest, on))
