@@ -285,3 +285,15 @@ def test_scripts_and_templates(spark):
     ]
     got = [(r.file_seq, r.target, r.kind, r.line, r.detail, r.snippet) for r in org.template_references(parts, components).orderBy("occ_seq").collect()]
     assert got == [(2, "lwc:mykid", "composition", 1, "<c-my-kid>", "<c-my-kid></c-my-kid><C-my-kid-/>"), (2, "lwc:mykid", "composition", 3, "<c-my-kid>", "--> <c-my-kid>")]
+
+
+def test_counted_edges_equal_those_of_occurrences(spark, built):
+    """Fan-out by rules gives the edges of all occurrences, where sources have one rule, several, or refer to a target otherwise."""
+    columns = ["source", "target", "kind", "n_occ", "n_prod", "kind_prod", "first_ord"]
+    assert sorted(map(tuple, built.counted.select(*columns).collect()), key=repr) == sorted(map(tuple, built.edges.select(*columns).collect()), key=repr)
+
+
+def test_nodes_and_counts_make_no_occurrences(spark, folder):
+    found = org.build(tree.read_tree(spark, folder))
+    found.names.count(), found.summary().count(), found.counted.count()
+    assert not {"occurrences", "edges", "nodes"} & set(vars(found))
