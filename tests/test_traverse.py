@@ -76,3 +76,23 @@ def test_hot_keys_are_joined_apart(spark, monkeypatch):
     joined = rounds.sized_join(rows, table, "k", "n")
     assert sorted(tuple(r) for r in joined.select("k", "v", "top").collect()) == sorted(tuple(r) for r in rows.join(table, "k").select("k", "v", "top").collect())
     assert "Union" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_wide_words_count_what_single_words_count(spark):
+    """More searches than a row of words holds, each to its own count."""
+    from pyspark.sql import functions as F
+
+    from snapgraph.operators import traverse
+
+    n = 700
+    sources = traverse.numbered(spark.range(n).select(F.format_string("n%04d", "id").alias("id")))
+    moves = [(f"n{i:04}", f"n{j:04}", -1) for i in range(n) for j in (i + 1, i * 7 % n) if j < n]
+    pairs = spark.createDataFrame(moves, "at string, to string, mask long")
+    found = traverse.spread(traverse.wide(sources), pairs, 2, traverse.wide_masks())
+    assert found.select("block").distinct().count() == 2
+    got = {r.id: r.shown for r in traverse.by_source(traverse.narrow(found), sources, "shown").collect()}
+    to = {}
+    for a, b, _ in moves:
+        to.setdefault(a, set()).add(b)
+    one = {a: {a} | to.get(a, set()) for a in (f"n{i:04}" for i in range(n))}
+    assert got == {a: len(set().union(*(one[b] for b in one[a]))) for a in one}
