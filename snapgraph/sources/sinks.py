@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapgraph import scratch
 from snapgraph.functions.difflines import opcodes
 from snapgraph.schemas import IDENTICAL, MODIFIED, ONLY_A, ONLY_B
 from snapgraph.sources import ordered
@@ -116,13 +117,18 @@ def page_lines(title: str, head: object, relations: dict[str, DataFrame]) -> Dat
     """(section, place, line): a self-contained page, small data as JSON in its head and one line of JSON for each row of the relations."""
     out = None
     for name, df in relations.items():
-        rows = json_rows(df).select(F.concat(F.lit(f"{name} "), "json").alias("place"), F.concat(F.lit(f'<script type="application/json" class="{name}">'), F.replace("json", F.lit("</"), F.lit("<\\/")), F.lit("</script>")).alias("line"))
+        rows = json_rows(df).select(F.concat(F.lit(f"{name} "), "json").alias("place"), F.lit(None).cast("string").alias("line"))
         out = rows if out is None else out.union(rows)
-    return _sections(out.sparkSession, (page(title, head),), out, ("</html>",))
+    lines = _sections(out.sparkSession, (page(title, head),), out, ("</html>",))
+    # rows are sorted by their JSON alone, and lines made of it behind the sort
+    name, data = F.substring_index("place", " ", 1), F.expr("substring(place, instr(place, ' ') + 1)")
+    row = F.concat(F.lit('<script type="application/json" class="'), name, F.lit('">'), F.replace(data, F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+    return lines.select("section", "place", F.when(F.col("section") == 1, row).otherwise(F.col("line")).alias("line"))
 
 
 def blast_page(nodes: DataFrame, edges: DataFrame, focus: dict, depth: int | None, direction: str) -> DataFrame:
     """The page of a node's surroundings (see `views.blast_radius`): focus, depth, direction and summary in its head, nodes and edges as rows."""
+    nodes, edges = scratch.keep(nodes, "page"), scratch.keep(edges, "page")  # counted, sampled for the sort, and sorted
     counts = {"total_nodes": nodes.count(), "total_edges": edges.count(), "unresolved_reference_count": 0}
     head = {"summary": counts, "focus": focus["id"], "depth": "all" if depth is None else depth, "direction": direction}
     return page_lines(f"Blast Radius — {focus['name']}", head, {"nodes": nodes, "edges": edges})

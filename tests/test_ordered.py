@@ -73,3 +73,13 @@ def test_manifest_and_export_files(spark, tmp_path):
     assert "(2 items)" in rows[0] and '"total": 2' in rows[0] and rows[-2:] == ["</html>", ""]
     data = [json.loads(r.split(">", 1)[1].rsplit("</script>", 1)[0]) for r in rows[1:-2]]
     assert [d["key"] for d in data] == ["k1", "k2", "k1", "k2"] and data[2]["content_a"] == "a</script>" and "</script" not in rows[3].split(">", 1)[1].rsplit("</script>", 1)[0]
+
+
+def test_pages_sort_their_rows_once(spark):
+    """A page's rows go through the sort as JSON alone; a closing tag in them can't end the script."""
+    from snapgraph.sources import sinks
+
+    lines = sinks.page_lines("t", {}, {"rows": spark.createDataFrame([("b </script> c",), ("a",)], "x string")})
+    assert [r.line for r in lines.where("section = 1").collect()] == ['<script type="application/json" class="rows">{"x":"a"}</script>', '<script type="application/json" class="rows">{"x":"b <\\/script> c"}</script>']
+    exchange = next(x for x in lines._jdf.queryExecution().optimizedPlan().toString().split("Sort ")[1:])
+    assert "<script type" not in exchange
