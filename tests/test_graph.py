@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from snapgraph.operators import graph, traverse
 from snapgraph.plans import views
@@ -103,3 +104,12 @@ def test_visible_nodes_and_focus(spark):
     around = nodes.where("id <> 'c'").select("id")
     assert {r.id for r in views.visible(nodes, 99, search="zzz", focused=around, focus_id="b").collect()} == {"b"}
     assert {r.id for r in views.visible(nodes, 99, focused=around, focus_id="b").collect()} == {"a", "b"}
+
+
+def test_kinds_side_by_side_give_the_same_edges(spark):
+    kinds = ["possible_override", "static_call", "self_call"]
+    rows = [(i % 5, i % 3, (i * 7 + i // 4) % 3, i * 37 % 60, i % 4 == 0) for i in range(60)] + [(9, 9, 0, 100, True), (9, 9, 2, 101, True), (8, None, 0, 102, False)]
+    occurrences = spark.createDataFrame(rows, "source long, target long, kind int, ord long, is_test boolean")
+    named = occurrences.withColumn("kind", F.element_at(F.array(*map(F.lit, kinds)), F.col("kind") + 1))
+    found = graph.numbered_edges(occurrences, ("source", "target"), [F.lit(k) for k in kinds])
+    assert sorted(map(str, found.collect())) == sorted(map(str, graph.edges(named).select(found.columns).collect()))
