@@ -91,7 +91,8 @@ def elements(texts: pa.Array) -> lsh.Sets:
     """Each text's distinct shingles, sorted, with equal weights."""
     hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for n, h, owner in _hashed(texts):
-        order = np.lexsort((h, owner))
+        order = np.argsort(h)
+        order = order[np.argsort(owner[order].astype(np.uint16) if n <= 1 << 16 else owner[order], kind="stable")]  # by radix where owners are short
         h = h[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])

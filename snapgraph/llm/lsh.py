@@ -116,7 +116,7 @@ def jaccard(left: Sets, right: Sets, partner: np.ndarray) -> np.ndarray:
     """The weighted Jaccard similarity of each of `right` to its partner in `left`; 1 if both are empty."""
     h, w, ptr = left
     key = _keyed(h, _owners(ptr))
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)  # keys of one set are distinct
     key, weight = key[order], w[order]
     n = len(right[2]) - 1
     owner = _owners(right[2])
