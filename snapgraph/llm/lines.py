@@ -174,11 +174,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     places = signed.select("node", place.alias("place"))
     per = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     rooted = lsh.lookup(per, labels, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first")
-    rooted = scratch.keep(rooted, "rooted", fewer=True)
-    stays = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("stays")), "stays")
-    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), stays, "root", "inner").select("node", "stays"), "special", fewer=True)
+    most = scratch.tasks(docs.sparkSession, signed.count())  # of tables with a row a line at most
+    rooted = scratch.keep(rooted, "rooted", most=most)
+    stays = scratch.keep(rooted.groupBy("root").agg(F.min("first").alias("stays")), "stays", most=most)
+    special = scratch.keep(lsh.lookup(rooted.select("node", "root"), stays, "root", "inner").select("node", "stays"), "special", most=most)
     spare = lsh.lookup(places, special, "node", "inner").where("place <> stays").select("place.*")
-    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed")
+    return scratch.keep(spare.groupBy("doc", "text_hash").agg(F.collect_set("line_no").alias("removed")), "removed", most=most)
 
 
 def _without(docs: DataFrame) -> DataFrame:

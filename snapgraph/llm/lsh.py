@@ -96,11 +96,11 @@ def stars(signatures: DataFrame) -> DataFrame:
     dealt = rows.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
     runs = scratch.keep(dealt.mapInArrow(_runs, "band long, pivot long, node long, piece boolean"), "runs")
     # a bucket may go on in the next partitions; two rows a partition tell of that, so the table of heads is small
-    pieces = runs.where("piece").select("band", "pivot").distinct()
-    heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    across = pieces.join(heads, "band").where("pivot <> head").select(F.col("head").alias("a"), F.col("pivot").alias("b"))
-    within = runs.where("not piece").join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
-    return scratch.keep(within.where("a <> b").union(across).distinct(), "stars")
+    pieces = runs.where("piece")
+    heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.max("pivot").alias("high")).where("head <> high").drop("high")
+    # a piece of a bucket that goes on is a member like the others
+    pairs = runs.join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
+    return scratch.keep(pairs.where("a <> b").distinct(), "stars", most=scratch.tasks(signatures.sparkSession, runs.count()))
 
 
 def _keyed(h: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame
     The rows of an item a that is compared often are split over tasks; each task
     reads a's text once, then streams the others'.
     """
-    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per")
+    per = scratch.keep(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).cast("int").alias("salts")), "per", most=scratch.tasks(pairs.sparkSession, pairs.count()))
     named = texts.select(F.col("node"), "text")
     left = per.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     left = left.join(named, F.col("a") == F.col("node")).select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
@@ -178,12 +178,12 @@ def compare(pairs: DataFrame, texts: DataFrame, elements: Elements) -> DataFrame
 BLOCK, BYTES, COLUMNS, CENTRAL = 1024, 16 << 20, 2048, 1024
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _open(members: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """(pivot, node, similarity, root) of the pivots whose other members are in different components, written."""
     placed = lookup(members.select("pivot", "node", "similarity"), labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    placed = scratch.keep(placed, "placed", fewer=True)
+    placed = scratch.keep(placed, "placed", most=most)
     apart = placed.groupBy("pivot").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("pivot")
-    return scratch.keep(lookup(placed, scratch.keep(apart, "apart"), "pivot", "left_semi"), "open", fewer=True)
+    return scratch.keep(lookup(placed, scratch.keep(apart, "apart", most=most), "pivot", "left_semi"), "open", most=most)
 
 
 def _bounds(sets: Sets, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -243,7 +243,8 @@ def joins(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float, roo
 def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold: float) -> DataFrame:
     """(a, b): links that join components, from members (pivot, node, root) of groups; at most one a member and block."""
     sized = members.join(texts.select("node", F.octet_length("text").alias("size")), "node")
-    per = scratch.keep(sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks")), "per")
+    per = sized.groupBy("pivot").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BYTES)).cast("int").alias("blocks"))
+    per = scratch.keep(per, "per", most=scratch.tasks(members.sparkSession, members.count()))
     rows = lookup(members, per, "pivot", "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts.select("node", "text"), "node")
     rows = rows.select("pivot", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "text")
@@ -287,29 +288,45 @@ def _blocks(members: DataFrame, texts: DataFrame, elements: Elements, threshold:
     return dealt.mapInArrow(match, "a long, b long")
 
 
+def joined(labels: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """(node, root), written, of components (node, root) and further links (a, b) between their nodes or others.
+
+    Only the components that links join are sought anew, each by its root.
+    """
+    roots = labels.select("node", "root")
+    for side in ("a", "b"):
+        known = roots.withColumnsRenamed({"node": side, "root": "root_" + side})
+        links = lookup(links, known, side, "left").withColumn(side, F.coalesce("root_" + side, side)).drop("root_" + side)
+    links = scratch.keep(links.where("a <> b"), "between", most=most)
+    if links.isEmpty():
+        return labels
+    moved = scratch.keep(unionfind.components(links), "moved", most=most)
+    found = lookup(labels, moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    # what is moved may be a component's root, which has its row already, or a node that had no component
+    return scratch.keep(found.union(lookup(moved, labels.select("node"), "node", "left_anti")), "labels", most=most)
+
+
 def classes(signatures: DataFrame, texts: Callable[[DataFrame], DataFrame], elements: Elements, threshold: float) -> DataFrame:
     """(node, root) for each node that is linked with another; links reach `threshold` in weighted Jaccard similarity.
 
     texts: from a written table of nodes to their (node, text).
     """
     pairs = stars(signatures)
-    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    most = scratch.tasks(pairs.sparkSession, pairs.count())  # of tables with a row a pair
+    nodes = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes", most=most)
     known = scratch.keep(texts(nodes), "texts")
     scores = scratch.keep(compare(pairs, known, elements), "scores")
     links = scores.where(F.col("similarity") >= threshold).select("a", "b")
-    labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
+    labels = scratch.keep(unionfind.components(links), "labels", most=most)
 
-    apart = _open(scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), labels)
-    sizes = scratch.keep(apart.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= CENTRAL).select("pivot"), "sizes")
+    apart = _open(scores.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "similarity"), labels, most)
+    sizes = scratch.keep(apart.groupBy("pivot").agg(F.count("*").alias("n")).where(F.col("n") >= CENTRAL).select("pivot"), "sizes", most=most)
     if not sizes.isEmpty():
         center = lookup(apart, sizes, "pivot", "inner").groupBy("pivot").agg(F.max_by(F.struct("node", "root"), F.struct("similarity", "node")).alias("c"))
-        center = scratch.keep(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "center")
+        center = scratch.keep(center.select("pivot", F.col("c.node").alias("a"), F.col("c.root").alias("center")), "center", most=most)
         second = lookup(apart, center, "pivot", "inner").where("root <> center").select("a", F.col("node").alias("b")).distinct()
-        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second", fewer=True)
-        links = links.union(scratch.keep(compare(second, known, elements), "scores").where(F.col("similarity") >= threshold).select("a", "b"))
-        labels = scratch.keep(unionfind.components(links), "labels", fewer=True)
-        apart = _open(apart, labels)
-    joins = scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold), "joins")
-    if joins.isEmpty():
-        return labels
-    return scratch.keep(unionfind.components(links.union(joins)), "labels", fewer=True)
+        second = scratch.keep(second.join(pairs, ["a", "b"], "left_anti"), "second", most=most)
+        links = scratch.keep(compare(second, known, elements), "scores").where(F.col("similarity") >= threshold).select("a", "b")
+        labels = joined(labels, links, most)
+        apart = _open(apart, labels, most)
+    return joined(labels, scratch.keep(_blocks(apart.select("pivot", "node", "root"), known, elements, threshold), "joins"), most)

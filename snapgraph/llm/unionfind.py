@@ -4,7 +4,8 @@ Every task joins its own edges in a union-find and passes on one edge a node at
 most, so a hub leaves one edge a task. Rounds then bring a node's edges together,
 join its parents, and hang it on its parent's parent, until every component is a
 star around its smallest node. Every round is a written table in the shared
-folder.
+folder, of as many tasks as the edges ask for: the more nodes meet in a task, the
+fewer rounds there are.
 """
 
 from __future__ import annotations
@@ -65,15 +66,17 @@ def components(edges: DataFrame) -> DataFrame:
     Repeated edges and self-loops are allowed; no edges give an empty result.
     """
     down = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    down = down.mapInArrow(_local, "a long, b long")
+    most = scratch.tasks(edges.sparkSession, edges.count())
     while True:
         # all edges from a node down to smaller ones meet in a task, which leaves each node there one edge, to the smallest
-        parents = scratch.keep(down.repartition("a").mapInArrow(_local, "a long, b long").distinct(), "parents")
-        least = parents.groupBy("a").agg(F.min("b").alias("up"), F.count("*").alias("n"))
+        dealt = down.mapInArrow(_local, "a long, b long").repartition("a").coalesce(most)
+        parents = scratch.keep(dealt.mapInArrow(_local, "a long, b long"), "parents")
+        # a node that others hang on may stand in several tasks, with equal or different parents
+        least = scratch.keep(parents.groupBy("a").agg(F.min("b").alias("up"), F.max("b").alias("high")), "least", most=most)
         jumped = parents.join(least.select(F.col("a").alias("b"), "up"), "b", "left")
-        jumped = scratch.keep(jumped.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), "jumped", fewer=True)
-        if jumped.where("moved").isEmpty() and least.where("n > 1").isEmpty():
+        jumped = scratch.keep(jumped.select("a", F.coalesce("up", "b").alias("b"), F.col("up").isNotNull().alias("moved")), "jumped", most=most)
+        if jumped.where("moved").isEmpty() and least.where("up <> high").isEmpty():
             break
         down = jumped.select("a", "b")
-    found = parents.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return found.union(found.select(F.col("root").alias("node"), "root").distinct())
+    found = least.select(F.col("a").alias("node"), F.col("up").alias("root"))
+    return found.union(found.select("root").distinct().select(F.col("root").alias("node"), "root"))

@@ -32,16 +32,29 @@ def folder(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
-def keep(df: DataFrame, name: str, fewer: bool = False, options: dict[str, str] | None = None) -> DataFrame:
+#: Rows of a few longs that one task handles, where a step asks for `tasks`.
+ROWS = 1 << 16
+
+
+def tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many narrow rows: one a core, more if there are more than ROWS rows for each."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
+def keep(df: DataFrame, name: str, fewer: bool = False, options: dict[str, str] | None = None, most: int | None = None) -> DataFrame:
     """Write df once under a fresh path and return the written table; options: further ones of the writer.
 
     fewer: dealt anew after it is computed, into as many files as its size asks for; for
     narrow tables much smaller than what they are made of, unless a shuffle ends their plan anyway.
+    most: tasks of the last step, and so files, at most (see `tasks`); partitions are put
+    together for that, not dealt anew.
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if fewer:
         df = df.hint("rebalance")
+    if most:
+        df = df.coalesce(most)
     df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
+from snapgraph import scratch
 from snapgraph.llm import lines, lsh, neardup, spans, unionfind
 
 
@@ -40,6 +41,33 @@ def test_union_find(spark):
     assert unionfind.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_take_few_tasks(spark, monkeypatch):
+    """However many shuffle partitions there are, few edges are handled by a task a core, and no step deals them out once more."""
+    files, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df, name, *a, **b: (out := keep(df, name, *a, **b), files.append((name, len(out.inputFiles()))))[0])
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    edges = [(i, i // 2) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(50)]
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.node: r.root for r in unionfind.components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got == {i: 0 for i in range(400)} | {1000 + i: 1000 for i in range(51)}
+    assert files and max(n for _, n in files) <= spark.sparkContext.defaultParallelism
+
+
+def test_components_joined_by_further_links(spark):
+    random.seed(3)
+    first, more = ([(random.randrange(120), random.randrange(120)) for _ in range(n)] for n in (40, 25))
+    labels = unionfind.components(spark.createDataFrame(first, "a long, b long"))
+    got = {r.node: r.root for r in lsh.joined(labels, spark.createDataFrame(more, "a long, b long"), 2).collect()}
+    assert got == {r.node: r.root for r in unionfind.components(spark.createDataFrame(first + more, "a long, b long")).collect()}
+    assert lsh.joined(labels, spark.createDataFrame([], "a long, b long"), 2).count() == labels.count()
+
+
 def test_buckets_keep_all_candidates(spark):
     random.seed(2)
     rows = [(i, [random.randrange(30) if j else 7 for j in range(3)]) for i in range(400)]
