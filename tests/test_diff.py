@@ -41,6 +41,16 @@ def test_ratcliff_obershelp_not_longest_subsequence():
     assert all(o[0] in ("equal", "replace", "insert", "delete") for o in opcodes(a, b))
 
 
+def test_lines_counted_without_patterns(spark):
+    """Patterns took most of the time of comparing texts; counts are those of splitlines for any order of terminators."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab\n\x0b\x0c\r\x1c\x1d\x1e\x85\u2028\u2029\r\né\u2027") for _ in range(rng.randrange(14))) for _ in range(400)] + ["", "\r\n", "\n\r", "\r\r\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.n_lines(F.col("t")).alias("n"))
+    assert [r.n for r in df.orderBy("i").collect()] == [len(t.splitlines()) for t in texts]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan
+
+
 def test_line_terminators_as_splitlines(spark):
     # T7
     random.seed(5)
