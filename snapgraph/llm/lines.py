@@ -35,6 +35,8 @@ CHARS, THRESHOLD = 8, 0.8
 BANDS, ROWS = 10, 3
 BINS = BANDS * ROWS
 _LAST = 2**63 - 1
+#: Of tables of lines and bands, which repeat little: the writer's quickest level, and no dictionaries.
+_BULKY = {"parquet.compression.codec.zstd.level": "1", "parquet.enable.dictionary#line": "false", "parquet.enable.dictionary#bands": "false"}
 _EMPTY = np.uint32(0xFFFFFFFF)
 #: Bytes of text that are hashed at once.
 GROUP = 1 << 17
@@ -91,9 +93,9 @@ def elements(texts: pa.Array) -> lsh.Sets:
     """Each text's distinct shingles, sorted, with equal weights."""
     hashes, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
     for n, h, owner in _hashed(texts):
-        order = np.argsort(h)
-        order = order[np.argsort(owner[order].astype(np.uint16) if n <= 1 << 16 else owner[order], kind="stable")]  # by radix where owners are short
-        h = h[order]
+        end = np.cumsum(np.bincount(owner, minlength=n)).tolist()
+        for a, b in zip([0, *end], end, strict=False):  # values alone, a text at a time, sort fastest
+            h[a:b].sort()
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
         hashes.append(h[new])
@@ -148,10 +150,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = bands(line.take(pa.array(own, pa.int64())))
         new = np.zeros(len(nodes), np.int64)
         new[own] = BANDS
-        offsets = pa.array(np.concatenate(([0], np.cumsum(new))), pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(found.reshape(-1)))
         line = line.take(pa.array(np.arange(len(new)), mask=new == 0))
-        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), line, lists], ["doc", "text_hash", "line_no", "node", "line", "bands"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), line, lsh.packed(found.reshape(-1), new)], ["doc", "text_hash", "line_no", "node", "line", "bands"])
 
 
 def _split(text: Column) -> Column:
@@ -161,15 +161,16 @@ def _split(text: Column) -> Column:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, text_hash, removed array<int>): the places of the lines to go, for (doc_id, text) rows that have any."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc")
-    rows = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), F.posexplode(_split(F.lower("text"))).alias("line_no", "line"))
+    whole = docs.where("text is not null").select(doc, F.xxhash64("text").alias("text_hash"), F.lower("text").alias("text"))  # once a text, not once a line
+    rows = whole.select("doc", "text_hash", F.posexplode(_split(F.col("text"))).alias("line_no", "line"))
     rows = rows.withColumn("line", F.trim("line")).where("line <> ''").select("doc", "text_hash", "line_no", F.xxhash64("line").alias("node"), "line")
     # each task signs a line once and keeps its text there, so no later step splits texts again
-    signed = scratch.keep(rows.mapInArrow(_sign, "doc long, text_hash long, line_no int, node long, line string, bands array<long>"), "signed")
+    signed = scratch.keep(rows.mapInArrow(_sign, "doc long, text_hash long, line_no int, node long, line string, bands binary"), "signed", options=_BULKY)
 
     def texts(nodes: DataFrame) -> DataFrame:
         return lsh.lookup(signed.where("line is not null").select("node", F.col("line").alias("text")), nodes, "node", "left_semi").dropDuplicates(["node"])
 
-    labels = lsh.classes(signed.where(F.size("bands") > 0).select("node", "bands"), texts, elements, THRESHOLD)
+    labels = lsh.classes(signed.where("bands is not null").select("node", "bands"), texts, elements, THRESHOLD)
     place = F.struct("doc", "text_hash", "line_no")
     places = signed.select("node", place.alias("place"))
     per = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("n"))
@@ -192,7 +193,8 @@ def _without(docs: DataFrame) -> DataFrame:
     lines = _split(F.col("_row.text"))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")
     text = F.when(F.col("removed").isNull(), F.col("_row.text")).otherwise(rest)
-    return joined.select("_row", text.alias("_text"), F.size(lines).alias("_n"), F.coalesce(F.array_sort("removed"), F.array().cast("array<int>")).alias("_removed"))
+    n = F.octet_length("_row.text") - F.octet_length(F.replace(F.col("_row.text").cast("string"), F.lit("\n"), F.lit(""))) + 1  # without splitting what stays whole
+    return joined.select("_row", text.alias("_text"), n.alias("_n"), F.coalesce(F.array_sort("removed"), F.array().cast("array<int>")).alias("_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:

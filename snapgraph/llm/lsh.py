@@ -8,8 +8,9 @@ like the first. Where members are still apart, all similarities in the group,
 but for the pivot's, are computed at once, in blocks, as products of matrices of
 members by shared elements; only what joins different components leaves the task.
 
-Hot buckets are dealt over tasks by range of (band, item), large groups by pairs
-of blocks. Items are longs.
+Bands are packed by slices of their hash, so buckets meet as arrays and not row by
+row. What a task holds of a hot bucket is packed apart and dealt out on its own,
+large groups by pairs of blocks. Items are longs.
 
 Defined cases: no signatures or none that meet give no classes; repeated rows of
 an item count once; items without elements are similar to each other only.
@@ -21,12 +22,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snapgraph import scratch
 from snapgraph.llm import unionfind
-from snapgraph.llm.words import U, small
+from snapgraph.llm.words import U, mix, small
 
 #: Rows of a lookup table of a few longs that may be broadcast, some 50 MB; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -62,45 +64,144 @@ def sized_join(rows: DataFrame, table: DataFrame, on: str, size: str) -> DataFra
     return rows.join(heavy, on).union(rows.join(heavy, on, "left_anti").join(table.where(~hot).hint("merge"), on))
 
 
+#: Parts that buckets are dealt into by a hash of their band, pairs (band, node) that a task packs at once, and
+#: members of one bucket among these from which they stay together and apart from the rest of the bucket.
+SLICES, PACK, MANY = 2048, 1 << 20, 1024
+_MEMBERS, _FIRST, _APART = 0, 1, 2
+
+
+def _longs(column: pa.Array) -> np.ndarray:
+    """All longs of a column of packed longs, behind each other."""
+    offset = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[offset[0] : offset[-1]].view(np.int64)
+
+
+def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Longs as binaries; item i packs the next counts[i] of them and is null where it has none."""
+    lists = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(counts * 8))).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+    return lists if (counts > 0).all() else lists.take(pa.array(np.arange(len(counts)), mask=counts == 0))
+
+
+def _packs(slices: np.ndarray, kind: int, ptr: np.ndarray, band: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+    """Rows (slice, kind, band, node); row i packs the pairs ptr[i] to ptr[i + 1]."""
+    columns = [pa.array(slices, pa.int32()), pa.array(np.full(len(slices), kind), pa.int32()), *(packed(x, np.diff(ptr)) for x in (band, node))]
+    return pa.RecordBatch.from_arrays(columns, ["slice", "kind", "band", "node"])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, bands) to packed pairs (band, node) by slices of bands.
+
+    Of a bucket with MANY members here, these are packed apart, into any slice; its own slice is told the first of them.
+    """
+
+    def out(band: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = (mix(band.view(U)) % U(SLICES)).astype(np.uint16)
+        ordered = np.sort(band)
+        last = ordered[MANY - 1 :]  # of each MANY in a row
+        many = np.unique(last[last == ordered[: len(last)]])
+        if len(many):
+            at = np.minimum(np.searchsorted(many, band), len(many) - 1)
+            apart = np.flatnonzero(many[at] == band)
+            apart = apart[np.argsort(at[apart], kind="stable")]
+            ptr = np.concatenate(([0], np.cumsum(np.bincount(at[apart], minlength=len(many)))))
+            first = np.minimum.reduceat(node[apart], ptr[:-1])
+            yield _packs((mix(many.view(U) ^ first.view(U)) % U(SLICES)).astype(np.int32), _APART, ptr, band[apart], node[apart])
+            yield _packs((mix(many.view(U)) % U(SLICES)).astype(np.int32), _FIRST, np.arange(len(many) + 1), many, first)
+            rest = many[at] != band
+            own, band, node = own[rest], band[rest], node[rest]
+        order = np.argsort(own, kind="stable")  # by radix
+        own = own[order]
+        begin = np.flatnonzero(np.diff(own, prepend=own[:1] + np.uint16(1)))
+        yield _packs(own[begin].astype(np.int32), _MEMBERS, np.append(begin, len(own)), band[order], node[order])
+
+    held, n = [], 0
+    for batch in batches:
+        lists = batch.column(1)
+        if pa.types.is_binary(lists.type):
+            band, counts = _longs(lists), pc.divide(pc.binary_length(lists), 8)
+        else:
+            band, counts = lists.flatten().to_numpy(), lists.value_lengths()
+        held.append((band, np.repeat(batch.column(0).to_numpy(), counts.fill_null(0).to_numpy())))
+        n += len(held[-1][0])
+        if n >= PACK:
+            yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held, n = [], 0
+    if n:
+        yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (band, node) to (band, pivot, node, piece); the partition's first and last run are told as pieces."""
-    names = ["band", "pivot", "node", "piece"]
-    band = pivot = None
-    first = True
+    """Packed pairs sorted by slice to (band, pivot, node, piece); of buckets packed apart each part's first member is told as a piece."""
+
+    def rows(band: np.ndarray, pivot: np.ndarray, node: np.ndarray, piece: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(band), pa.array(pivot), pa.array(node), pa.array(np.full(len(band), piece))], ["band", "pivot", "node", "piece"])
+
+    def out(band: np.ndarray, node: np.ndarray, told: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(band)
+        ordered = band[order]
+        same = ordered[1:] == ordered[:-1]
+        met = order[np.append(same, False) | np.append(False, same)]  # most bands have one member
+        met = np.append(met, np.flatnonzero(np.isin(band, told))) if len(told) else met
+        if not len(met):
+            return
+        band, node = band[met], node[met]
+        order = np.lexsort((node, band))
+        band, node = band[order], node[order]
+        new = np.append(True, band[1:] != band[:-1])
+        pivot = node[new][np.cumsum(new) - 1]
+        keep = ~new & np.append(False, node[1:] != node[:-1])
+        yield rows(band[keep], pivot[keep], node[keep], False)
+        if len(told):
+            piece = new & np.isin(band, told)
+            yield rows(band[piece], pivot[piece], pivot[piece], True)
+
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    told: list[np.ndarray] = []
+    last = None
+
+    def slice_out() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield from out(*(np.concatenate(x) for x in zip(*held, strict=True)), np.unique(np.concatenate(told or [np.zeros(0, np.int64)])))
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        b, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.empty(len(b), bool)
-        new[0] = first or b[0] != band
-        new[1:] = b[1:] != b[:-1]
-        at = np.maximum.accumulate(np.where(new, np.arange(len(b)), -1))
-        pivots = np.where(at >= 0, x[at], x[0] if pivot is None else pivot)
-        keep = ~new & (x != pivots)
-        same = keep.copy()
-        same[1:] &= (x[1:] == x[:-1]) & ~new[1:]
-        same[0] = False
-        keep &= ~same
-        rows = [b[keep], pivots[keep], x[keep], np.zeros(int(keep.sum()), bool)]
-        if first:
-            rows = [np.append(r, v) for r, v in zip(rows, (b[0], x[0], x[0], True), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows], names)
-        band, pivot, first = b[-1], pivots[-1], False
-    if not first:
-        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (band, pivot, pivot)] + [pa.array([True])], names)
+        slices, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.append(np.flatnonzero(np.diff(slices) | np.diff(kinds)) + 1, len(slices)).tolist()
+        at = 0
+        for cut in cuts:
+            if slices[at] != last:
+                yield from slice_out()
+                held, told, last = [], [], slices[at]
+            for i, j in ((k, k + 1) for k in range(at, cut)) if kinds[at] == _APART else ((at, cut),):
+                band, node = (_longs(batch.column(c).slice(i, j - i)) for c in (2, 3))
+                if kinds[at] != _APART:
+                    held.append((band, node))
+                    if kinds[at] == _FIRST:
+                        told.append(band)
+                    continue
+                node = np.unique(node)
+                yield rows(np.full(len(node) - 1, band[0]), np.full(len(node) - 1, node[0]), node[1:], False)
+                yield rows(band[:1], node[:1], node[:1], True)
+            at = cut
+    yield from slice_out()
 
 
 def stars(signatures: DataFrame) -> DataFrame:
-    """Distinct (a, b), written: a is the pivot of a bucket with b in it, from (node, bands array<long>)."""
-    rows = signatures.select(F.explode("bands").alias("band"), "node")
-    dealt = rows.repartitionByRange("band", "node").sortWithinPartitions("band", "node")
+    """Distinct (a, b), written: a is the pivot of a bucket with b in it, from (node, bands).
+
+    bands: array<long>, or binary as `packed` makes it.
+    """
+    pairs = signatures.select("node", "bands").mapInArrow(_pack, "slice int, kind int, band binary, node binary")
+    dealt = pairs.repartition("slice").sortWithinPartitions("slice", "kind")
     runs = scratch.keep(dealt.mapInArrow(_runs, "band long, pivot long, node long, piece boolean"), "runs")
-    # a bucket may go on in the next partitions; two rows a partition tell of that, so the table of heads is small
-    pieces = runs.where("piece")
-    heads = pieces.groupBy("band").agg(F.min("pivot").alias("head"), F.max("pivot").alias("high")).where("head <> high").drop("high")
+    most = scratch.tasks(signatures.sparkSession, runs.count())
+    # few buckets have pieces: each has MANY members in one task at least
+    heads = runs.where("piece").groupBy("band").agg(F.min("pivot").alias("head"), F.max("pivot").alias("high")).where("head <> high").drop("high")
+    heads = scratch.keep(heads, "heads", most=most)
     # a piece of a bucket that goes on is a member like the others
-    pairs = runs.join(F.broadcast(heads), "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
-    return scratch.keep(pairs.where("a <> b").distinct(), "stars", most=scratch.tasks(signatures.sparkSession, runs.count()))
+    pairs = lookup(runs, heads, "band", "left").select(F.coalesce("head", "pivot").alias("a"), F.col("node").alias("b"))
+    return scratch.keep(pairs.where("a <> b").distinct(), "stars", most=most)
 
 
 def _keyed(h: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -112,13 +213,28 @@ def _owners(ptr: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
 
 
+def _even(sets: Sets) -> bool:
+    return bool((sets[1] == 1).all())
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted arrays of distinct elements share."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.count_nonzero(a[np.minimum(a.searchsorted(b), len(a) - 1)] == b)) if len(b) else 0
+
+
 def jaccard(left: Sets, right: Sets, partner: np.ndarray) -> np.ndarray:
     """The weighted Jaccard similarity of each of `right` to its partner in `left`; 1 if both are empty."""
     h, w, ptr = left
+    n = len(right[2]) - 1
+    if _even(left) and _even(right):
+        shared = np.fromiter((_common(h[ptr[p] : ptr[p + 1]], right[0][a:b]) for p, a, b in zip(partner.tolist(), right[2][:-1].tolist(), right[2][1:].tolist(), strict=True)), np.float64, n)
+        union = np.diff(ptr)[partner] + np.diff(right[2]) - shared
+        return np.where(union > 0, shared / np.where(union > 0, union, 1), 1.0)
     key = _keyed(h, _owners(ptr))
     order = np.argsort(key)  # keys of one set are distinct
     key, weight = key[order], w[order]
-    n = len(right[2]) - 1
     owner = _owners(right[2])
     mine = _keyed(right[0], partner[owner])
     shared = np.zeros(n)
@@ -216,12 +332,38 @@ def _bounds(sets: Sets, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray
     return bound, total[left][:, None] + total[right][None, :] - bound, even
 
 
+#: Sets on a side, at most, that are compared pair by pair and not as a product.
+FEW = 16
+
+
+def _few(sets: Sets, left: list[int], right: list[int], threshold: float, root: list[int]) -> list[tuple[int, int]]:
+    """What `joins` finds, for few sets of equal weights, pair by pair; sizes too unlike rule a pair out."""
+    h, _, ptr = sets
+    own = {i: h[ptr[i] : ptr[i + 1]] for i in {*left, *right}}
+    out = []
+    for x in left:
+        for y in right:
+            if root[x] == root[y]:
+                continue
+            low, high = sorted((len(own[x]), len(own[y])))
+            if high and low / high < threshold:
+                continue
+            shared = _common(own[x], own[y])
+            if not high or shared / (low + high - shared) >= threshold:
+                out.append((x, y))
+                to, old = root[x], root[y]
+                root = [to if r == old else r for r in root]
+    return out
+
+
 def joins(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float, root: np.ndarray) -> list[tuple[int, int]]:
     """Links of left x right at the threshold that join all components that any such link joins; root: each set's component.
 
     Pairs that only the bound lets through are verified, the likely ones first;
     those whose sets have been joined meanwhile are left out.
     """
+    if len(left) <= FEW and len(right) <= FEW and _even(sets):
+        return _few(sets, left.tolist(), right.tolist(), threshold, root.tolist())
     bound, union, even = _bounds(sets, left, right)
     likely = bound >= threshold * union - (1e-6 if even else 1e-3 * (1 + union))
     i, j = np.nonzero(likely & (root[left][:, None] != root[right][None, :]))

@@ -85,6 +85,46 @@ def test_buckets_keep_all_candidates(spark):
     assert all(found.find(i) == want.find(i) for i, _ in rows)
 
 
+def test_buckets_meet_as_packed_arrays(monkeypatch):
+    """Few rows carry many pairs, and what tasks hold of a hot bucket is packed apart without losing a member or a single pivot."""
+    monkeypatch.setattr(lsh, "SLICES", 4)
+    monkeypatch.setattr(lsh, "PACK", 3000)
+    rng = np.random.default_rng(4)
+    pairs = [(int(b), int(x)) for b, x in zip(rng.integers(-300, 300, 9000), rng.integers(-5000, 5000, 9000), strict=True)]
+    pairs += [(7, x) for x in range(-200, 2000)] + [(8, 11)] * 50 + [(9, x) for x in range(30)]
+    random.Random(4).shuffle(pairs)
+    want = defaultdict(set)
+    for b, x in pairs:
+        want[b].add(x)
+    for many in (3, 40, 10**6):
+        monkeypatch.setattr(lsh, "MANY", many)
+        dealt = []
+        for at in range(0, len(pairs), 4000):  # tasks
+            some = pairs[at : at + 4000]
+            for kind in (0, 1):
+                part = some[kind::2]
+                values, counts = np.array([b for b, _ in part]), np.ones(len(part), int)
+                bands = lsh.packed(values, counts) if kind else pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1), pa.int32()), pa.array(values))
+                batch = pa.RecordBatch.from_arrays([pa.array([x for _, x in part]), bands], ["node", "bands"])
+                dealt += [r for b in lsh._pack(iter([batch.slice(0, 700), batch.slice(700)])) for r in b.to_pylist()]
+        if many > 40:
+            assert len(dealt) < len(pairs) / 100 and all(r["kind"] == 0 for r in dealt)
+        else:
+            assert {r["kind"] for r in dealt} == {0, 1, 2} and max(len(r["band"]) for r in dealt if r["kind"] == 0) < len(pairs) * 8 / 4
+        schema = pa.schema([("slice", pa.int32()), ("kind", pa.int32()), ("band", pa.binary()), ("node", pa.binary())])
+        runs = []
+        for part in range(3):  # as Spark deals and sorts them
+            own = sorted((r for r in dealt if r["slice"] % 3 == part), key=lambda r: (r["slice"], r["kind"]))
+            table = pa.RecordBatch.from_pylist(own, schema)
+            runs += [r for b in lsh._runs(iter([table.slice(0, 17), table.slice(17)])) for r in b.to_pylist()]
+        head = {}
+        for r in runs:
+            if r["piece"]:
+                head[r["band"]] = min(r["pivot"], head.get(r["band"], r["pivot"]))
+        got = {(r["band"], head.get(r["band"], r["pivot"]), r["node"]) for r in runs}
+        assert {x for x in got if x[1] != x[2]} == {(b, min(m), x) for b, m in want.items() for x in m if x != min(m)}
+
+
 def similarity(a, b):
     """Weighted Jaccard similarity of two dicts of weights."""
     if not a and not b:
