@@ -11,6 +11,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +43,21 @@ def tasks(spark: SparkSession, rows: int) -> int:
     return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS))
 
 
+#: Whether a query's shuffle files are deleted as it ends, and not only when the driver collects garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """A table that is written needs no shuffle files any more; the session's own choice holds again afterwards."""
+    was = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREED) if was is None else spark.conf.set(FREED, was)
+
+
 def keep(df: DataFrame, name: str, fewer: bool = False, options: dict[str, str] | None = None, most: int | None = None) -> DataFrame:
     """Write df once under a fresh path and return the written table; options: further ones of the writer.
 
@@ -55,7 +72,8 @@ def keep(df: DataFrame, name: str, fewer: bool = False, options: dict[str, str]
         df = df.hint("rebalance")
     if most:
         df = df.coalesce(most)
-    df.write.options(compression="zstd", **(options or {})).parquet(path)
+    with _shuffles_freed(spark):
+        df.write.options(compression="zstd", **(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
